@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tempora.llm import chat, decontaminate, mixing, url_filter
+from tempora.llm import chat, decontaminate, mixing, token_files, url_filter
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_mixing": mixing.op6_mixing,
     "op8_chat": chat.op8_chat,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {"op6_mixing": mixing.SQL, "op8_chat": chat.SQL}
