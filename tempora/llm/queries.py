@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tempora.llm import chat, decontaminate, mixing, token_files, url_filter
+from tempora.llm import chat, decontaminate, fingerprint, mixing, token_files, url_filter
 
 QUERIES = {
+    "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_mixing": mixing.op6_mixing,
     "op8_chat": chat.op8_chat,
