@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tempora.llm import chat, decontaminate, fingerprint, mixing, token_files, url_filter
+from tempora.llm import chat, decontaminate, fingerprint, mixing, quality, token_files, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_mixing": mixing.op6_mixing,
