@@ -102,12 +102,14 @@ def _decode(raw: bytes, with_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
     return u, table[np.frombuffer(raw, kind, n, at + 4 + 8 * m)]
 
 
-def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool) -> DataFrame:
+def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = False, counts: bool = False) -> DataFrame:
     """block, part, bits: for each block and range one bit per distinct key, in order; rows without a set bit are left out.
 
-    keys(ids, starts, buffer) -> sorted distinct keys and the smallest document id of each.  With `earlier` a bit says that some
-    block has the key in a document of smaller id, else that some other block has it.
+    keys(ids, starts, buffer) -> sorted distinct keys, and the smallest document id of each or its count in the block.  With
+    `earlier` a bit says that some block has the key in a document of smaller id; with `counts` the answer is not bits but the sum
+    of the counts as 32-bit numbers; else a bit says that some other block has the key.
     """
+    values = earlier or counts
 
     def send(batches):
         for batch in batches:
@@ -118,23 +120,28 @@ def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool) -> Da
                 block = batch.column(0)[k].as_py()
                 for part in some.tolist():
                     a, b = cut[part], cut[part + 1]
-                    yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "raw": _encode(u[a:b], ids[a:b] if earlier else None)}])
+                    yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "raw": _encode(u[a:b], ids[a:b] if values else None)}])
 
     def compare(table: pa.Table) -> pa.Table:
-        got = [_decode(x.as_py(), earlier) for x in table.column("raw")]
+        got = [_decode(x.as_py(), values) for x in table.column("raw")]
         sizes = np.array([len(u) for u, _ in got])
         u = np.concatenate([x for x, _ in got])
         order = np.argsort(u, kind="stable")
         s = u[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         many = np.diff(np.append(first, len(s)))
+        ends = np.cumsum(sizes)
+        if counts:
+            total = np.empty(len(u), np.uint32)
+            total[order] = np.repeat(np.add.reduceat(np.concatenate([x for _, x in got])[order], first), many)
+            out = [total[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
+            return pa.table({"block": table.column("block"), "part": table.column("part"), "bits": pa.array(out, pa.binary())})
         flags = np.zeros(len(u), bool)
         if earlier:
             ids = np.concatenate([x for _, x in got])[order]
             flags[order] = ids > np.repeat(np.minimum.reduceat(ids, first), many)
         else:
             flags[order] = np.repeat(many > 1, many)
-        ends = np.cumsum(sizes)
         bits = [flags[e - n : e] for e, n in zip(ends, sizes, strict=True)]
         some = pa.array([k for k, x in enumerate(bits) if x.any()], pa.int64())
         return pa.table({"block": table.column("block").take(some), "part": table.column("part").take(some), "bits": pa.array([np.packbits(bits[k]).tobytes() for k in some.to_pylist()], pa.binary())})
@@ -143,8 +150,8 @@ def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool) -> Da
     return sent.groupBy("part").applyInArrow(compare, "block bigint, part bigint, bits binary")
 
 
-def with_answers(blocks: DataFrame, given: DataFrame, ranges: int, f: Callable, schema: str) -> DataFrame:
-    """f(block, ids, starts, buffer, flags_of) -> pa.Table for every block; flags_of(sorted keys) -> one flag per key."""
+def with_answers(blocks: DataFrame, given: DataFrame, ranges: int, f: Callable, schema: str, counts: bool = False) -> DataFrame:
+    """f(block, ids, starts, buffer, answer_to) -> pa.Table for every block; answer_to(sorted keys) -> a flag or count per key."""
     none = F.lit(None).cast("binary")
     rows = blocks.select("block", F.lit(-1).cast("bigint").alias("part"), "ids", "starts", "data").unionByName(given.select("block", "part", none.alias("ids"), none.alias("starts"), F.col("bits").alias("data")))
 
@@ -154,13 +161,13 @@ def with_answers(blocks: DataFrame, given: DataFrame, ranges: int, f: Callable,
         ids, starts, buf = unpack(*(table.column(c)[own].as_py() for c in ("ids", "starts", "data")))
         bits = {p: table.column("data")[k].as_py() for k, p in enumerate(parts) if p >= 0}
 
-        def flags_of(u: np.ndarray) -> np.ndarray:
-            cut, out = _cut(u, ranges), np.zeros(len(u), bool)
+        def answer_to(u: np.ndarray) -> np.ndarray:
+            cut, out = _cut(u, ranges), np.zeros(len(u), np.uint32 if counts else bool)
             for p, raw in bits.items():
                 n = int(cut[p + 1] - cut[p])
-                out[cut[p] : cut[p + 1]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
+                out[cut[p] : cut[p + 1]] = np.frombuffer(raw, np.uint32) if counts else np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
             return out
 
-        return f(table.column("block")[own].as_py(), ids, starts, buf, flags_of)
+        return f(table.column("block")[own].as_py(), ids, starts, buf, answer_to)
 
     return rows.groupBy("block").applyInArrow(run, schema)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tempora.llm import chat, decontaminate, fingerprint, mixing, quality, substring_dedup, token_files, url_filter
+from tempora.llm import chat, decontaminate, fingerprint, mixing, ngram_join, quality, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_mixing": mixing.op6_mixing,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_chat": chat.op8_chat,
