@@ -14,10 +14,10 @@ The hash: keys go to index shards by hash; in a shard each level is a bit array
 fall alone on a bit stay, the rest move to the next level; the slot of a key is the rank of its bit.  A look-up is a constant number of
 steps on average, and the 32-bit fingerprint in the slot tells strangers apart.
 
-Encoding: a text is cut before every single space or newline; those cuts are cuts of the tokenizer's own pre-tokenizer as long as no run of
-white space is longer than one character, so each distinct chunk is encoded once by the tokenizers library and the ids are
-laid out by NumPy.  Texts with other white space are encoded whole by the same library.  Only ByteLevel BPE files with
-the usual regular expression are treated so; any other tokenizer encodes whole texts.
+Encoding: a text is cut before single spaces and newlines and between ASCII letters or digits and punctuation (but not after an
+apostrophe).  There the tokenizer's own pre-tokenizer cuts as well, so each distinct chunk is encoded once by the tokenizers
+library and the ids are laid out by NumPy.  Texts with other or longer white space, or with added tokens, are encoded whole by
+the same library.  Only ByteLevel files with the usual regular expression are treated so; any other encodes whole texts.
 
 Defined cases: a null text is empty (only the end id); a null doc_id is the smallest key; repeated doc_ids are told apart
 by their occurrence number 0, 1, ... in the order of texts; an empty table gives an empty data set; further columns are ignored.
@@ -30,6 +30,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +39,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import _text
+from tempora.llm._packs import views
 from tempora.llm._shared import NO_ID, new_path, stage
 
 END_ID = 0
 #: Distinct chunks kept by a worker; it starts afresh beyond.
-CACHE = 400_000
+CACHE = 1_500_000
 #: Ids per payload file, about.
 FILE_IDS = 16 << 20
 #: Documents encoded at a time, and keys per index shard, about.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 SHARD_KEYS = 50_000
 _ODD = re.compile(r"\s")
+_ENCODERS: dict[str, object] = {}
+#: 1 ASCII letters and digits, 2 ASCII punctuation, 3 the apostrophe, 8 space and newline, 0 anything else.
+_SIDE = np.zeros(256, np.uint8)
+_SIDE[33:127] = 2
+_SIDE[48:58] = _SIDE[65:91] = _SIDE[97:123] = 1
+_SIDE[39] = 3
+_SIDE[[10, 32]] = 8
+#: Bytes that white space other than space and newline begins with.
+_WARY = np.zeros(256, bool)
+_WARY[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def _open(uri: str):
@@ -66,53 +78,109 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or _ODD.search(t["content"]) for t in spec.get("added_tokens", []))
-        self.wide = self.tokenizer.get_vocab_size() > 65536
+        self.added = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 65536 else "<u2")
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.at, self.odd = [], [0], []
+        """Of each known chunk: hash (sorted), row by hash; by row: bytes at both ends and length, first id, white space."""
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.marks, self.at, self.space = np.zeros((0, 3), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int8)
+        self.ids = np.zeros(0, self.kind)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the number of each text's ids."""
-        if not self.cuts:
-            ids = self.whole(texts)
-            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
-        if len(self.known) > CACHE:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def learn(self, keys: np.ndarray, marks: np.ndarray, chunks: list[bytes], wary: np.ndarray) -> None:
+        texts = [c.decode() for c in chunks]
+        got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        n = len(self.row)
+        put = np.searchsorted(self.keys, keys)
+        self.keys, self.row = np.insert(self.keys, put, keys), np.insert(self.row, put, np.arange(n, n + len(keys)))
+        self.marks = np.concatenate([self.marks, marks])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), self.kind)])
+        space = np.zeros(len(texts), np.int8)
+        for k in wary.tolist():
+            t = texts[k]
+            space[k] = 1 if t in (" ", "\n") else 2 * bool(_ODD.search(t, t[0] in " \n"))
+        self.space = np.concatenate([self.space, space])
+
+    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and the number of each; starts has the end as well, and data begins at starts[0]."""
+        starts = starts - starts[0]
+        n, data = len(starts) - 1, np.ascontiguousarray(data[: starts[-1]])
+        raw = data.tobytes()
+        text = lambda k: raw[starts[k] : starts[k + 1]].decode()
+        if not self.cuts or not len(data):
+            ids = self.whole([text(k) for k in range(n)])
+            return np.concatenate([np.zeros(0, self.kind), *ids]), np.array([len(x) for x in ids], np.int64)
+        if len(self.keys) > CACHE:
             self.forget()
-        chunks = [t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in t else ["\0"] for t in texts]
-        many = np.array([len(c) for c in chunks], np.int64)
-        flat = [c for cs in chunks for c in cs]
-        known = self.known
-        new = [c for c in dict.fromkeys(flat) if c not in known]
-        if new:
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[c] = len(known)
-                self.ids.extend(e.ids)
-                self.at.append(len(self.ids))
-                self.odd.append(c in (" ", "\n", "\0") or _ODD.search(c, 1) is not None)
-            self.flat = (np.array(self.ids, np.uint32), np.array(self.at, np.int64), np.array(self.odd, bool))
-        pool, at, odd = self.flat
-        k = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        n = at[k + 1] - at[k]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat(at[k] - (ends - n), n) + np.arange(int(n.sum()))]
-        edge = np.concatenate([[0], np.cumsum(many)])
+        left, right = _SIDE[data[:-1]], _SIDE[data[1:]]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (right == 8) | ((left == 1) & (right >= 2)) | ((left == 2) & (right == 1))
+        cut[starts] = True
+        edges = np.flatnonzero(cut)
+        a, b = edges[:-1], edges[1:]
+        size = b - a
+        pad = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(pad, (len(pad) - 7, 8), (1, 1))
+        hashes, first, rank = np.unique(_text.run_hashes(data, a, b), return_index=True, return_inverse=True)
+        fa, fb, fn = a[first], b[first], size[first]
+        short = np.minimum(fn, 8) * 8
+        head = eight[fa + 8].view(np.uint64)[:, 0]
+        tail = eight[fb].view(np.uint64)[:, 0]
+        mask = np.where(short >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(short, 63).astype(np.uint64)) - np.uint64(1))
+        marks = np.column_stack([(head & mask).view(np.int64), tail.view(np.int64), fn])
+        marks[:, 1] = np.where(fn >= 8, marks[:, 1], 0)
+        at = np.searchsorted(self.keys, hashes)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == hashes[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            maybe = np.concatenate([[0], np.cumsum(_WARY[data], dtype=np.int64)])
+            wary = np.flatnonzero((maybe[fb[new]] > maybe[fa[new]]) | (fn[new] == 1))
+            self.learn(hashes[new], marks[new], [raw[i:j] for i, j in zip(fa[new].tolist(), fb[new].tolist(), strict=True)], wary)
+        row = self.row[np.searchsorted(self.keys, hashes)]
+        wrong = (self.marks[row] != marks).any(axis=1)  # another chunk of the same hash: its texts are encoded whole
+        row, wrong = row[rank], wrong[rank]
+        m = self.at[row + 1] - self.at[row]
+        ends = np.cumsum(m)
+        ids = self.ids[np.repeat(self.at[row] - (ends - m), m) + np.arange(int(ends[-1]))]
+        doc = np.searchsorted(starts, a, "right") - 1
         total = np.concatenate([[0], ends])
+        edge = np.searchsorted(a, starts)
         lens = total[edge[1:]] - total[edge[:-1]]
-        strange = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(odd[k])])[edge]))
-        if len(strange):
-            cut = np.concatenate([[0], np.cumsum(lens)])
-            again = dict(zip(strange.tolist(), self.whole([texts[i] for i in strange]), strict=True))
-            parts = [again.get(i, ids[cut[i] : cut[i + 1]]) for i in range(len(texts))]
-            ids, lens = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        space = self.space[row]
+        last = np.zeros(len(a) + 1, bool)
+        last[edge] = True
+        strange = np.unique(doc[(space == 2) | ((space == 1) & ~last[1:]) | wrong]).tolist()
+        for t in self.added:
+            i = raw.find(t)
+            while i >= 0:
+                strange.append(int(np.searchsorted(starts, i, "right")) - 1)
+                i = raw.find(t, i + 1)
+        if strange:
+            strange = sorted(set(strange))
+            to = np.concatenate([[0], np.cumsum(lens)])
+            parts, at = [], 0
+            for k, own in zip(strange, self.whole([text(k) for k in strange]), strict=True):
+                parts += [ids[to[at] : to[k]], own]
+                at = k + 1
+                lens[k] = len(own)
+            ids = np.concatenate([*parts, ids[to[at] :]])
         return ids, lens
 
 
+def encoder_for(path: str) -> Encoder:
+    """One encoder a worker process, so that what it knows outlives the task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _hashes(keys: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
     return _text.mix(_text.mix(keys.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + occurrence.astype(np.uint64))
 
@@ -182,36 +250,33 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
 
         fs, at = _open(f"{root}/data")
         fs.create_dir(at, recursive=True)
-        encoder, out, name = Encoder(tokenizer), None, ""
-        kind = "<u4" if encoder.wide else "<u2"
+        encoder, out, name = encoder_for(tokenizer), None, ""
         wrote, last, times = 0, None, 0
         for batch in batches:
-            keys, texts = batch.column(0).to_numpy(), batch.column(1)
-            sizes = np.cumsum(texts.nbytes // max(1, len(texts)) + np.zeros(len(texts), np.int64))
+            keys = batch.column(0).to_numpy()
+            data, offsets = views(batch.column(1))
             i = 0
             while i < len(keys):
-                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + BATCH_BYTES, "right")))
-                ids, n = encoder.encode(texts.slice(i, j - i).to_pylist())
-                ends = np.cumsum(n)
-                ids = np.insert(ids, ends, end_id)
-                n = n + 1
+                j = min(len(keys), max(i + 1, int(np.searchsorted(offsets, offsets[i] + BATCH_BYTES, "right")) - 1))
+                ids, n = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
                 if out is None or wrote >= FILE_IDS:
                     if out:
                         out.close()
                     name = f"{uuid.uuid4().hex}.ids"
                     out, wrote = fs.open_output_stream(f"{at}/{name}"), 0
-                out.write(ids.astype(kind).tobytes())
+                out.write(ids.tobytes())
                 own = keys[i:j]
                 again = np.zeros(len(own), np.int64)
-                if last is not None and len(own) and own[0] == last or len(np.unique(own)) < len(own):
+                if own[0] == last or len(np.unique(own)) < len(own):
                     for k, x in enumerate(own.tolist()):
                         times = times + 1 if x == last else 0
                         again[k], last = times, x
-                elif len(own):
+                else:
                     last, times = int(own[-1]), 0
-                offsets = wrote + np.cumsum(n) - n
+                offsets_in = wrote + np.cumsum(n) - n
                 wrote += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(own), pa.array(again), pa.array(offsets), pa.array(n)], names=["name", "key", "again", "offset", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(own), pa.array(again), pa.array(offsets_in), pa.array(n)], names=["name", "key", "again", "offset", "n"])
                 i = j
         if out:
             out.close()
@@ -254,9 +319,9 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
 class Reader:
     """Keyed access to a data set from one process."""
 
-    def __init__(self, root: str, files: dict[int, str], shards: dict[int, str], wide: bool):
+    def __init__(self, root: str, files: dict[int, str], shards: dict[int, str], kind: str = "<u2"):
         self.fs, self.root = _open(root)
-        self.files, self.shards, self.kind = files, shards, "<u4" if wide else "<u2"
+        self.files, self.shards, self.kind = files, shards, kind
         self.open: dict[int, tuple[MinimalPerfectHash, np.ndarray]] = {}
 
     def shard(self, k: int) -> tuple[MinimalPerfectHash, np.ndarray]:
@@ -294,7 +359,7 @@ def look_up(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
 
     def find(table: pa.Table) -> pa.Table:
         key, again = table.column("key").to_numpy(), table.column("again").to_numpy()
-        rows, good = Reader(root, {}, {0: table.column("name")[0].as_py()}, False).find(0, key, again)
+        rows, good = Reader(root, {}, {0: table.column("name")[0].as_py()}).find(0, key, again)
         return pa.table({"key": key[good], "again": again[good]} | {c: np.ascontiguousarray(rows[c][good]) for c in ("file", "offset", "n", "start")})
 
     return routed.groupBy("shard").applyInArrow(find, schema)
@@ -305,9 +370,8 @@ def read_back(spark: SparkSession, root: str, keys: DataFrame, tokenizer: str) -
     found = look_up(spark, root, keys).join(spark.read.parquet(f"{root}/files").select("file", "name"), "file")
 
     def crcs(table: pa.Table) -> pa.Table:
-        wide = Encoder(tokenizer).wide
+        kind = encoder_for(tokenizer).kind
         table = table.sort_by("offset")
-        kind = np.dtype("<u4" if wide else "<u2")
         offset, n = table.column("offset").to_numpy(), table.column("n").to_numpy()
         fs, at = _open(f"{root}/data/{table.column('name')[0].as_py()}")
         out = np.zeros(len(n), np.int64)
