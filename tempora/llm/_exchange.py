@@ -150,8 +150,8 @@ def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = Fals
     return sent.groupBy("part").applyInArrow(compare, "block bigint, part bigint, bits binary")
 
 
-def with_answers(blocks: DataFrame, given: DataFrame, ranges: int, f: Callable, schema: str, counts: bool = False) -> DataFrame:
-    """f(block, ids, starts, buffer, answer_to) -> pa.Table for every block; answer_to(sorted keys) -> a flag or count per key."""
+def deliver(blocks: DataFrame, given: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """f(block, ids, starts, buffer, {part: bits}) -> pa.Table for every block and what was given(block, part, bits) to it."""
     none = F.lit(None).cast("binary")
     rows = blocks.select("block", F.lit(-1).cast("bigint").alias("part"), "ids", "starts", "data").unionByName(given.select("block", "part", none.alias("ids"), none.alias("starts"), F.col("bits").alias("data")))
 
@@ -159,8 +159,15 @@ def with_answers(blocks: DataFrame, given: DataFrame, ranges: int, f: Callable,
         parts = table.column("part").to_pylist()
         own = parts.index(-1)
         ids, starts, buf = unpack(*(table.column(c)[own].as_py() for c in ("ids", "starts", "data")))
-        bits = {p: table.column("data")[k].as_py() for k, p in enumerate(parts) if p >= 0}
+        return f(table.column("block")[own].as_py(), ids, starts, buf, {p: table.column("data")[k].as_py() for k, p in enumerate(parts) if p >= 0})
+
+    return rows.groupBy("block").applyInArrow(run, schema)
+
 
+def with_answers(blocks: DataFrame, given: DataFrame, ranges: int, f: Callable, schema: str, counts: bool = False) -> DataFrame:
+    """f(block, ids, starts, buffer, answer_to) -> pa.Table for every block; answer_to(sorted keys) -> a flag or count per key."""
+
+    def run(block, ids, starts, buf, bits):
         def answer_to(u: np.ndarray) -> np.ndarray:
             cut, out = _cut(u, ranges), np.zeros(len(u), np.uint32 if counts else bool)
             for p, raw in bits.items():
@@ -168,6 +175,6 @@ def with_answers(blocks: DataFrame, given: DataFrame, ranges: int, f: Callable,
                 out[cut[p] : cut[p + 1]] = np.frombuffer(raw, np.uint32) if counts else np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
             return out
 
-        return f(table.column("block")[own].as_py(), ids, starts, buf, answer_to)
+        return f(block, ids, starts, buf, answer_to)
 
-    return rows.groupBy("block").applyInArrow(run, schema)
+    return deliver(blocks, given, run, schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tempora.llm import chat, decontaminate, fingerprint, mixing, ngram_join, quality, substring_dedup, token_files, url_filter
+from tempora.llm import chat, decontaminate, fingerprint, mixing, ngram_join, quality, substring_dedup, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_ngram_join": ngram_join.op5_ngram_join,
