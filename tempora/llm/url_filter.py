@@ -4,7 +4,7 @@ Hosts link to hosts by the absolute or protocol-relative href values of their pa
 allowed pages and flows along links; distrust starts at hosts with blocked pages and flows against them (who links to
 blocked places is suspect).  Both are personalised PageRanks.  What a host got from others, without its own seed mass
 (its own pages were judged by the rules), decides: it is blocked if it received more distrust than trust and at least
-`lift` times the mean host's mass.  Hosts without links from or to a seed are allowed.
+`lift` times as much of it as the mean host.  Hosts without links from or to a seed are allowed.
 
 Defined cases: a null url or one without :// has empty host and path, fits no rule and is allowed; null html has no links;
 repeated page ids are rows of their own; an empty table gives no rows; further columns are ignored.
@@ -102,8 +102,8 @@ def judge(pages: DataFrame, rules=RULES, damping=DAMPING, rounds=ROUNDS, lift=LI
     count = lambda v: F.sum(F.when(F.col("r.verdict") == v, 1.0).otherwise(0.0))
     seeds = judged.where("host <> ''").groupBy("host").agg(count("allow").alias("good"), count("block").alias("bad"))
     ranks = propagate(edges, seeds, damping, rounds)
-    n = ranks.agg(F.count("*").alias("n"))
-    bad = ranks.join(F.broadcast(n)).where((F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.col("n") >= lift))
+    mean = ranks.agg(F.avg("distrust")).first()[0] or 0.0
+    bad = ranks.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= F.lit(lift * mean)))
     bad = stage(bad.select("host", F.lit("block").alias("_b")), "blocked-hosts")
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
