@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tempora.llm import fingerprint as fp
 from tests.llm import corpus
@@ -54,8 +55,8 @@ def test_collision_rate_is_the_generalised_jaccard_similarity(spark):
     a, b = {f"t{i}": 1 + i % 5 for i in range(40)}, {f"t{i}": 1 + (i * 3) % 5 for i in range(20, 60)}
     true = sum(min(a.get(k, 0), b.get(k, 0)) for k in a | b) / sum(max(a.get(k, 0), b.get(k, 0)) for k in a | b)
     rows = [(f"{s}{n}", f"{n}-{k}") for n in range(60) for s, x in (("a", a), ("b", b)) for k, w in x.items() for _ in range(w)]
-    df = spark.createDataFrame(rows, "id string, w string").selectExpr("id", "xxhash64(w) term")
-    sig = {r.id: r.sig for r in fp.signatures(df, ["id"]).collect()}
+    df = spark.createDataFrame(rows, "id string, w string").groupBy("id").agg(F.collect_list("w").alias("w"))
+    sig = {r.id: r.sig for r in fp.signatures(fp.weighted_terms(df, ["id"], "w"), ["id"]).collect()}
     rate = np.mean([np.mean(np.array(sig[f"a{n}"]) == np.array(sig[f"b{n}"])) for n in range(60)])
     assert abs(rate - true) < 4 * np.sqrt(true * (1 - true) / 60 / fp.SAMPLES)
 
