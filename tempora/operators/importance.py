@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def linear_attributions(windows: DataFrame, coefficients: dict[str, float]) -> DataFrame:
@@ -22,9 +23,7 @@ def linear_attributions(windows: DataFrame, coefficients: dict[str, float]) -> D
 
 def explained(windows: DataFrame, features: list[str], explain: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """windows with attr_{feature} from a function over batches of feature columns."""
-    schema = windows.schema
-    for f in features:
-        schema = schema.add(f"attr_{f}", "double")
+    schema = T.StructType([*windows.schema.fields, *[T.StructField(f"attr_{f}", T.DoubleType()) for f in features]])
 
     def run(batches):
         for b in batches:
