@@ -313,3 +313,15 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[s:s + 4], ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS s FROM d)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS inter FROM g a JOIN g b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * inter >= 80 * (na.n + nb.n - inter)),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, s.b FROM t JOIN s ON t.b = s.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id FROM d JOIN t ON t.a = d.r JOIN d o ON o.r = t.b LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id, n
+"""

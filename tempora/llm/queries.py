@@ -16,4 +16,10 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_files": token_files.op10_token_files,
 }
-ORACLES = {"op6_mixing": mixing.SQL, "op8_chat": chat.SQL}
+ORACLES = {
+    "op5_ngram_join": ngram_join.SQL,
+    "op6_mixing": mixing.SQL,
+    "op7_substring_dedup": substring_dedup.SQL,
+    "op8_chat": chat.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+}

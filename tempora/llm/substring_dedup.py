@@ -98,3 +98,14 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDT
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT r, doc_id, s, array_to_string(w[s:s + 12], ' ') AS x FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) > 12)),
+m AS (SELECT x, min(doc_id) AS least FROM x GROUP BY x),
+g AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(s, s + 13)) AS p FROM x JOIN m USING (x) WHERE doc_id > least)),
+n AS (SELECT r, count(*) AS n_removed FROM g GROUP BY r),
+k AS (SELECT r, string_agg(v, ' ' ORDER BY p) AS kept FROM (SELECT r, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN g USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+"""

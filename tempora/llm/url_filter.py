@@ -67,8 +67,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=ROUNDS
     """
     spark = edges.sparkSession
     nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct().join(seeds, "host", "left").fillna(0.0)
-    total = nodes.agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    nodes = nodes.join(F.broadcast(total)).select("host", F.when(F.col("g") > 0, F.col("good") / F.col("g")).otherwise(0.0).alias("good"), F.when(F.col("b") > 0, F.col("bad") / F.col("b")).otherwise(0.0).alias("bad"))
+    total = nodes.agg(F.sum("good"), F.sum("bad")).first()
+    nodes = nodes.select("host", *[(F.col(c) / F.lit(x or 1.0)).alias(c) for c, x in zip(("good", "bad"), total, strict=True)])
     nodes = stage(nodes, "hosts")
     out_n = edges.groupBy("src").agg(F.sum("n").alias("total"))
     in_n = edges.groupBy("dst").agg(F.sum("n").alias("total"))
