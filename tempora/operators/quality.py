@@ -169,3 +169,7 @@ def describe_column(df: DataFrame, name: str, categorical: bool = False) -> Data
 def features_to_numbers(df: DataFrame, names: list[str]) -> DataFrame:
     """Each column as a double; texts lose their first comma, and what is no number becomes null."""
     return df.withColumns({n: F.col(n).cast("double") if E.is_number(E.dtype(df, n)) else E.number_from_text(F.col(n).cast("string")) for n in names})
+
+
+def print_divider(char: str = "=", length: int = 70) -> None:
+    print(char * length)

@@ -410,3 +410,21 @@ def health_series(spark, d):
     from tempora.sources.synth import health_series as make
 
     return make(spark)
+
+
+# --- streams, run over the table's files
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark, d):
+    from tempora.streaming import stream
+
+    out = stream.run_available(stream.tumbling(stream.parquet_stream(spark, f"{d}/events.parquet"), "ts", "value", "1 day", by="event_type"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_id FROM events")
+def stream_drop_duplicates(spark, d):
+    from tempora.streaming import stream
+
+    s = stream.parquet_stream(spark, f"{d}/events.parquet").select("event_id", "ts", "user_id")
+    return stream.run_available(stream.drop_duplicate_times(s.unionByName(s), "ts", "user_id", "40 days")).select("event_id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -56,3 +58,34 @@ def shifted(df: DataFrame, time_col: str, by: str, target: str, late: str = "10
             yield pd.DataFrame({"key": [r[0] for r in out], "at": pd.to_datetime([r[1] for r in out], unit="us"), "value": [r[2] for r in out], "next": [r[3] for r in out]})
 
     return rows.groupBy("key").applyInPandasWithState(run, schema, "at array<bigint>, value array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a new one of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (at or "file://" + tempfile.mkdtemp(prefix="tempora-")).rstrip("/")
+
+
+def parquet_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """A stream over the files of a Parquet table, with the schema they have now; the table may be a single file."""
+    schema = spark.read.parquet(path).schema
+    pattern = f"{path[:-1]}[{path[-1]}]"  # a file source takes a file by pattern only
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+
+
+def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a streaming query over what is there and give its result as a table in the shared folder.
+
+    In complete mode the table is the last batch's; else batches are written side by side, each at a place of its own number,
+    so that a batch that is run again replaces itself.
+    """
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={number}")
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    out = spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{at}/out")
+    return out
