@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm._shared import drop_path, new_path
+from tempora.llm._shared import drop_path, new_path, stage
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """edges(a, b) -> node, label: the smallest node of its component, for every node of an edge.
+    """edges(a, b) -> node, label: the smallest node of its component, for every node of an edge; a staged table.
 
     Large-star and small-star steps alternate until nothing changes, a logarithmic number of rounds in practice.  A step is one
     grouped minimum (pre-aggregated) and one join back, where AQE splits the rows of a hot centre; each round is
@@ -45,5 +45,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == was:
             break
         was = now
+    for path in kept[:-1]:
+        drop_path(spark, path)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(roots)
+    out = stage(e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(roots), "components")
+    drop_path(spark, kept[-1])
+    return out

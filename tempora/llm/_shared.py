@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Stands for a null document id inside the operators; sorts before all others.
 NO_ID = -(2**63)
+#: Staged tables by the identity of their DataFrame, which is kept alive with them.
+_PLACES: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,4 +41,14 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = (out, path)
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, directly or through a lazy result."""
+    for df in staged:
+        held = _PLACES.pop(id(df), None)
+        if held:
+            drop_path(df.sparkSession, held[1])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tempora.llm import _text
 from tempora.llm._components import components
 from tempora.llm._exchange import RANGE_KEYS, answers, count_ranges, pack_blocks, with_answers
-from tempora.llm._shared import NO_ID, stage
+from tempora.llm._shared import NO_ID, discard, stage
 
 WIDTH = 5
 #: Similarity in percent.
@@ -97,7 +97,9 @@ def _sets(blocks: DataFrame) -> DataFrame:
         return pa.table({"id": ids, "n": n.astype(np.int64), "s1": pa.array(sig[0], mask=~may), "s2": pa.array(sig[1], mask=~may), "shared": pa.array(raw, pa.binary())})
 
     given = stage(answers(blocks, keys, ranges), "answers")
-    return stage(with_answers(blocks, given, ranges, judge, "id bigint, n bigint, s1 bigint, s2 bigint, shared binary"), "sets")
+    out = stage(with_answers(blocks, given, ranges, judge, "id bigint, n bigint, s1 bigint, s2 bigint, shared binary"), "sets")
+    discard(blocks, given)
+    return out
 
 
 def _pack_sets(classes: DataFrame) -> DataFrame:
@@ -155,7 +157,9 @@ def _prefixed(sets: DataFrame) -> DataFrame:
         return pa.table(rows, pa.schema([("c", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     given = stage(answers(sets, keys, ranges, counts=True), "counts")
-    return stage(with_answers(sets, given, ranges, order, "c bigint, n bigint, prefix array<bigint>, hashes binary, counts binary", counts=True), "ordered")
+    out = stage(with_answers(sets, given, ranges, order, "c bigint, n bigint, prefix array<bigint>, hashes binary, counts binary", counts=True), "ordered")
+    discard(sets, given)
+    return out
 
 
 class _Node:
@@ -255,7 +259,7 @@ def _links(ordered: DataFrame) -> DataFrame:
     held = ordered.select("c", F.explode("prefix").alias("t"))
     least = held.groupBy("t").agg(F.min("c").alias("m"), F.count("*").alias("k")).where("k > 1")
     stars = held.join(least, "t").where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
-    family = stage(components(stars), "families")
+    family = components(stars)
     rows = ordered.join(family.select(F.col("node").alias("c"), F.col("label").alias("family")), "c").select("c", "n", "hashes", "counts", "family")
     sizes = rows.groupBy("family").agg(F.ceil(F.sum(F.length("hashes")) / (8 * FAMILY_KEYS)).cast("int").alias("q"))
     rows = rows.join(sizes, "family")
@@ -278,19 +282,25 @@ def _links(ordered: DataFrame) -> DataFrame:
             out += link_family(c[i:j].tolist(), n[i:j].tolist(), sets[i:j], counts[i:j])
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return stage(rows.groupBy("g", "large", "i", "j").applyInArrow(run, "a bigint, b bigint"), "links")
+    out = stage(rows.groupBy("g", "large", "i", "j").applyInArrow(run, "a bigint, b bigint"), "links")
+    discard(ordered, family)
+    return out
 
 
 def join_similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
-    every = _sets(pack_blocks(docs, id_col, text_col))
+    full = _sets(pack_blocks(docs, id_col, text_col))
+    every = stage(full.drop("shared"), "signatures")
     some = every.where("s1 is not null")
-    classes = some.groupBy("s1", "s2", "n").agg(F.min("id").alias("first"), F.first("shared", ignorenulls=True).alias("shared"))
+    classes = full.where("s1 is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("first"), F.first("shared", ignorenulls=True).alias("shared"))
     classes = stage(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    labels = components(_links(_prefixed(_pack_sets(classes))))
+    discard(full)
+    links = _links(_prefixed(_pack_sets(classes)))
+    labels = components(links)
     named = classes.select("c", "s1", "s2", "n", "first").join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = stage(named.join(least, "label").select("s1", "s2", "n", "component_id"), "class-components")
+    discard(classes, links, labels)
     alone = every.where("s1 is null").select("id", "n", F.col("id").alias("component_id"))
     out = some.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"]).select("id", "n", "component_id").unionByName(alone)
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import _text
 from tempora.llm._exchange import answers, count_ranges, deliver, pack_blocks, with_answers
-from tempora.llm._shared import NO_ID, stage
+from tempora.llm._shared import NO_ID, discard, stage
 
 WIDTH, GRAM = 100, 32
 REACH = WIDTH - GRAM  # bytes of a window before its anchor, at most
@@ -276,6 +276,7 @@ def remove_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     given = stage(answers(blocks, keys, ranges), "answers")
     sent = with_answers(blocks, given, ranges, send, "block bigint, part bigint, raw binary")
     found = stage(sent.groupBy("part").applyInArrow(compare, "block bigint, part bigint, bits binary"), "repeats")
+    discard(given)
     out = deliver(blocks, found, cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, kept binary, starts array<bigint>, ends array<bigint>")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import _text
 from tempora.llm._packs import views
-from tempora.llm._shared import NO_ID, new_path, stage
+from tempora.llm._shared import NO_ID, discard, new_path, stage
 
 END_ID = 0
 #: Distinct chunks kept by a worker; it starts afresh beyond.
@@ -313,6 +313,7 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
         return pa.table({"shard": [int(x["shard"][0])], "name": [name], "keys": [len(h)]})
 
     keyed.groupBy("shard").applyInArrow(index, "shard bigint, name string, keys bigint").write.parquet(f"{root}/shards")
+    discard(entries)
     return root
 
 
