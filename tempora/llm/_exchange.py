@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm._packs import packs, views
-from tempora.llm._shared import NO_ID, stage
+from tempora.llm._shared import NO_ID, ship, stage
 
 BLOCK_BYTES = 4 << 20
 #: Keys per hash range, about.
@@ -30,6 +30,7 @@ BLOCK = "block bigint, size bigint, ids binary, starts binary, data binary"
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str, most: int | None = None) -> DataFrame:
     """block, size, ids, starts, data: whole documents by ascending id in each block; null ids become NO_ID, null texts empty."""
     most = most or BLOCK_BYTES
+    ship(docs.sparkSession)
     df = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):

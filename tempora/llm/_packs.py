@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.llm._shared import ship
+
 #: Bytes of text handled at once; one longer document is handled alone.
 PACK_BYTES = 4 << 20
 
@@ -44,6 +46,7 @@ def append(df: DataFrame, text_col: str, fields: str, make: Callable[[], Callabl
 
     make runs once in each task, so that models and indexes are unpacked there; rows has the pack's `also` columns.
     """
+    ship(df.sparkSession)
     clash = {f.split()[0] for f in fields.split(", ")} & set(df.columns)
     if clash:
         raise ValueError(f"columns are in use: {sorted(clash)}")

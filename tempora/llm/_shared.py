@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+import tempora
+
 #: Stands for a null document id inside the operators; sorts before all others.
 NO_ID = -(2**63)
 #: Staged tables by the identity of their DataFrame, which is kept alive with them.
@@ -26,6 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers: if it is not on PYTHONPATH, send it along with the job's files, once."""
+    root = Path(tempora.__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tempora_shipped", False):
+        return
+    at = Path(tempfile.mkdtemp(prefix="tempora-")) / "tempora_package.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted((root / "tempora").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(at))
+    sc._tempora_shipped = True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import _text
 from tempora.llm._packs import append, packs, views
-from tempora.llm._shared import stage
+from tempora.llm._shared import ship, stage
 
 WIDTH = 10
 #: Benchmark text compiled and broadcast at once.
@@ -168,6 +168,7 @@ def _finder(index: Index, first: bool):
 def _count(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> dict[int, int]:
     """How often each word of the vocabulary occurs in all documents."""
     spark = docs.sparkSession
+    ship(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches):

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import _text
 from tempora.llm._packs import views
-from tempora.llm._shared import NO_ID, discard, new_path, stage
+from tempora.llm._shared import NO_ID, discard, new_path, ship, stage
 
 END_ID = 0
 #: Distinct chunks kept by a worker; it starts afresh beyond.
@@ -242,6 +242,7 @@ _SLOT = np.dtype([("print", "<u4"), ("file", "<i4"), ("offset", "<i8"), ("n", "<
 def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_id", text_col="text", end_id=END_ID) -> str:
     """Encode every document and write the data set; returns its root folder."""
     spark = docs.sparkSession
+    ship(spark)
     root = root or new_path(spark, "tokens")
     df = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -350,6 +351,7 @@ class Reader:
 
 def look_up(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
     """keys(key, again) through the index: key, again, file, offset, n, start; keys that are not in the data set are left out."""
+    ship(spark)
     shards = spark.read.parquet(f"{root}/shards")
     n = shards.count()
     if not n:
