@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm._packs import packs, views
+from tempora.llm._packs import packs, rest, views
 from tempora.llm._shared import NO_ID, ship, stage
 
 BLOCK_BYTES = 4 << 20
 #: Keys per hash range, about.
-RANGE_KEYS = 2_000_000
+RANGE_KEYS = 500_000
 BLOCK = "block bigint, size bigint, ids binary, starts binary, data binary"
 
 
@@ -46,6 +46,8 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, most: int | None =
             for i, j, buf, starts in packs(data, offsets, most):
                 yield pa.RecordBatch.from_pylist([{"block": number, "size": len(buf), "ids": ids[i:j].tobytes(), "starts": starts.tobytes(), "data": press.compress(buf)}])
                 number += 1
+            del batch, data, offsets, ids, order
+            rest()
 
     return stage(df.mapInArrow(run, BLOCK), "blocks")
 
@@ -122,8 +124,11 @@ def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = Fals
                 for part in some.tolist():
                     a, b = cut[part], cut[part + 1]
                     yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "raw": _encode(u[a:b], ids[a:b] if values else None)}])
+                del u, ids
+                rest()
 
     def compare(table: pa.Table) -> pa.Table:
+        rest()
         got = [_decode(x.as_py(), values) for x in table.column("raw")]
         sizes = np.array([len(u) for u, _ in got])
         u = np.concatenate([x for x, _ in got])
@@ -157,6 +162,7 @@ def deliver(blocks: DataFrame, given: DataFrame, f: Callable, schema: str) -> Da
     rows = blocks.select("block", F.lit(-1).cast("bigint").alias("part"), "ids", "starts", "data").unionByName(given.select("block", "part", none.alias("ids"), none.alias("starts"), F.col("bits").alias("data")))
 
     def run(table: pa.Table) -> pa.Table:
+        rest()
         parts = table.column("part").to_pylist()
         own = parts.index(-1)
         ids, starts, buf = unpack(*(table.column(c)[own].as_py() for c in ("ids", "starts", "data")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,15 @@ from pyspark.sql import functions as F
 from tempora.llm._shared import ship
 
 #: Bytes of text handled at once; one longer document is handled alone.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
+_LIBC = ctypes.CDLL(None)
+
+
+def rest() -> None:
+    """Give freed memory back to the system: workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +81,8 @@ def append(df: DataFrame, text_col: str, fields: str, make: Callable[[], Callabl
                 got = f(buf, starts, {c: v.slice(i, j - i) for c, v in rows.items()})
                 new = [x if isinstance(x, pa.Array) else pa.array(x, type=t.type) for x, t in zip(got, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[k.slice(i, j - i) for k in keep], *new], names=[*kept, *arrow.names])
+            del batch, col, data, offsets, keep, rows
+            rest()
 
     if len(set(df.columns)) != len(df.columns):
         raise ValueError("column names repeat")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tempora.llm import _text
 from tempora.llm._components import components
 from tempora.llm._exchange import RANGE_KEYS, answers, count_ranges, pack_blocks, with_answers
+from tempora.llm._packs import rest
 from tempora.llm._shared import NO_ID, discard, stage
 
 WIDTH = 5
@@ -272,6 +273,7 @@ def _links(ordered: DataFrame) -> DataFrame:
     rows = rows.select(group.alias("g"), (F.col("q") > 1).alias("large"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), "family", "c", "n", "hashes", "counts")
 
     def run(table: pa.Table) -> pa.Table:
+        rest()
         t = table.sort_by([("family", "ascending"), ("c", "ascending")])
         f, c, n = (t.column(x).to_numpy() for x in ("family", "c", "n"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]

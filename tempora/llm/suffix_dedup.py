@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import _text
 from tempora.llm._exchange import answers, count_ranges, deliver, pack_blocks, with_answers
+from tempora.llm._packs import rest
 from tempora.llm._shared import NO_ID, discard, stage
 
 WIDTH, GRAM = 100, 32
@@ -36,7 +37,7 @@ ROW = REACH + WIDTH  # bytes kept around an anchor
 #: Blocks sampled for splitters, and suffixes of each.
 SAMPLE_BLOCKS, SAMPLE_KEYS = 64, 2048
 #: Bytes of text for each suffix range, about.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 _SEGMENT = 1 << 19
 
 
@@ -230,6 +231,7 @@ def remove_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
         return _records(block, ids, starts, buf, lo, hi, p, pick, splitters)
 
     def compare(table: pa.Table) -> pa.Table:
+        rest()
         got = [_unpack(x.as_py()) for x in table.column("raw")]
         flags = _repeats(*(np.concatenate([g[c] for g in got]) for c in (0, 1, 3, 4, 5)))
         out = {"block": [], "part": [], "bits": []}

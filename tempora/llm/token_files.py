@@ -39,16 +39,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import _text
-from tempora.llm._packs import views
+from tempora.llm._packs import rest, views
 from tempora.llm._shared import NO_ID, discard, new_path, ship, stage
 
 END_ID = 0
 #: Distinct chunks kept by a worker; it starts afresh beyond.
-CACHE = 1_500_000
+CACHE = 1_000_000
 #: Ids per payload file, about.
 FILE_IDS = 16 << 20
 #: Documents encoded at a time, and keys per index shard, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 SHARD_KEYS = 50_000
 _ODD = re.compile(r"\s")
 _ENCODERS: dict[str, object] = {}
@@ -279,6 +279,8 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
                 wrote += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(own), pa.array(again), pa.array(offsets_in), pa.array(n)], names=["name", "key", "again", "offset", "n"])
                 i = j
+            del batch, data, offsets, keys
+            rest()
         if out:
             out.close()
 
