@@ -4,7 +4,8 @@ Hosts link to hosts by the absolute or protocol-relative href values of their pa
 allowed pages and flows along links; distrust starts at hosts with blocked pages and flows against them (who links to
 blocked places is suspect).  Both are personalised PageRanks.  What a host got from others, without its own seed mass
 (its own pages were judged by the rules), decides: it is blocked if it received more distrust than trust and at least
-`lift` times as much of it as the mean host.  Hosts without links from or to a seed are allowed.
+`lift` times as much of it as the mean host.  Hosts without links from or to a seed are allowed.  With own=True the whole
+ranks decide instead: every host that has a page is scored, and a seed's own mass counts, so hosts need no links to be judged.
 
 Defined cases: a null url or one without :// has empty host and path, fits no rule and is allowed; null html has no links;
 repeated page ids are rows of their own; an empty table gives no rows; further columns are ignored.
@@ -60,13 +61,15 @@ def host_edges(pages: DataFrame, url="url", html="html") -> DataFrame:
     return df.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=ROUNDS, own=False) -> DataFrame:
     """edges(src, dst, n), seeds(host, good, bad) -> host, trust, distrust: mass received from other hosts.
 
+    With own the hosts of seeds without links are ranked too, and the restart mass of a seed is part of its rank.
     Each round is one shuffle join per direction and one sum; its result is written to the shared folder.
     """
     spark = edges.sparkSession
-    nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct().join(seeds, "host", "left").fillna(0.0)
+    nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst"))
+    nodes = (nodes.union(seeds.select("host")) if own else nodes).distinct().join(seeds, "host", "left").fillna(0.0)
     total = nodes.agg(F.sum("good"), F.sum("bad")).first()
     nodes = nodes.select("host", *[(F.col(c) / F.lit(x or 1.0)).alias(c) for c, x in zip(("good", "bad"), total, strict=True)])
     nodes = stage(nodes, "hosts")
@@ -88,20 +91,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=ROUNDS
         if old:
             drop_path(spark, old)
         old, last = path, read
+    if own:
+        return ranks.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
     return last.select("host", F.col("tin").alias("trust"), F.col("din").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, damping=DAMPING, rounds=ROUNDS, lift=LIFT, page_id="page_id", url="url", html="html") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, damping=DAMPING, rounds=ROUNDS, lift=LIFT, page_id="page_id", url="url", html="html", own=False) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     judged = stage(pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("r", rule_column(F.col("host"), F.col("path"), rules)), "judged")
     edges = stage(host_edges(pages, url, html), "host-edges")
     out = judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))
-    if edges.isEmpty():  # nothing can be received from other hosts
+    if not own and edges.isEmpty():  # nothing can be received from other hosts
         return out.withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
     count = lambda v: F.sum(F.when(F.col("r.verdict") == v, 1.0).otherwise(0.0))
     seeds = judged.where("host <> ''").groupBy("host").agg(count("allow").alias("good"), count("block").alias("bad"))
-    ranks = propagate(edges, seeds, damping, rounds)
+    ranks = propagate(edges, seeds, damping, rounds, own)
     mean = ranks.agg(F.avg("distrust")).first()[0] or 0.0
     bad = ranks.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= F.lit(lift * mean)))
     bad = stage(bad.select("host", F.lit("block").alias("_b")), "blocked-hosts")

@@ -67,5 +67,24 @@ def test_linking_to_blocked_hosts_blocks(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_own_mass_judges_hosts_without_links(spark):
+    pages = [(k, f"http://bad.com/en/{k}", None) for k in range(3)] + [(3, "http://bad.com/x", None), (4, "http://a.example.com/en/7", None), (5, "http://a.example.com/x", None), (6, "http://alone.info/", "")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    verdicts = lambda own: {r.page_id: r.verdict for r in uf.judge(df, own=own).collect()}
+    assert verdicts(True) == {0: "block", 1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
+    assert verdicts(False) == verdicts(True) | {3: "allow"}
+
+
+def test_own_mass_on_real_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = {r.page_id: judged(r.url) for r in pages.collect()}
+    good, bad = ({h: sum(j[0] == h and j[3] == v for j in rows.values()) for h in {j[0] for j in rows.values()} - {""}} for v in ("allow", "block"))
+    share = lambda x, h: x[h] / (sum(x.values()) or 1)
+    blocked = {h for h in bad if share(bad, h) > share(good, h) and share(bad, h) >= 1 / len(bad)}
+    got = {r.page_id: r.verdict for r in uf.judge(pages, own=True).collect()}
+    assert got == {i: v or ("block" if h in blocked else "allow") for i, (h, _, _, v) in rows.items()}
+    assert sum(j[3] is None and j[0] in blocked for j in rows.values()) > 0
+
+
 def test_empty_table(spark):
     assert uf.judge(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
