@@ -9,10 +9,13 @@ one).  The join is exact on 64-bit shingle hashes (two shingles are confused wit
    the prefix of n - ceil(0.8 n) + 1 shingles.  Classes that share a prefix shingle form families (components of the star edges
    to each shingle's smallest class; no pairs are listed).
 3. Within a family the ordered sets go into tries whose nodes keep the shortest and longest set below them.  A set runs down the tries, sharing the
-   overlap of common beginnings, and leaves a subtree as soon as what is left cannot reach the overlap that its lengths require.  There is
-   one trie list per component found so far, left at the first partner: more links inside a component change nothing.
-   Large families are cut into chunks, and every pair of chunks is a task of its own, so no pair of sets is lost and none is too big.
-4. Components of the links, and of each the smallest doc_id.
+   overlap of common beginnings, and leaves a subtree as soon as what is left cannot reach the overlap that its lengths require.  All
+   partners are kept, so every pair of similar classes is found, once.  Large families are cut into chunks, and every pair of chunks
+   is a task of its own, which lists only the pairs across it, so no pair of sets is lost or repeated and none is too big.
+4. Components of the pairs, and of each the smallest doc_id.
+
+similar_pairs() gives the pairs of classes and the class of every document: documents are similar if they are in one class or in two
+paired ones.
 
 Defined cases: null text or no words: empty set, linked with nothing; equal rows are one class; rows of one doc_id are documents
 of their own that share the id; a null doc_id is smaller than any other; an empty table gives no rows; further columns are ignored.
@@ -20,6 +23,8 @@ of their own that share the id; a null doc_id is smaller than any other; an empt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +41,8 @@ WIDTH = 5
 LEAST = 80
 #: Shingles of one family that a task joins at once; larger families are joined chunk by chunk.
 FAMILY_KEYS = 4_000_000
+#: Pairs that a task holds before it hands them on.
+LINK_ROWS = 1 << 18
 
 
 def shingle_sets(starts: np.ndarray, buf: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -202,9 +209,9 @@ class Trie:
                 nxt = top
             node, i = nxt, i + m
 
-    def partner(self, inside: np.ndarray, upto: np.ndarray, size: int, n: int) -> int | None:
-        """A member whose set reaches the similarity, or None.  inside marks the query's items, upto counts them up to each item."""
-        stack = [(self.root, 0, 0)]
+    def partners(self, inside: np.ndarray, upto: np.ndarray, size: int, n: int) -> list[int]:
+        """All members whose sets reach the similarity.  inside marks the query's items, upto counts them up to each item."""
+        out, stack = [], [(self.root, 0, 0)]
         while stack:
             node, overlap, behind = stack.pop()
             if len(node.seg):
@@ -212,17 +219,17 @@ class Trie:
                 behind = int(upto[node.seg[-1]])
             for member, m in node.ends:
                 if 100 * overlap >= LEAST * (n + m - overlap):
-                    return member
+                    out.append(member)
             for nxt in node.below.values():
                 best = overlap + min(size - behind, nxt.depth + len(nxt.seg))
                 short = max(nxt.least, -(-LEAST * n // 100))
                 if short <= min(nxt.most, 100 * n // LEAST) and 100 * best >= LEAST * (n + short - best):
                     stack.append((nxt, overlap, behind))
-        return None
+        return out
 
 
-def link_family(members: list[int], n: list[int], sets: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect every component of the family's similarity graph."""
+def link_family(members: np.ndarray, n: list[int], sets: list[np.ndarray], counts: list[np.ndarray], across: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of similar sets of the family, once, smaller member first; given a mask, only those between its two sides."""
     h, c = np.concatenate(sets), np.concatenate(counts)
     edge = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
     order = np.lexsort((h, c))
@@ -230,33 +237,22 @@ def link_family(members: list[int], n: list[int], sets: list[np.ndarray], counts
     new[1:] = h[order][1:] != h[order][:-1]
     rank = np.empty(len(h), np.int64)
     rank[order] = np.cumsum(new) - 1
-    groups: list[list[Trie]] = []
-    out, inside = [], np.zeros(int(new.sum()) + 1, bool)
-    for k in np.argsort(n, kind="stable").tolist():
+    trie, inside = Trie(), np.zeros(int(new.sum()) + 1, bool)
+    todo = np.arange(len(n)) if across is None else np.concatenate([np.flatnonzero(~across), np.flatnonzero(across)])
+    for k in todo.tolist():
         x = rank[edge[k] : edge[k + 1]]
-        inside[x] = True
-        upto = np.cumsum(inside)
-        mine: list[Trie] = []
-        rest = []
-        for tries in groups:
-            for t in tries:
-                p = t.partner(inside, upto, len(x), n[k])
-                if p is not None:
-                    out.append((members[k], members[p]))
-                    mine = tries + mine if len(tries) > len(mine) else mine + tries
-                    break
-            else:
-                rest.append(tries)
-        inside[x] = False
-        if not mine:
-            mine = [Trie()]
-        mine[0].add(x, n[k], k)
-        groups = [*rest, mine]
-    return out
+        if across is None or across[k]:
+            inside[x] = True
+            p = members[trie.partners(inside, np.cumsum(inside), len(x), n[k])]
+            inside[x] = False
+            if len(p):
+                yield np.minimum(p, members[k]), np.maximum(p, members[k])
+        if across is None or not across[k]:
+            trie.add(x, n[k], k)
 
 
 def _links(ordered: DataFrame) -> DataFrame:
-    """a, b: links that connect the components of similar classes."""
+    """a, b: every pair of similar classes, once, a < b."""
     held = ordered.select("c", F.explode("prefix").alias("t"))
     least = held.groupBy("t").agg(F.min("c").alias("m"), F.count("*").alias("k")).where("k > 1")
     stars = held.join(least, "t").where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
@@ -267,37 +263,61 @@ def _links(ordered: DataFrame) -> DataFrame:
     spread = max(8, 4 * int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chunk = F.pmod(F.hash("c"), F.col("q"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct(F.least(j, F.col("chunk")).alias("i"), F.greatest(j, F.col("chunk")).alias("j")))
-    rows = rows.withColumn("chunk", chunk).select("c", "n", "hashes", "counts", "family", "q", F.explode(pairs).alias("p"))
+    rows = rows.withColumn("chunk", chunk).select("c", "n", "hashes", "counts", "family", "q", "chunk", F.explode(pairs).alias("p"))
     # a small family shares a task's group with others; each pair of chunks of a large one is a group
     group = F.when(F.col("q") == 1, F.pmod(F.xxhash64("family"), F.lit(spread))).otherwise(F.col("family"))
-    rows = rows.select(group.alias("g"), (F.col("q") > 1).alias("large"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), "family", "c", "n", "hashes", "counts")
+    rows = rows.select(group.alias("g"), (F.col("q") > 1).alias("large"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), "family", "chunk", "c", "n", "hashes", "counts")
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest()
-        t = table.sort_by([("family", "ascending"), ("c", "ascending")])
-        f, c, n = (t.column(x).to_numpy() for x in ("family", "c", "n"))
+        t = pa.Table.from_batches(batches).sort_by([("family", "ascending"), ("c", "ascending")])
+        f, c, n, chunk, at = (t.column(x).to_numpy() for x in ("family", "c", "n", "chunk", "i"))
+        across = chunk != at if t.column("j")[0] != t.column("i")[0] else None
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
         counts = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("counts")]
         first = np.append(np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])), len(f)).tolist()
-        out = []
+        held, size = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*held, strict=True)], names=["a", "b"])
         for i, j in zip(first[:-1], first[1:], strict=True):
-            out += link_family(c[i:j].tolist(), n[i:j].tolist(), sets[i:j], counts[i:j])
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            for pair in link_family(c[i:j], n[i:j].tolist(), sets[i:j], counts[i:j], across):
+                held.append(pair)
+                size += len(pair[0])
+                if size >= LINK_ROWS:
+                    yield batch()
+                    held, size = [], 0
+        if held:
+            yield batch()
 
     out = stage(rows.groupBy("g", "large", "i", "j").applyInArrow(run, "a bigint, b bigint"), "links")
     discard(ordered, family)
     return out
 
 
-def join_similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
+def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged: signatures of all documents, classes of those that may have a partner, all pairs of similar classes."""
     full = _sets(pack_blocks(docs, id_col, text_col))
     every = stage(full.drop("shared"), "signatures")
-    some = every.where("s1 is not null")
     classes = full.where("s1 is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("first"), F.first("shared", ignorenulls=True).alias("shared"))
     classes = stage(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     discard(full)
-    links = _links(_prefixed(_pack_sets(classes)))
+    return every, classes, _links(_prefixed(_pack_sets(classes)))
+
+
+def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
+    """(pairs, documents): class_a, class_b of every pair of similar classes, once; doc_id, n_shingles, class_id of every document.
+
+    A class holds the documents of one set of shingles; class_id is null where no other document can be similar.
+    """
+    every, classes, links = _joined(docs, id_col, text_col)
+    of = classes.select("s1", "s2", "n", F.col("c").alias("class_id"))
+    members = every.join(of, ["s1", "s2", "n"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), "class_id")
+    return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), members
+
+
+def join_similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every document."""
+    every, classes, links = _joined(docs, id_col, text_col)
+    some = every.where("s1 is not null")
     labels = components(links)
     named = classes.select("c", "s1", "s2", "n", "first").join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))

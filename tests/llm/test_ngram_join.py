@@ -90,3 +90,32 @@ def test_keep_one(spark):
     assert out.columns == df.columns
     comp = {d: c for d, _, c in brute([r[:2] for r in corpus.rows()])}
     assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, c in comp.items() if d == c)
+
+
+def all_pairs(docs):
+    """Pairs of similar documents, and those of equal sets among them."""
+    sets = [(d, shingles(t)) for d, t in docs]
+    near = {(min(a, b), max(a, b)) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if s & t and 100 * len(s & t) >= 80 * len(s | t)}
+    same = dict(sets)
+    return near, {p for p in near if same[p[0]] == same[p[1]]}
+
+
+@pytest.mark.parametrize("family_keys", [4_000_000, 700])
+def test_every_pair_is_found_once(spark, monkeypatch, family_keys):
+    monkeypatch.setattr(ngram_join, "FAMILY_KEYS", family_keys)
+    monkeypatch.setattr(ngram_join, "LINK_ROWS", 50)
+    docs = near_copies(2, size=300)
+    pairs, members = ngram_join.similar_pairs(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4))
+    rows = members.collect()
+    assert sorted((r.doc_id, r.n_shingles) for r in rows) == sorted((d, len(shingles(t))) for d, t in docs)
+    held = {}
+    for r in rows:
+        held.setdefault(r.class_id, []).append(r.doc_id)
+    alone = held.pop(None, [])
+    found = [(a, b) for x in held.values() for a in x for b in x if a < b]
+    near, same = all_pairs(docs)
+    assert sorted(found) == sorted(same) and not {x for p in near for x in p} & set(alone)
+    for p in pairs.collect():
+        found += [(min(a, b), max(a, b)) for a in held[p.class_a] for b in held[p.class_b]]
+    assert len(near) > 3 * len(docs)
+    assert sorted(found) == sorted(near)
