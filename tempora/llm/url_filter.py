@@ -13,6 +13,7 @@ repeated page ids are rows of their own; an empty table gives no rows; further c
 
 from __future__ import annotations
 
+import itertools
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,8 @@ from tempora.llm._shared import drop_path, new_path, stage
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 DAMPING = 0.85
-ROUNDS = 12
+#: Rounds go on until all ranks together change by less than this share of the mean host's mass, 1 / hosts.
+TOLERANCE = 1e-3
 LIFT = 1.0
 #: Blocked hosts up to this many are broadcast to the pages; more join by shuffle, where AQE splits hot hosts.
 BROADCAST_ROWS = 100_000
@@ -61,25 +63,31 @@ def host_edges(pages: DataFrame, url="url", html="html") -> DataFrame:
     return df.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=ROUNDS, own=False) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=None, own=False) -> DataFrame:
     """edges(src, dst, n), seeds(host, good, bad) -> host, trust, distrust: mass received from other hosts.
 
     With own the hosts of seeds without links are ranked too, and the restart mass of a seed is part of its rank.
+    The ranks start from the restart mass and only grow, so the growth of their sum is their change; it shrinks by `damping` a round
+    and ends the rounds below TOLERANCE / hosts.  A given number of rounds is done from the whole seed mass instead.
     Each round is one shuffle join per direction and one sum; its result is written to the shared folder.
     """
+    if rounds is None and not 0 <= damping < 1:
+        raise ValueError(f"damping has to be in [0, 1), not {damping}")
     spark = edges.sparkSession
     nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst"))
     nodes = (nodes.union(seeds.select("host")) if own else nodes).distinct().join(seeds, "host", "left").fillna(0.0)
     total = nodes.agg(F.sum("good"), F.sum("bad")).first()
     nodes = nodes.select("host", *[(F.col(c) / F.lit(x or 1.0)).alias(c) for c, x in zip(("good", "bad"), total, strict=True)])
     nodes = stage(nodes, "hosts")
+    most = TOLERANCE / max(1, nodes.count())
     out_n = edges.groupBy("src").agg(F.sum("n").alias("total"))
     in_n = edges.groupBy("dst").agg(F.sum("n").alias("total"))
     along = stage(edges.join(out_n, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("p")), "along")
     against = stage(edges.join(in_n, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("p")), "against")
     zero = F.lit(0.0)
-    ranks, old = nodes.select("host", F.col("good").alias("t"), F.col("bad").alias("d")), None
-    for _ in range(rounds):
+    start = F.lit(1 - damping if rounds is None else 1.0)
+    ranks, old, mass = nodes.select("host", (start * F.col("good")).alias("t"), (start * F.col("bad")).alias("d")), None, 0.0
+    for _ in itertools.count() if rounds is None else range(rounds):
         got = along.join(ranks, "host").select(F.col("to").alias("host"), (F.col("p") * F.col("t")).alias("tin"), zero.alias("din"))
         got = got.unionAll(against.join(ranks, "host").select(F.col("to").alias("host"), zero.alias("tin"), (F.col("p") * F.col("d")).alias("din")))
         got = got.groupBy("host").agg(F.sum("tin").alias("tin"), F.sum("din").alias("din"))
@@ -91,12 +99,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping=DAMPING, rounds=ROUNDS
         if old:
             drop_path(spark, old)
         old, last = path, read
+        if rounds is None:
+            was, mass = mass, read.agg(F.sum(F.col("tin") + F.col("din"))).first()[0] or 0.0
+            if mass - was < most:
+                break
     if own:
         return ranks.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
     return last.select("host", F.col("tin").alias("trust"), F.col("din").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, damping=DAMPING, rounds=ROUNDS, lift=LIFT, page_id="page_id", url="url", html="html", own=False) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, damping=DAMPING, rounds=None, lift=LIFT, page_id="page_id", url="url", html="html", own=False) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     judged = stage(pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("r", rule_column(F.col("host"), F.col("path"), rules)), "judged")

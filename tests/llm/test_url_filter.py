@@ -60,6 +60,26 @@ def test_propagation_against_power_iteration(spark):
         assert abs(got[h].trust - trust[h]) < 1e-9 and abs(got[h].distrust - distrust[h]) < 1e-9
 
 
+def test_ranks_converge(spark):
+    edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "d", 1.0), ("c", "a", 1.0), ("d", "x", 1.0), ("y", "x", 3.0), ("y", "a", 1.0), ("x", "y", 1.0)]
+    seeds = spark.createDataFrame([("a", 3.0, 0.0), ("x", 0.0, 2.0)], "host string, good double, bad double")
+    got = {r.host: r for r in uf.propagate(spark.createDataFrame(edges, "src string, dst string, n double"), seeds, damping=0.5).collect()}
+    trust, distrust = rank(edges, {"a": 3.0}, 0.5, 100), rank([(b, a, n) for a, b, n in edges], {"x": 2.0}, 0.5, 100)
+    for h in trust:
+        assert abs(got[h].trust - trust[h]) < uf.TOLERANCE / len(trust) and abs(got[h].distrust - distrust[h]) < uf.TOLERANCE / len(trust)
+
+
+def test_distrust_reaches_hosts_far_away(spark):
+    far = 15
+    pages = [(0, "http://bad.com/en/1", "")] + [(k, f"http://h{k}.info/", f'<a href="//{f"h{k - 1}.info" if k > 1 else "bad.com"}/">') for k in range(1, far + 1)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert {r.verdict for r in uf.judge(df, lift=0.0).collect()} == {"block"}
+    seeds = spark.createDataFrame([("bad.com", 0.0, 1.0)], "host string, good double, bad double")
+    got = {r.host: r.distrust for r in uf.propagate(uf.host_edges(df), seeds).collect()}
+    for k in range(1, far + 1):
+        assert abs(got[f"h{k}.info"] - 0.15 * 0.85**k) < 1e-9
+
+
 def test_linking_to_blocked_hosts_blocks(spark):
     link = lambda h: f'<a href="http://{h}/">x</a><A HREF=\'//{h}/y?z\'>y</a><a href="/own">o</a>'
     pages = [(1, "http://bad.com/en/1", ""), (2, "http://spam.info/1", link("bad.com")), (3, "http://good.example.com/en/7", link("nice.info")), (4, "http://nice.info/", ""), (5, "http://alone.info/", None)]
