@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import warnings
 from dataclasses import asdict, dataclass, field
 from typing import Any
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import exprs as E
 from tempora.operators.checks import castable_counts
+from tempora.staging import stage
 
 CHECKS = ("sample_size", "feature_count", "feature_ratio", "feature_variability", "class_balance")
 EXTENDED = ("categorical_cardinality", "binary_features")
@@ -27,16 +29,16 @@ class CheckResult:
         return asdict(self)
 
     def to_log_entry(self) -> dict[str, Any]:
-        return {"validation_passed": self.passed, "message": self.message, "details": self.details, "log_level": self.severity or ("INFO" if self.passed else "WARNING")}
+        return {"validation_passed": self.passed, "validation_message": self.message, "validation_details": self.details, "log_level": self.severity or ("INFO" if self.passed else "WARNING")}
 
 
 def failed_checks(results: dict[str, CheckResult]) -> dict[str, CheckResult]:
     return {k: r for k, r in results.items() if not r.passed}
 
 
-def summary(results: dict[str, CheckResult]) -> dict[str, int]:
+def summary(results: dict[str, CheckResult]) -> dict[str, Any]:
     bad = len(failed_checks(results))
-    return {"total_checks": len(results), "failed_checks": bad, "passed_checks": len(results) - bad}
+    return {"total_checks": len(results), "passed_checks": len(results) - bad, "failed_checks": bad, "check_details": {k: r.to_dict() for k, r in results.items()}}
 
 
 def quality_counts(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
@@ -51,10 +53,8 @@ def quality_counts(df: DataFrame, features: list[str], target: str | None = None
 
 def class_balance(df: DataFrame, column: str) -> DataFrame:
     """Rows of each class and their ratio to the smallest class."""
-    n = df.groupBy(column).agg(F.count("*").alias("n"))
-    least = n.agg(F.min("n").alias("least"))
-    low = least.first()[0]
-    return n.withColumn("ratio", F.col("n") / F.lit(float(low or 1)))
+    n = stage(df.groupBy(column).agg(F.count("*").alias("n")), "classes")  # counted once; one row per class
+    return n.withColumn("ratio", F.col("n") / F.lit(float(n.agg(F.min("n")).first()[0] or 1)))
 
 
 class QualityReport:
@@ -173,3 +173,12 @@ def features_to_numbers(df: DataFrame, names: list[str]) -> DataFrame:
 
 def print_divider(char: str = "=", length: int = 70) -> None:
     print(char * length)
+
+
+def keys_from_environment(names: list[str]) -> dict[str, str | None]:
+    """The values of environment variables, such as keys of model services; None and a warning for those that are not set."""
+    out = {n: os.environ.get(n) for n in names}
+    for n, v in out.items():
+        if v is None:
+            warnings.warn(f"environment variable {n} is not set", UserWarning, stacklevel=2)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import exprs as E
-from tempora.operators.order import global_index
+from tempora.operators.order import means_in_order
 
 
 def group_metrics(df: DataFrame, by: str, value: str, time_col: str | None = None) -> DataFrame:
@@ -24,17 +24,12 @@ def frequency_span(df: DataFrame, by: str, time_col: str) -> DataFrame:
 def rolling_mean(df: DataFrame, value: str, size: int, order: list[str], name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean of the last `size` rows, null until there are so many or if one of them is null.
 
-    Without `by` the rows form one sequence in the order given, across groups; it is computed in many tasks: each row is sent to
-    the next size - 1 rows' indexes and summed there.
+    Without `by` the rows form one sequence in the order given, across groups; chunks of it are handled side by side.
     """
     if by:
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(size - 1), 0)
         return df.withColumn(name, F.when(F.count(value).over(w) == size, F.avg(value).over(w)))
-    indexed = global_index(df, order[0], tuple(order[1:]), "_idx")
-    sums = indexed.select(F.explode(F.sequence(F.col("_idx"), F.col("_idx") + size - 1)).alias("_at"), F.col(value).alias("_v"))
-    sums = sums.groupBy("_at").agg(F.avg("_v").alias("_mean"), F.count("_v").alias("_n"))
-    out = indexed.join(sums, F.col("_idx") == F.col("_at"))
-    return out.select(*df.columns, F.when(F.col("_n") == size, F.col("_mean")).alias(name))
+    return means_in_order(df, value, size, [F.col(f"`{c}`").asc_nulls_first() for c in order], name)
 
 
 def mean_impute(df: DataFrame, names: list[str]) -> DataFrame:

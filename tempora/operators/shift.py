@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tempora.errors import TargetColumnWarning
 from tempora.frame import TemporalFrame
 from tempora.functions import exprs as E
-from tempora.operators.order import lead_in_order
+from tempora.operators.order import lead_in_order, leads_in_order
 
 
 def shift_target(df: DataFrame, target: str, n: int, order: str, ties: tuple[str, ...] = (), by: tuple[str, ...] = (), ascending: bool = True, drop_target: bool = True) -> DataFrame:
@@ -32,14 +32,14 @@ def shift_target(df: DataFrame, target: str, n: int, order: str, ties: tuple[str
 
 def shift_steps(df: DataFrame, target: str, n: int, order: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
     """df with {target}_next array<double>: the n values that follow, for rows that have all of them."""
-    w = Window.partitionBy(*by).orderBy(E.time_number(df, order).asc_nulls_first(), *ties)
-    steps = [F.lead(target, k).over(w).cast("double") for k in range(1, n + 1)]
-    if not by:
-        for k in range(1, n + 1):
-            df = lead_in_order(df, target, k, order, f"_s{k}", ties)
-        steps = [F.col(f"_s{k}").cast("double") for k in range(1, n + 1)]
-    out = df.withColumn(f"{target}_next", F.array(*steps)).where(F.forall(f"{target}_next", lambda x: x.isNotNull()))
-    return out.drop(*[f"_s{k}" for k in range(1, n + 1)])
+    names = {k: f"_tempora_s{k}" for k in range(1, n + 1)}
+    if by:
+        w = Window.partitionBy(*by).orderBy(E.time_number(df, order).asc_nulls_first(), *ties)
+        df = df.withColumns({name: F.lead(target, k).over(w) for k, name in names.items()})
+    else:
+        df = leads_in_order(df, target, names, order, ties)
+    out = df.withColumn(f"{target}_next", F.array(*[F.col(c).cast("double") for c in names.values()]))
+    return out.where(F.forall(f"{target}_next", lambda x: x.isNotNull())).drop(*names.values())
 
 
 class TargetShifter:

@@ -8,11 +8,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol, runtime_checkable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import exprs as E
-from tempora.operators.order import global_index
+from tempora.operators.order import global_index, index_and_count
+
+#: Expanding windows whose sums run on in one task.
+STEP = 4096
 
 
 def validate_percentages(train: float, test: float | None = None, validation: float | None = None, precision: float = 1e-6) -> tuple[float, float, float]:
@@ -75,11 +78,26 @@ def assign(indexed: DataFrame, idx: str, size: int, stride: int, count: int) ->
 
 
 def expanding(indexed: DataFrame, idx: str, size: int, stride: int, count: int) -> DataFrame:
-    """Window k holds the first size + k * stride rows."""
+    """Window k holds the first size + k * stride rows.  These are rows times windows; sums alone are cheaper by expanding_sums()."""
     first = F.greatest(F.ceil((F.col(idx) - (size - 1)) / F.lit(stride)), F.lit(0)).cast("bigint")
     return indexed.where(first <= count - 1).withColumn("window_id", F.explode(F.sequence(first, F.lit(count - 1).cast("bigint"))))
 
 
+def expanding_sums(indexed: DataFrame, idx: str, size: int, stride: int, count: int, value: str) -> DataFrame:
+    """window_id, n, total of value for each expanding window: rows are summed once, by the first window that holds them, and the sums
+    run on over the windows, in groups of STEP windows after one row per group."""
+    first = F.greatest(F.ceil((F.col(idx) - (size - 1)) / F.lit(stride)), F.lit(0)).cast("bigint")
+    own = indexed.withColumn("window_id", first).where(F.col("window_id") <= count - 1).groupBy("window_id").agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    own = own.withColumn("step", F.floor(F.col("window_id") / STEP))
+    before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = own.groupBy("step").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    steps = steps.select("step", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.sum("total").over(before).alias("t0"))
+    w = Window.partitionBy("step").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = own.select("window_id", "step", F.sum("n").over(w).alias("n"), F.sum("total").over(w).alias("total")).join(steps, "step")
+    total = F.when(F.col("total").isNull(), F.col("t0")).otherwise(F.col("total") + F.coalesce("t0", F.lit(0)))
+    return run.select("window_id", (F.col("n") + F.col("n0")).alias("n"), total.alias("total"))
+
+
 def split_of(pos: Column, size: int, train: float, test: float) -> Column:
     """The part of a window in which the row at `pos` lies."""
     a = round(size * train)
@@ -134,13 +152,13 @@ class SlidingWindows:
     def setup(self, df: DataFrame) -> DataFrame:
         """Check the configuration against the table; the table with its index."""
         self.shares = validate_percentages(self.train, self.test, self.validation)
-        total = df.count()
+        indexed, total = index_and_count(df, self.time_col, self.ties)
         how, self.count, self.size = partition_scheme(self.num_partitions, self.window_size, total, self.stride)
         self.step = self.size if how == "num_partitions" or self.stride is None else self.stride
         validate_cardinality(self.count, self.size, total)
         if self.split not in {"rows", "time"} or self.kind not in {"sliding", "expanding"}:
             raise ValueError("split must be 'rows' or 'time', kind 'sliding' or 'expanding'")
-        return global_index(df, self.time_col, self.ties)
+        return indexed
 
     def fit(self, df: DataFrame) -> DataFrame:
         """One row per window: first and last index, and its times."""
@@ -169,63 +187,6 @@ class SlidingWindows:
         part = F.when(t < F.col("split"), "train").when(t < F.col("end"), "test").otherwise("validation")
         return rows.withColumn("split", part).select(*indexed.columns, "window_id", "split")
 
-    def fit_transform(self, df: DataFrame) -> DataFrame: ...
-
-
-@dataclass
-class SlidingWindows:
-    """Windows of `window_size` rows every `stride` rows in time order (or `num_partitions` equal ones), with parts.
-
-    split "rows" parts each window by rows inside it; "time" in proportion of time, with validation past the window.
-    """
-
-    time_col: str
-    window_size: int | None = None
-    stride: int | None = None
-    num_partitions: int | None = None
-    train: float = 0.7
-    test: float | None = None
-    validation: float | None = None
-    ties: tuple[str, ...] = ()
-    split: str = "rows"
-    kind: str = "sliding"
-
-    def setup(self, df: DataFrame) -> DataFrame:
-        """Check the configuration against the table; the table with its index."""
-        self.shares = validate_percentages(self.train, self.test, self.validation)
-        total = df.count()
-        how, self.count, self.size = partition_scheme(self.num_partitions, self.window_size, total, self.stride)
-        self.step = self.size if how == "num_partitions" or self.stride is None else self.stride
-        validate_cardinality(self.count, self.size, total)
-        if self.split not in {"rows", "time"} or self.kind not in {"sliding", "expanding"}:
-            raise ValueError("split must be 'rows' or 'time', kind 'sliding' or 'expanding'")
-        return global_index(df, self.time_col, self.ties)
-
-    def fit(self, df: DataFrame) -> DataFrame:
-        """One row per window: first and last index, and its times."""
-        w = self._windows(self.setup(df))
-        return w.groupBy("window_id").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.min(self.time_col).alias("start"), F.max(self.time_col).alias("end"), F.count("*").alias("n"))
-
-    def _windows(self, indexed: DataFrame) -> DataFrame:
-        if self.kind == "expanding":
-            return expanding(indexed, "idx", self.size, self.step, self.count).withColumn("pos", F.col("idx"))
-        return assign(indexed, "idx", self.size, self.step, self.count)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Every row of every window, with window_id and split."""
-        indexed = self.setup(df)
-        w = self._windows(indexed)
-        if self.split == "rows" and self.kind == "sliding":
-            return w.withColumn("split", split_of(F.col("pos"), self.size, *self.shares[:2]))
-        train, _, validation = self.shares
-        b = time_bounds(w, self.time_col, train, validation)
-        # rows past a window are found by time among the windows' bounds, bucketed by index distance: validation is at most one window long
-        t = E.time_number(indexed, self.time_col)
-        near = assign(indexed.withColumn("_i", F.greatest(F.col("idx") - self.size, F.lit(0))), "idx", 2 * self.size, self.step, self.count) if self.kind == "sliding" else w
-        rows = near.drop("pos", "_i").join(b, "window_id").where((t >= F.col("start")) & (t < F.col("validation_end")))
-        part = F.when(t < F.col("split"), "train").when(t < F.col("end"), "test").otherwise("validation")
-        return rows.withColumn("split", part).drop("start", "end", "validation_end")
-
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.transform(df)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora import errors
 from tempora.frame import TemporalFrame
 from tempora.functions import exprs as E
 from tempora.operators import checks, importance, order, pad, quality, rolling, shift, windows
@@ -82,6 +83,12 @@ def shift_steps_by_user(spark, d):
     return out.select("event_id", F.get("value_next", 0).alias("next_1"), F.get("value_next", 1).alias("next_2"))
 
 
+@query("SELECT event_id, lead(value, 1) OVER w AS next_1, lead(value, 3) OVER w AS next_3 FROM events WINDOW w AS (ORDER BY ts, event_id) QUALIFY lead(value, 2) OVER w IS NOT NULL AND next_3 IS NOT NULL AND next_1 IS NOT NULL")
+def shift_steps_global(spark, d):
+    out = shift.shift_steps(_events(spark, d), "value", 3, "ts", ties=("event_id",))
+    return out.select("event_id", F.get("value_next", 0).alias("next_1"), F.get("value_next", 2).alias("next_3"))
+
+
 # --- order
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM events")
@@ -257,10 +264,27 @@ def window_split_time(spark, d):
     return _sliding(split="time").partitions(_series(spark, d))
 
 
+_BURSTS = """SELECT event_id, make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 1000 END * (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000) AS ts FROM events"""
+
+
+@query(f"""WITH e AS ({_BURSTS}), i AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM e), n AS (SELECT count(*) AS n FROM i),
+g AS (SELECT w AS window_id FROM n, range((n - 300) // 200 + 1) AS r(w)),
+b AS (SELECT window_id, min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM g JOIN i ON idx >= window_id * 200 AND idx < window_id * 200 + 300 GROUP BY window_id)
+SELECT window_id, CASE WHEN epoch_us(ts) < a + floor((z - a) * 0.5::DOUBLE)::BIGINT THEN 'train' WHEN epoch_us(ts) < z THEN 'test' ELSE 'validation' END AS split,
+count(*) AS n, min(idx) AS first, max(idx) AS last FROM b JOIN i ON epoch_us(ts) >= a AND epoch_us(ts) < z + floor((z - a) * 0.5::DOUBLE)::BIGINT GROUP BY ALL""")
+def window_split_time_bursts(spark, d):
+    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    e = _table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    at = start + F.floor(F.when(F.col("event_id") % 3 == 0, 1).otherwise(1000) * (F.col("t") - start) / 1000).cast("bigint")
+    s = windows.SlidingWindows("ts", 300, 200, train=0.5, test=0.0, validation=0.5, split="time", ties=("event_id",))
+    return s.partitions(e.select("event_id", F.timestamp_micros(at).alias("ts")))
+
+
 @query(_WINDOWS + f"SELECT window_id, count(*) AS n, round(avg(value), 6) AS mean_value FROM g JOIN i ON idx < {SIZE} + window_id * {STRIDE} GROUP BY window_id")
 def expanding_windows(spark, d):
     s = _sliding(kind="expanding")
-    return s._windows(s.setup(_series(spark, d))).groupBy("window_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
+    sums = windows.expanding_sums(s.setup(_series(spark, d)), "idx", s.size, s.step, s.count, "value")  # no value is null
+    return sums.select("window_id", "n", F.round(F.col("total") / F.col("n"), 6).alias("mean_value"))
 
 
 @query(f"SELECT n AS total_rows, (n - {SIZE}) // {STRIDE} + 1 AS windows, n // 5 AS fifth FROM (SELECT count(*) AS n FROM events)")
@@ -270,8 +294,33 @@ def partition_scheme(spark, d):
     return spark.createDataFrame([row], "total_rows bigint, windows bigint, fifth bigint")
 
 
+@query("SELECT 'train' AS part, 0.7::DOUBLE AS share UNION ALL SELECT 'test', 0.2::DOUBLE UNION ALL SELECT 'validation', 0.1::DOUBLE")
+def window_shares(spark, d):
+    return spark.createDataFrame([(k, round(x, 9)) for k, x in zip(("train", "test", "validation"), windows.validate_percentages(0.7, None, 0.1), strict=True)], "part string, share double")
+
+
 # --- quality
 
+@query("""WITH q AS (SELECT count(*) FILTER (value IS NULL OR isnan(value)) AS lost, count(DISTINCT ts) = count(*) AS uniq, count(*) = 0 AS none FROM events)
+SELECT 'not_empty' AS "check", NOT none AS passed FROM q UNION ALL SELECT 'no_missing', lost = 0 FROM q UNION ALL SELECT 'time_is_time', true UNION ALL SELECT 'text_is_number', false
+UNION ALL SELECT 'unique_times_by_user', (SELECT count(*) FROM (SELECT 1 FROM events GROUP BY user_id, ts HAVING count(ts) > 1)) = 0 UNION ALL SELECT 'shares_sum_to_one', false UNION ALL SELECT 'report_fits', true""")
+def eager_checks(spark, d):
+    e = _events(spark, d)
+
+    def holds(f, *args, **more) -> bool:
+        try:
+            return f(*args, **more) is not False
+        except (ValueError, errors.TimeColumnError):
+            return False
+
+    out = [
+        ("not_empty", not checks.is_empty(e)), ("no_missing", sum(checks.count_missing(e, ["value"]).values()) == 0), ("time_is_time", holds(checks.check_number_or_time, e, "ts")),
+        ("text_is_number", holds(checks.check_number_or_time, _table(spark, d, "events"), "event_type")), ("unique_times_by_user", holds(checks.check_order, e, "ts", "user_id", False)),
+        ("shares_sum_to_one", holds(windows.validate_percentages, 0.7, 0.5)), ("report_fits", holds(quality.QualityReport("ts", "value").fit, _series(spark, d))),
+    ]
+    return spark.createDataFrame(out, "check string, passed boolean")
+
+
 @query(f"""SELECT count(*) AS n_rows, count(*) FILTER (value IS NULL) AS value_missing, count(DISTINCT value) AS value_unique, count(*) FILTER (k IS NULL) AS k_missing, count(DISTINCT k) AS k_unique,
 count(*) FILTER (hour IS NULL) AS hour_missing, count(DISTINCT hour) AS hour_unique FROM ({_SERIES})""")
 def quality_counts(spark, d):
@@ -325,6 +374,11 @@ def rolling_mean_2(spark, d):
     return out.groupBy("user_id").agg(F.count("r").alias("n"), F.round(F.sum("r"), 3).alias("sum_rolling"))
 
 
+@query("SELECT event_id, CASE WHEN count(value) OVER w = 50 THEN round(avg(value) OVER w, 6) END AS r FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
+def rolling_mean_50(spark, d):
+    return rolling.rolling_mean(_events(spark, d), "value", 50, ["ts", "event_id"], "r").select("event_id", F.round("r", 6).alias("r"))
+
+
 @query("""SELECT event_id, CASE WHEN count(value) OVER w = 3 THEN round(avg(value) OVER w, 6) END AS r FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
 def rolling_mean_by_user(spark, d):
@@ -398,18 +452,33 @@ def train_per_window(spark, d):
 
 # --- sources
 
-@query()
+@query("""SELECT 1000 AS n, 50 AS n_null, 50 AS n_nan, 0 AS n_half, 0 AS n_outside, TIMESTAMP '2023-01-01' AS first, TIMESTAMP '2023-01-01' + INTERVAL 999 DAY AS last, 1 AS n_steps""")
 def synthetic_series(spark, d):
     from tempora.sources.synth import time_series
 
-    return time_series(spark, 1000, 4, with_nulls=True, with_nans=True)
+    s = time_series(spark, 1000, 4, with_nulls=True, with_nans=True)
+    f = [F.col(f"feature_{k}") for k in range(1, 5)]
+    whole = F.size(F.array_distinct(F.transform(F.array(*f), lambda x: F.when(x.isNull(), 1).when(F.isnan(x), 2).otherwise(0))))
+    n = lambda c: F.count_if(c)
+    facts = s.agg(F.count("*").alias("n"), n(f[0].isNull()).alias("n_null"), n(F.isnan(f[0])).alias("n_nan"), n(whole > 1).alias("n_half"), n((F.col("target") < 0) | (F.col("target") >= 1)).alias("n_outside"), F.min("time").cast("timestamp_ntz").alias("first"), F.max("time").cast("timestamp_ntz").alias("last"))
+    return facts.withColumn("n_steps", F.lit(checks.step_counts(s, "time").first()[0]))
 
 
-@query()
+@query("""SELECT 365 AS n, TIMESTAMP '2022-01-01' AS first, TIMESTAMP '2022-12-31' AS last, 0 AS n_odd""")
 def health_series(spark, d):
     from tempora.sources.synth import health_series as make
 
-    return make(spark)
+    odd = (F.abs(F.col("systolic") - 120) > 40) | (F.abs(F.col("heart_rate") - 70) > 40)
+    return make(spark).agg(F.count("*").alias("n"), F.min("ds").cast("timestamp_ntz").alias("first"), F.max("ds").cast("timestamp_ntz").alias("last"), F.count_if(odd).alias("n_odd"))
+
+
+@query("SELECT event_id, value FROM events")
+def dataset_by_name(spark, d):
+    from tempora.sources import datasets
+
+    datasets.register("events", datasets.parquet_series(f"{d}/events.parquet", "value"))
+    df, target = datasets.DatasetLoader("events").load(spark)
+    return df.select("event_id", target)
 
 
 # --- streams, run over the table's files
@@ -428,3 +497,29 @@ def stream_drop_duplicates(spark, d):
 
     s = stream.parquet_stream(spark, f"{d}/events.parquet").select("event_id", "ts", "user_id")
     return stream.run_available(stream.drop_duplicate_times(s.unionByName(s), "ts", "user_id", "40 days")).select("event_id")
+
+
+@query("""SELECT s::TIMESTAMP AS start, s::TIMESTAMP + INTERVAL 2 DAY AS "end", count(*) AS n, round(sum(value), 4) AS total FROM (SELECT value, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events) GROUP BY s""")
+def stream_sliding(spark, d):
+    from tempora.streaming import stream
+
+    out = stream.run_available(stream.tumbling(stream.parquet_stream(spark, f"{d}/events.parquet"), "ts", "value", "2 days", slide="1 day"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM
+(SELECT user_id, ts, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, true))::INT AS fresh FROM events)) GROUP BY user_id, s""")
+def stream_sessions(spark, d):
+    from tempora.streaming import stream
+
+    out = stream.run_available(stream.sessions(stream.parquet_stream(spark, f"{d}/events.parquet"), "ts", "user_id", "6 hours"), "complete")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("""SELECT user_id::VARCHAR AS key, ts AS at, value, n AS next FROM (SELECT user_id, ts, value, lead(value) OVER w AS n, lead(ts) OVER w AS nts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value))
+WHERE nts <= date_trunc('millisecond', (SELECT max(ts) FROM events))""")
+def stream_shifted(spark, d):
+    from tempora.streaming import stream
+
+    out = stream.run_available(stream.shifted(stream.parquet_stream(spark, f"{d}/events.parquet"), "ts", "user_id", "value", "0 seconds"))
+    return out.select("key", F.col("at").cast("timestamp_ntz").alias("at"), "value", "next")

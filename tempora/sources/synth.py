@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempora.operators.order import global_index
+
 
 def _check(num_samples: int, num_features: int, null_percentage: float, nan_percentage: float, mode: str) -> None:
     if num_samples < 0 or num_features < 0:
@@ -33,11 +35,11 @@ def time_series(spark: SparkSession, num_samples: int = 100, num_features: int =
         share = lambda on, p: min(num_samples, max(1, int(num_samples * p))) if on else 0
         nulls = share(with_nulls, null_percentage)
         nans = min(num_samples - nulls, share(with_nans, nan_percentage))
-        # the chosen rows: the first by hash, a bounded top-k
-        chosen = spark.range(num_samples).select(F.col("id").alias("_id"), F.xxhash64(F.lit(random_seed), F.lit(-1), "id").alias("_h")).orderBy("_h", "_id").limit(nulls + nans)
-        chosen = chosen.withColumn("_rank", F.row_number().over(Window.orderBy("_h", "_id")))
+        # the chosen rows are the first by hash; places in that order are found without a sort in one task
+        chosen = spark.range(num_samples).select(F.col("id").alias("_id"), F.xxhash64(F.lit(random_seed), F.lit(-1), "id").alias("_h"))
+        chosen = global_index(chosen, "_h", ("_id",), "_rank").where(F.col("_rank") < nulls + nans)
         df = df.join(chosen, F.col("id") == F.col("_id"), "left")
-        df = df.withColumns({n: F.when(F.col("_rank") <= nulls, F.lit(None)).when(F.col("_rank") <= nulls + nans, F.lit(float("nan"))).otherwise(F.col(n)) for n in names}).drop("_id", "_h", "_rank")
+        df = df.withColumns({n: F.when(F.col("_rank") < nulls, F.lit(None)).when(F.col("_rank") < nulls + nans, F.lit(float("nan"))).otherwise(F.col(n)) for n in names}).drop("_id", "_h", "_rank")
     return df.drop("id")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tempora.staging import new_path
+
 
 def as_event_time(df: DataFrame, time_col: str, late: str = "10 minutes") -> DataFrame:
     return df.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
@@ -60,12 +60,6 @@ def shifted(df: DataFrame, time_col: str, by: str, target: str, late: str = "10
     return rows.groupBy("key").applyInPandasWithState(run, schema, "at array<bigint>, value array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, a new one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (at or "file://" + tempfile.mkdtemp(prefix="tempora-")).rstrip("/")
-
-
 def parquet_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A stream over the files of a Parquet table, with the schema they have now; the table may be a single file."""
     schema = spark.read.parquet(path).schema
@@ -80,7 +74,7 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     so that a batch that is run again replaces itself.
     """
     spark = df.sparkSession
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={number}")

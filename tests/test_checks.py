@@ -122,3 +122,11 @@ def test_frame(spark):
         TemporalFrame.of(df.limit(0), "time", "value")
     with pytest.raises(TimeColumnError):
         TemporalFrame.of(series(spark, [1, 1]), "time", "value", unique=True)
+
+
+def test_keys_from_environment(monkeypatch):
+    from tempora.operators.quality import keys_from_environment
+
+    monkeypatch.setenv("TEMPORA_TEST_KEY", "x")
+    with pytest.warns(UserWarning, match="TEMPORA_TEST_LOST"):
+        assert keys_from_environment(["TEMPORA_TEST_KEY", "TEMPORA_TEST_LOST"]) == {"TEMPORA_TEST_KEY": "x", "TEMPORA_TEST_LOST": None}

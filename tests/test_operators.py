@@ -127,6 +127,54 @@ def test_time_split_reaches_past_the_window(spark):
     assert sorted(got[0, "train"]) == [0, 1, 2, 3, 4] and sorted(got[0, "test"]) == [5, 6, 7, 8] and sorted(got[0, "validation"]) == [9]
 
 
+@pytest.mark.parametrize("kind", ["sliding", "expanding"])
+def test_time_split_with_uneven_density(spark, kind):
+    times = [1000 * k for k in range(10)] + [9000 + k for k in range(1, 401)] + [20000, 50000] * 3
+    s = windows.SlidingWindows("t", 10, 7, train=0.6, test=0.1, validation=0.3, split="time", kind=kind)
+    df = spark.createDataFrame([(t,) for t in times], "t bigint").repartition(5)
+    got = {(r.window_id, r.split): r.n for r in s.partitions(df).collect()}
+    exp, times = {}, sorted(times)
+    for k in range((len(times) - 10) // 7 + 1):
+        own = times[7 * k : 7 * k + 10] if kind == "sliding" else times[: 7 * k + 10]
+        a, z = own[0], own[-1]
+        for t in times:
+            part = "train" if t < a + int((z - a) * 0.6) else "test" if t < z else "validation"
+            if a <= t < z + int((z - a) * 0.3):
+                exp[k, part] = exp.get((k, part), 0) + 1
+    assert got == exp and (kind == "expanding" or got[0, "validation"] == 401)
+
+
+@pytest.mark.parametrize("size", [1, 4, 40])
+def test_rolling_mean_in_one_sequence(spark, size):
+    v = [None if k % 13 == 5 else float(k * k % 31) for k in range(150)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "t int, v double").repartition(6)
+    got = {r.t: r.m for r in rolling.rolling_mean(df, "v", size, ["t"], "m").collect()}
+    for k in range(150):
+        own = v[k - size + 1 : k + 1] if k >= size - 1 else [None]
+        assert got[k] is None if None in own else got[k] == pytest.approx(sum(own) / size)
+
+
+def test_a_hot_time_is_split(spark):
+    df = spark.range(2000).select(F.lit(7).alias("t"), F.col("id").alias("k"), (F.col("id") * 2).alias("y")).repartition(5)
+    rows = order.global_index(df, "t", ("k",)).collect()
+    assert all(r.idx == r.k for r in rows) and len(rows) == 2000
+    assert {r.k: r.y_shift_4 for r in shift.shift_target(df, "y", 4, "t", ("k",)).collect()} == {k: 2 * (k + 4) for k in range(1996)}
+    parts = order.in_order(df, order._keys(df, "t", ("k",)))[0].select(F.spark_partition_id().alias("p"), F.input_file_name().alias("f")).distinct().count()
+    assert parts > 8
+
+
+def test_expanding_sums(spark):
+    df = numbers(spark, 57).withColumn("y", F.when(F.col("t") > 3, F.col("y")))
+    s = windows.SlidingWindows("t", 4, 5, kind="expanding")
+    indexed = s.setup(df)
+    was, windows.STEP = windows.STEP, 3
+    try:
+        got = {r.window_id: (r.n, r.total) for r in windows.expanding_sums(indexed, "idx", s.size, s.step, s.count, "y").collect()}
+    finally:
+        windows.STEP = was
+    assert got == {k: (4 + 5 * k, sum(10 * t for t in range(4, 4 + 5 * k)) if k else None) for k in range(11)}
+
+
 def table(spark, n, features=4, target=lambda k: k % 2):
     return spark.createDataFrame([(k, target(k), *[float(k * (j + 1)) for j in range(features)]) for k in range(n)], ", ".join(["time int", "target int", *[f"f{j} double" for j in range(features)]]))
 
@@ -144,8 +192,10 @@ def test_quality_report(spark):
     with pytest.warns(UserWarning):
         few = report().fit_transform(table(spark, 10, 10), "target")
     assert {k for k, r in few.items() if not r.passed} == {"sample_size", "feature_count", "feature_ratio"}
-    assert quality.summary(few) == {"total_checks": 5, "failed_checks": 3, "passed_checks": 2}
-    assert few["sample_size"].to_log_entry()["log_level"] == "WARNING" and few["sample_size"].to_dict()["passed"] is False
+    some = quality.summary(few)
+    assert {k: some[k] for k in ("total_checks", "failed_checks", "passed_checks")} == {"total_checks": 5, "failed_checks": 3, "passed_checks": 2}
+    assert some["check_details"]["feature_ratio"] == few["feature_ratio"].to_dict() and few["sample_size"].to_dict()["passed"] is False
+    assert few["sample_size"].to_log_entry() == {"validation_passed": False, "validation_message": few["sample_size"].message, "validation_details": {"num_samples": 10}, "log_level": "WARNING"}
     with pytest.raises(ValueError, match="Invalid checks"):
         report(checks=["nonsense"])
     with pytest.raises(ValueError, match="Missing values detected in columns: f0"):
@@ -192,3 +242,18 @@ def test_importance(spark):
     assert top == {0: "z", 1: "z"}
     fitted = importance.train_per_window(w, ["x"], "y").collect()
     assert all(r.coefficients["x"] == pytest.approx(10) and r.rmse < 1e-6 and (r.n_train, r.n_test) == (10, 10) for r in fitted)
+
+
+def test_trainer(spark):
+    df = numbers(spark, 60).withColumn("x", (F.col("t") % 20).cast("double")).withColumn("y", F.when(F.col("x") > 5, 3.0).otherwise(1.0))
+    trainer = importance.WindowTrainer(windows.SlidingWindows("t", 20, 20, train=0.8, test=0.2), ["x"], "y")
+    scores = trainer.train_and_evaluate(df).collect()
+    assert len(scores) == 3 and all(r.rmse < 0.05 and r.coefficients.keys() == {"0"} for r in scores)
+    assert trainer.predictions(df).where("abs(prediction - y) > 0.05").count() == 0
+    w = windows.SlidingWindows("t", 20, 20, train=0.8, test=0.2).transform(numbers(spark, 60).withColumn("x", F.sin(F.col("t"))).withColumn("z", F.cos(F.col("t") * 3)))
+    for r in importance.train_per_window(w, ["x", "z"], "y").collect():
+        own = [q for q in w.collect() if q.window_id == r.window_id]
+        a, b = (np.array([[q.x, q.z, 1.0] for q in own if q.split == s]) for s in ("train", "test"))
+        ya, yb = (np.array([float(q.y) for q in own if q.split == s]) for s in ("train", "test"))
+        c = np.linalg.lstsq(a, ya, rcond=None)[0]
+        assert [r.coefficients["x"], r.coefficients["z"]] == pytest.approx(c[:2].tolist()) and r.rmse == pytest.approx(float(np.sqrt(np.mean((b @ c - yb) ** 2))))
