@@ -1,12 +1,16 @@
 """Vectorised text primitives: one pass of NumPy over a buffer that holds many documents.
 
-Documents are laid end to end in one byte buffer with a space between neighbours, so word runs never
-join two documents.  All hashes are 64-bit polynomials modulo 2**64 over randomised byte values, followed by a
-bijective mixer; two different keys collide with probability about 2**-64.
+Documents are laid end to end in one byte buffer with a space between neighbours, so word runs never join two documents.
+
+Hashes of runs are 64 bits: the length, then one round of a bijective mixer for every 8 bytes, so no structure of the bytes (such as a
+Thue-Morse word, which fools polynomials modulo 2**64) leads to equal hashes.  Two different keys collide with probability about
+2**-64; where that is not enough, equal_runs() compares the bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _RNG = np.random.default_rng(20240601)
@@ -14,6 +18,9 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 20
+_SEED = 0x243F6A8885A308D3
+#: Bytes of a run that are mixed piece by piece.
+LONG = 2048
 _POWERS: dict[str, np.ndarray] = {}
 
 #: Words separated by ASCII white space.
@@ -60,21 +67,47 @@ def runs(buf: np.ndarray, wordly: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+def _pieces(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place of buf as a number (zeros past the end); an unaligned view of a copy."""
+    pad = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), np.uint64, pad, 0, (1,))
+
+
+def _first_bytes(pieces: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Pieces at these places, of which only the first `left` bytes count."""
+    cut = ((8 - np.minimum(left, 8)) * 8).astype(np.uint64)
+    return (pieces[at] << cut) >> cut
+
+
 def run_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run; memory stays bounded however long the buffer is."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + _CHUNK, "right")))
-        seg = buf[base : int(ends[j - 1])]
-        up, down = powers(len(seg))
-        sums = np.zeros(len(seg) + 1, np.uint64)
-        np.cumsum(_BYTE[seg] * up[: len(seg)], out=sums[1:])
-        a, b = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (sums[b] - sums[a]) * down[a]
-        i = j
-    return mix(out)
+    """A 64-bit hash of the bytes of each run, wherever it lies.  Runs over LONG bytes go through BLAKE2."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(_SEED))
+    pieces = _pieces(buf)
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[todo], size[todo]
+    while len(todo):
+        out[todo] = mix(out[todo] ^ _first_bytes(pieces, at, left))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def equal_runs(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes of a from at_a equal those of b from at_b, for each entry."""
+    out, pa, pb = np.ones(len(size), bool), _pieces(a), _pieces(b)
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    i, j, left = at_a[todo], at_b[todo], size[todo]
+    while len(todo):
+        same = _first_bytes(pa, i, left) == _first_bytes(pb, j, left)
+        out[todo[~same]] = False
+        more = same & (left > 8)
+        todo, i, j, left = todo[more], i[more] + 8, j[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = np.array_equal(a[at_a[k] : at_a[k] + size[k]], b[at_b[k] : at_b[k] + size[k]])
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

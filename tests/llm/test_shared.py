@@ -50,12 +50,40 @@ def test_packed_keys_round_trip():
         assert (_exchange._decode(_exchange._encode(u, None), False)[0] == u).all()
 
 
-def test_word_hashes_do_not_hang_on_place_or_chunk(monkeypatch):
-    text = ("alpha beta gamma alpha ünï " * 50).encode()
+def thue_morse(n, x="a", y="b"):
+    return "".join(y if bin(k).count("1") % 2 else x for k in range(n))
+
+
+def test_word_hashes_do_not_hang_on_place_or_length(monkeypatch):
+    text = ("alpha beta gamma alpha ünï " * 50 + "x" * 300 + " " + "x" * 300).encode()
     buf = np.frombuffer(text, np.uint8)
     a, b = _text.runs(buf, _text.SPACED)
     h = _text.run_hashes(buf, a, b)
-    monkeypatch.setattr(_text, "_CHUNK", 11)
-    assert (_text.run_hashes(buf, a, b) == h).all() and len(set(h.tolist())) == 4
+    assert len(set(h.tolist())) == 5 and h[-1] == h[-2] and (h[5:250] == h[:245]).all()
+    monkeypatch.setattr(_text, "LONG", 100)
+    long = _text.run_hashes(buf, a, b)
+    assert (long[:-2] == h[:-2]).all() and long[-1] == long[-2] != h[-1]
     g = _text.gram_hashes(h, 3)
-    assert len(g) == len(h) - 2 and (g[5:] == g[:-5]).all() and len(_text.gram_hashes(h[:2], 3)) == 0
+    assert len(g) == len(h) - 2 and (g[5:245] == g[:240]).all() and len(_text.gram_hashes(h[:2], 3)) == 0
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 2048, 4096])
+def test_structured_words_do_not_collide(n):
+    buf = np.frombuffer(f"{thue_morse(n)} {thue_morse(n, 'b', 'a')} {'a' * n} {'a' * (n - 1)}b".encode(), np.uint8)
+    assert len(set(_text.run_hashes(buf, *_text.runs(buf, _text.SPACED)).tolist())) == 4
+
+
+def test_equal_runs(monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choice("ab") for _ in range(r.choice([0, 1, 7, 8, 9, 17, 40]))) for _ in range(400)]
+    buf = np.frombuffer(" ".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    at = ends - [len(w) for w in words]
+    i, j = np.array([r.randrange(400) for _ in range(9000)]), np.array([r.randrange(400) for _ in range(9000)])
+    keep = np.array([len(words[a]) == len(words[b]) for a, b in zip(i, j)])
+    i, j = i[keep], j[keep]
+    exp = [words[a] == words[b] for a, b in zip(i, j)]
+    for long in (2048, 10):
+        monkeypatch.setattr(_text, "LONG", long)
+        assert _text.equal_runs(buf, at[i], buf, at[j], (ends - at)[i]).tolist() == exp
+    assert 0 < sum(exp) < len(exp)
