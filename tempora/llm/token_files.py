@@ -1,6 +1,7 @@
 """Token-ID output: raw id payload files, and a minimal perfect hash index from document keys to them.
 
-Layout of a data set (a folder in a store that pyarrow.fs opens by URI):
+Layout of a data set (a folder in a store that pyarrow.fs can write; s3a, s3n and dbfs names are understood, any other store is refused
+at the start):
 
     data/*.ids     raw little-endian ids, document after document (uint16 if the vocabulary fits, else uint32)
     index/*.mph    one file per key shard: a minimal perfect hash and, in slot order, fingerprint, file, offset, length, start
@@ -16,7 +17,7 @@ steps on average, and the 32-bit fingerprint in the slot tells strangers apart.
 
 Encoding: a text is cut before single spaces and newlines and between ASCII letters or digits and punctuation (but not after an
 apostrophe).  There the tokenizer's own pre-tokenizer cuts as well, so each distinct chunk is encoded once by the tokenizers
-library and the ids are laid out by NumPy.  Texts with other or longer white space, or with added tokens, are encoded whole by
+library and the ids are laid out by NumPy; a chunk is known by its hash and by all its bytes.  Texts with other or longer white space, or with added tokens, are encoded whole by
 the same library.  Only ByteLevel files with the usual regular expression are treated so; any other encodes whole texts.
 
 Defined cases: a null text is empty (only the end id); a null doc_id is the smallest key; repeated doc_ids are told apart
@@ -43,8 +44,8 @@ from tempora.llm._packs import rest, views
 from tempora.llm._shared import NO_ID, discard, new_path, ship, stage
 
 END_ID = 0
-#: Distinct chunks kept by a worker; it starts afresh beyond.
-CACHE = 1_000_000
+#: Distinct chunks and their bytes kept by a worker; it starts afresh beyond.
+CACHE, CACHE_BYTES = 1_000_000, 64 << 20
 #: Ids per payload file, about.
 FILE_IDS = 16 << 20
 #: Documents encoded at a time, and keys per index shard, about.
@@ -63,10 +64,23 @@ _WARY = np.zeros(256, bool)
 _WARY[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def _open(uri: str):
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store and path of a folder or file named as Spark names it: Hadoop's names of a scheme become those of pyarrow.fs."""
+    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "file:///dbfs/")):
+        if uri.startswith(hadoop):
+            uri = arrow + uri[len(hadoop) :].lstrip("/")
     return pafs.FileSystem.from_uri(uri)
 
 
+def _check_store(root: str) -> None:
+    """Fail at the start, on the driver, if the folder is in a store that pyarrow.fs cannot write."""
+    try:
+        fs, at = _open(root)
+        fs.create_dir(at, recursive=True)
+    except (OSError, ValueError, NotImplementedError, pa.ArrowException) as e:
+        raise ValueError(f"token files need a folder that pyarrow.fs can write (file, s3, gs, abfs; hdfs with libhdfs), not {root}: {e}") from e
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library."""
 
@@ -84,21 +98,23 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Of each known chunk: hash (sorted), row by hash; by row: bytes at both ends and length, first id, white space."""
+        """Of each known chunk: hash (sorted), row by hash; by row: borders of its bytes, first id, white space."""
         self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.marks, self.at, self.space = np.zeros((0, 3), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int8)
+        self.raw, self.place = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.at, self.space = np.zeros(1, np.int64), np.zeros(0, np.int8)
         self.ids = np.zeros(0, self.kind)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, keys: np.ndarray, marks: np.ndarray, chunks: list[bytes], wary: np.ndarray) -> None:
+    def learn(self, keys: np.ndarray, chunks: list[bytes], wary: np.ndarray) -> None:
         texts = [c.decode() for c in chunks]
         got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         n = len(self.row)
         put = np.searchsorted(self.keys, keys)
         self.keys, self.row = np.insert(self.keys, put, keys), np.insert(self.row, put, np.arange(n, n + len(keys)))
-        self.marks = np.concatenate([self.marks, marks])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(chunks), np.uint8)])
+        self.place = np.concatenate([self.place, self.place[-1] + np.cumsum([len(c) for c in chunks], dtype=np.int64)])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), self.kind)])
         space = np.zeros(len(texts), np.int8)
@@ -116,7 +132,7 @@ class Encoder:
         if not self.cuts or not len(data):
             ids = self.whole([text(k) for k in range(n)])
             return np.concatenate([np.zeros(0, self.kind), *ids]), np.array([len(x) for x in ids], np.int64)
-        if len(self.keys) > CACHE:
+        if len(self.keys) > CACHE or len(self.raw) > CACHE_BYTES:
             self.forget()
         left, right = _SIDE[data[:-1]], _SIDE[data[1:]]
         cut = np.zeros(len(data) + 1, bool)
@@ -125,16 +141,8 @@ class Encoder:
         edges = np.flatnonzero(cut)
         a, b = edges[:-1], edges[1:]
         size = b - a
-        pad = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
-        eight = np.lib.stride_tricks.as_strided(pad, (len(pad) - 7, 8), (1, 1))
         hashes, first, rank = np.unique(_text.run_hashes(data, a, b), return_index=True, return_inverse=True)
         fa, fb, fn = a[first], b[first], size[first]
-        short = np.minimum(fn, 8) * 8
-        head = eight[fa + 8].view(np.uint64)[:, 0]
-        tail = eight[fb].view(np.uint64)[:, 0]
-        mask = np.where(short >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(short, 63).astype(np.uint64)) - np.uint64(1))
-        marks = np.column_stack([(head & mask).view(np.int64), tail.view(np.int64), fn])
-        marks[:, 1] = np.where(fn >= 8, marks[:, 1], 0)
         at = np.searchsorted(self.keys, hashes)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == hashes[known]
@@ -142,10 +150,14 @@ class Encoder:
         if len(new):
             maybe = np.concatenate([[0], np.cumsum(_WARY[data], dtype=np.int64)])
             wary = np.flatnonzero((maybe[fb[new]] > maybe[fa[new]]) | (fn[new] == 1))
-            self.learn(hashes[new], marks[new], [raw[i:j] for i, j in zip(fa[new].tolist(), fb[new].tolist(), strict=True)], wary)
+            self.learn(hashes[new], [raw[i:j] for i, j in zip(fa[new].tolist(), fb[new].tolist(), strict=True)], wary)
         row = self.row[np.searchsorted(self.keys, hashes)]
-        wrong = (self.marks[row] != marks).any(axis=1)  # another chunk of the same hash: its texts are encoded whole
-        row, wrong = row[rank], wrong[rank]
+        wrong = self.place[row + 1] - self.place[row] != fn  # another chunk of the same hash: its texts are encoded whole
+        like = np.flatnonzero(~wrong)
+        wrong[like] = ~_text.equal_runs(data, fa[like], self.raw, self.place[row[like]], fn[like])
+        row, wrong = row[rank], wrong[rank] | (size != fn[rank])
+        like = np.flatnonzero(~wrong)
+        wrong[like] = ~_text.equal_runs(data, a[like], data, fa[rank[like]], size[like])
         m = self.at[row + 1] - self.at[row]
         ends = np.cumsum(m)
         ids = self.ids[np.repeat(self.at[row] - (ends - m), m) + np.arange(int(ends[-1]))]
@@ -244,6 +256,7 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
     spark = docs.sparkSession
     ship(spark)
     root = root or new_path(spark, "tokens")
+    _check_store(root)
     df = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def encode(batches):

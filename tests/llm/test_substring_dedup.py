@@ -46,3 +46,10 @@ def test_empty_null_and_spans(spark, tmp_path):
     df = spark.createDataFrame([(None, "a b c d"), (1, "x a b c y a b c d")], "doc_id bigint, text string")
     got = {r.doc_id: r for r in substring_dedup.remove_repeats(df, width=3).collect()}
     assert got[None].kept == "a b c d" and got[1].kept == "x y" and (got[1].starts, got[1].ends) == ([1, 5], [4, 9])
+
+
+def test_structured_words(spark, tmp_path):
+    from tests.llm.test_shared import thue_morse
+
+    docs = [(1, " ".join([thue_morse(1024)] * 13)), (2, " ".join([thue_morse(1024, "b", "a")] * 13)), (3, " ".join(thue_morse(64, "a ", "b "))), (4, thue_morse(64, "b ", "a "))]
+    assert run(spark, docs, tmp_path) == brute(docs)

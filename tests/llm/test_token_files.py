@@ -51,3 +51,25 @@ def test_strangers_are_told_apart(spark):
     root = tf.write(df, tf.default_tokenizer())
     keys = spark.createDataFrame([(i, 0) for i in range(400, 600)], "key bigint, again bigint")
     assert sorted(r.key for r in tf.look_up(spark, root, keys).collect()) == list(range(400, 500))
+
+
+def test_structured_words_and_equal_hashes(spark, monkeypatch):
+    from tests.llm.test_shared import thue_morse
+
+    docs = [(k, thue_morse(n, *xy)) for k, (n, xy) in enumerate([(1024, "ab"), (1024, "ba"), (2048, "ab"), (2048, "ba"), (4096, "xy"), (4096, "yx")])]
+    check(spark, docs)
+    encoder = tf.Encoder(tf.default_tokenizer())
+    monkeypatch.setattr(tf._text, "run_hashes", lambda buf, a, b: (b - a).astype(np.uint64))  # chunks of one length have one hash
+    texts = [t.encode() for t in ("the cat sat on the mat", "a dog ran off and hid", "the cat", thue_morse(64), thue_morse(64, "b", "a"))]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for _ in range(2):
+        ids, n = encoder.encode(np.frombuffer(b"".join(texts), np.uint8), starts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [encoder.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+
+
+def test_stores(spark):
+    import pytest
+
+    assert tf._open("dbfs:/a/b")[1] == "/dbfs/a/b" and tf._open("file:///x/y")[1] == "/x/y"
+    with pytest.raises(ValueError, match="need a folder that pyarrow.fs can write"):
+        tf.write(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), tf.default_tokenizer(), root="nowhere://store/x")
