@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from tempora.llm._shared import ship
+from tempora.llm._shared import beside, plain, ship
 
 #: Bytes of text handled at once; one longer document is handled alone.
 PACK_BYTES = 2 << 20
@@ -53,37 +55,32 @@ def packs(data: np.ndarray, offsets: np.ndarray, most: int = PACK_BYTES) -> Iter
 def append(df: DataFrame, text_col: str, fields: str, make: Callable[[], Callable], also: tuple[str, ...] = (), drop_text: bool = False) -> DataFrame:
     """df with further columns, given as DDL, which make()(buffer, starts, rows) computes for each pack of texts.
 
-    make runs once in each task, so that models and indexes are unpacked there; rows has the pack's `also` columns.
+    make runs once in each task, so that models and indexes are unpacked there; rows has the pack's `also` columns.  A column of df that
+    has the name of an added one stays under that name with _input.
     """
     ship(df.sparkSession)
-    clash = {f.split()[0] for f in fields.split(", ")} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns are in use: {sorted(clash)}")
-    schema = f"struct<{fields}>"
-    kept = [c for c in df.columns if not (drop_text and c == text_col)]
-    empty = df.sparkSession.createDataFrame([], df.select(kept).schema)
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    added = _parse_datatype_string(schema)
-    full = StructType(empty.schema.fields + added.fields)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(added)
+    names, inner = df.columns, plain(df)
+    added = _parse_datatype_string(f"struct<{fields}>")
+    inside = StructType([StructField(f"a{k}", f.dataType) for k, f in enumerate(added)])
+    text = f"c{names.index(text_col)}"
+    inner = inner.withColumn(text, F.col(text).cast("string"))
+    kept = [k for k, c in enumerate(names) if not (drop_text and c == text_col)]
+    full = StructType([inner.schema[k] for k in kept] + inside.fields)
+    arrow = to_arrow_schema(inside)
+    asked = {c: names.index(c) for c in also}
 
     def run(batches):
         f = make()
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index(text_col))
+            col = batch.column(batch.schema.get_field_index(text))
             data, offsets = views(col)
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            rows = {c: batch.column(batch.schema.get_field_index(c)) for c in also}
+            keep = [batch.column(k) for k in kept]
+            rows = {c: batch.column(k) for c, k in asked.items()}
             for i, j, buf, starts in packs(data, offsets):
                 got = f(buf, starts, {c: v.slice(i, j - i) for c, v in rows.items()})
                 new = [x if isinstance(x, pa.Array) else pa.array(x, type=t.type) for x, t in zip(got, arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[k.slice(i, j - i) for k in keep], *new], names=[*kept, *arrow.names])
+                yield pa.RecordBatch.from_arrays([*[k.slice(i, j - i) for k in keep], *new], names=full.names)
             del batch, col, data, offsets, keep, rows
             rest()
 
-    if len(set(df.columns)) != len(df.columns):
-        raise ValueError("column names repeat")
-    return df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, full)
+    return inner.mapInArrow(run, full).toDF(*beside([names[k] for k in kept], added.names), *added.names)

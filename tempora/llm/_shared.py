@@ -12,25 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 import tempora
 
-#: Stands for a null document id inside the operators; sorts before all others.
+#: Stands for a null document id inside the operators and sorts before all others.  It is reserved: a real id of this value counts as null.
 NO_ID = -(2**63)
 #: Staged tables by the identity of their DataFrame, which is kept alive with them.
 _PLACES: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a new one of our own."""
+    """The folder named by spark.checkpoint.dir.  Where it is unset, a new one of a local session (tests); on a cluster that is an error."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = sc.getCheckpointDir()
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="tempora-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tempora-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with the columns c0, c1, ...: inside an operator no name of the caller's can clash or need quoting."""
+    if len(set(df.columns)) != len(df.columns):
+        raise ValueError("column names repeat")
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def beside(names: list[str], added: list[str]) -> list[str]:
+    """names for a table that gets the columns `added`: one that is in use there ends in _input."""
+    taken, out = {*names, *added}, []
+    for n in names:
+        if n in added:
+            while n in taken:
+                n += "_input"
+            taken.add(n)
+        out.append(n)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers: if it is not on PYTHONPATH, send it along with the job's files, once."""
     root = Path(tempora.__file__).resolve().parent.parent

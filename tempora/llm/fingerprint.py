@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.llm._shared import stage
+from tempora.llm._shared import beside, plain, stage
 
 SAMPLES = 64
 TAIL, LOG_TAIL = 2e-5, 0.99
@@ -131,11 +131,12 @@ def with_next(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, text_col="text", samples: int = SAMPLES) -> DataFrame:
-    """docs with a column `fingerprint`; rows are kept apart by a number of their own."""
-    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    words = rows.select("_row", words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    """docs with a column `fingerprint` (one of that name is kept as fingerprint_input); rows are kept apart by a number of their own."""
+    names, inner = docs.columns, plain(docs)
+    rows = stage(inner.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    words = rows.select("_row", words_of(F.coalesce(F.col(f"c{names.index(text_col)}"), F.lit(""))).alias("w"))
     sig = signatures(weighted_terms(words, ["_row"], "w"), ["_row"], samples).select("_row", to_string(F.col("sig")).alias("fingerprint"))
-    return rows.drop("fingerprint").join(sig, "_row").drop("_row")
+    return rows.join(sig, "_row").drop("_row").toDF(*beside(names, ["fingerprint"]), "fingerprint")
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

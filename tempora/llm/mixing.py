@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.llm._shared import stage
+from tempora.llm._shared import plain, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -76,11 +76,12 @@ def rated(docs: DataFrame, keep: list[str], id_col="doc_id", text_col="text", so
     return out.withColumn("_copies", copies).drop("_t")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
     """Every document as often as the mix takes it; the columns of docs."""
-    cols = docs.columns
-    out = rated(docs, cols, **options)
-    return out.where("_copies > 0").select(*cols, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")).select(*cols)
+    names, inner = docs.columns, plain(docs)
+    at = {k: f"c{names.index(c)}" for k, c in (("id_col", id_col), ("text_col", text_col), ("source_col", source_col))}
+    out = rated(inner, inner.columns, **at, **options)
+    return out.where("_copies > 0").select(*inner.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias("_copy")).select(*inner.columns).toDF(*names)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ logistic loss by Newton steps with a low rate; then the pairs with the greatest
 both features.  Scoring is bin look-ups and additions over whole batches.
 
 Features are computed from the whole text alone: labels, language, source and id are never inputs.  The model is fitted on at most
-SAMPLE labelled rows (those of least hash), which is the only bound; scoring covers every row.
+SAMPLE labels (those of least hash) and as many of their texts, should ids repeat; these are the only bounds.  Scoring covers every row.
 
 Defined cases: null and empty texts have all features 0 and get a score like any other; a label row without doc_id or quality is not
 learnt from; without labels of both classes the score is the share of label 1 (1.0 without any label); a repeated doc_id is scored row by
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import _text
 from tempora.llm._packs import append
+from tempora.llm._shared import plain
 
 SAMPLE = 20_000
 BINS, PAIR_BINS = 48, 12
@@ -209,19 +210,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label="quality", sample=SAMPLE) -> Additive:
-    """Learn from at most `sample` labelled rows that are not held out."""
+    """Learn from at most `sample` labels that are not held out, and at most as many texts (by hash of the id)."""
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).dropna().where(~held_out(F.col("_id")))
     rows = rows.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     texts = docs.select(F.col(id_col).alias("_k"), F.col(text_col).alias("_text")).join(F.broadcast(rows), F.col("_k") == F.col("_id")).select("_id", "_y", "_text")
     names = [f"f{k}" for k in range(len(FEATURES))]
     made = append(texts, "_text", ", ".join(f"{n} double" for n in names), lambda: lambda buf, starts, _: list(features(buf, starts).T), drop_text=True)
-    got = made.orderBy("_id", *names).limit(2 * sample).collect()
+    got = made.orderBy(F.xxhash64("_id"), "_id", *names).limit(sample).collect()
     x = np.array([[r[n] for n in names] for r in got], float).reshape(len(got), len(names))
     return fit_table(x, np.array([float(r._y == 1) for r in got]))
 
 
 def score(docs: DataFrame, model: Additive, text_col="text", name="score", drop_text=False) -> DataFrame:
-    """docs with the model's score of every text."""
+    """docs with the model's score of every text; a column of that name is kept as {name}_input."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
     return append(docs, text_col, f"{name} double", lambda: lambda buf, starts, _: [sent.value.score(features(buf, starts))], drop_text=drop_text)
 
@@ -229,10 +230,9 @@ def score(docs: DataFrame, model: Additive, text_col="text", name="score", drop_
 def keep(docs: DataFrame, labels: DataFrame, least=KEEP_FROM, id_col="doc_id", text_col="text") -> DataFrame:
     """The documents whose score is at least `least`; the columns of docs."""
     model = fit(docs, labels, id_col, text_col)
-    cols = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(cols)])
-    out = score(inner, model, f"c{cols.index(text_col)}", "_score").where(F.col("_score") >= least)
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(cols)])
+    inner = plain(docs)
+    out = score(inner, model, f"c{docs.columns.index(text_col)}", "_score").where(F.col("_score") >= least)
+    return out.drop("_score").toDF(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
