@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word n-grams have Jaccard similarity of at least 0.8, as components.
 
 Words are [^\\x20\\x09-\\x0D]+ after A-Z were lower-cased; a document's set holds its distinct 5-word shingles (fewer words: the whole sequence as
-one).  The join is exact on 64-bit shingle hashes (two shingles are confused with probability 2**-64):
+one).  The join is exact on 64-bit shingle hashes:
 
 1. Every block learns by one packed exchange which of its shingles other documents have.  A document that shares less than 80 % of its
    shingles with anyone cannot have a partner; the rest, usually few, become classes of equal sets.
@@ -10,12 +10,17 @@ one).  The join is exact on 64-bit shingle hashes (two shingles are confused wit
    to each shingle's smallest class; no pairs are listed).
 3. Within a family the ordered sets go into tries whose nodes keep the shortest and longest set below them.  A set runs down the tries, sharing the
    overlap of common beginnings, and leaves a subtree as soon as what is left cannot reach the overlap that its lengths require.  All
-   partners are kept, so every pair of similar classes is found, once.  Large families are cut into chunks, and every pair of chunks
-   is a task of its own, which lists only the pairs across it, so no pair of sets is lost or repeated and none is too big.
-4. Components of the pairs, and of each the smallest doc_id.
+   partners are found, so every pair of similar classes is met, once.  Large families are cut into chunks, and every pair of chunks
+   is a task of its own, which looks only for the pairs across it, so no pair of sets is lost or repeated and no task is too big.
+4. A task adds up the links of each class, copies of the partners included, and joins the classes in a union-find forest; it hands on one row per
+   class (links, root), so what is exchanged grows with the classes and not with the pairs.  The sums of the links are exact; components
+   of the (class, root) rows are those of all pairs, and of each the smallest doc_id is taken.
 
-similar_pairs() gives the pairs of classes and the class of every document: documents are similar if they are in one class or in two
-paired ones.
+similar_pairs() instead hands on the pairs themselves, with the class of every document: documents are similar if they are in one class or
+in two paired ones.  Its output grows with the number of pairs.
+
+Shingles are known by 64-bit hashes, and equal sets by their size and two such hashes.  Of N different shingles about N^2 / 2^65 pairs are confused: none
+to be expected below 6e9 shingles, some ten million among the 1.5e13 of 100 TB, each of which changes the overlap of two sets by one.
 
 Defined cases: null text or no words: empty set, linked with nothing; equal rows are one class; rows of one doc_id are documents
 of their own that share the id; a null doc_id is smaller than any other; an empty table gives no rows; further columns are ignored.
@@ -33,14 +38,14 @@ from pyspark.sql import functions as F
 from tempora.llm import _text
 from tempora.llm._components import components
 from tempora.llm._exchange import RANGE_KEYS, answers, count_ranges, pack_blocks, with_answers
-from tempora.llm._packs import rest
-from tempora.llm._shared import NO_ID, discard, stage
+from tempora.llm._packs import append, rest
+from tempora.llm._shared import NO_ID, discard, plain, stage
 
 WIDTH = 5
 #: Similarity in percent.
 LEAST = 80
-#: Shingles of one family that a task joins at once; larger families are joined chunk by chunk.
-FAMILY_KEYS = 4_000_000
+#: Shingles and sets of one family that a task joins at once; larger families are joined chunk by chunk.
+FAMILY_KEYS, FAMILY_SETS = 4_000_000, 512
 #: Pairs that a task holds before it hands them on.
 LINK_ROWS = 1 << 18
 
@@ -76,6 +81,13 @@ def _ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (lambda u, r, c: (u, c, r))(*np.unique(h, return_inverse=True, return_counts=True))
 
 
+def _signed(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two sums of mixed hashes of each document's set; equal sets have equal ones."""
+    edge = np.searchsorted(doc, np.arange(rows + 1))
+    c = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_text.mix(h ^ np.uint64(k)), dtype=np.uint64)]) for k in (0x1234567, 0x89ABCDEF01)]
+    return np.diff(edge), *[(x[edge[1:]] - x[edge[:-1]]).view(np.int64) for x in c]
+
+
 def _sets(blocks: DataFrame) -> DataFrame:
     """id, n, s1, s2, shared: shingles of each document, and for those that may have a partner the signature of the set; the first of a
     signature in its block has its shared shingles as well."""
@@ -91,8 +103,7 @@ def _sets(blocks: DataFrame) -> DataFrame:
         n = np.bincount(doc, minlength=len(ids))
         may = (100 * np.bincount(doc, weights=shared, minlength=len(ids)).astype(np.int64) >= LEAST * n) & (n > 0)
         edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-        c = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_text.mix(h ^ np.uint64(k)), dtype=np.uint64)]) for k in (0x1234567, 0x89ABCDEF01)]
-        sig = [(x[edge[1:]] - x[edge[:-1]]).view(np.int64) for x in c]
+        sig = _signed(doc, h, len(ids))[1:]
         seen, raw = set(), []
         for k in range(len(ids)):
             key = (int(sig[0][k]), int(sig[1][k]))
@@ -228,8 +239,8 @@ class Trie:
         return out
 
 
-def link_family(members: np.ndarray, n: list[int], sets: list[np.ndarray], counts: list[np.ndarray], across: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair of similar sets of the family, once, smaller member first; given a mask, only those between its two sides."""
+def link_family(n: list[int], sets: list[np.ndarray], counts: list[np.ndarray], across: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(set, its partners among those before it) of the family, so every pair of similar sets once; given a mask, only pairs between its two sides."""
     h, c = np.concatenate(sets), np.concatenate(counts)
     edge = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
     order = np.lexsort((h, c))
@@ -243,64 +254,93 @@ def link_family(members: np.ndarray, n: list[int], sets: list[np.ndarray], count
         x = rank[edge[k] : edge[k + 1]]
         if across is None or across[k]:
             inside[x] = True
-            p = members[trie.partners(inside, np.cumsum(inside), len(x), n[k])]
+            p = trie.partners(inside, np.cumsum(inside), len(x), n[k])
             inside[x] = False
-            if len(p):
-                yield np.minimum(p, members[k]), np.maximum(p, members[k])
+            if p:
+                yield k, np.array(p, np.int64)
         if across is None or not across[k]:
             trie.add(x, n[k], k)
 
 
-def _links(ordered: DataFrame) -> DataFrame:
-    """a, b: every pair of similar classes, once, a < b."""
+def _as_pairs(c: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    for k, p in links:
+        yield [np.minimum(c[p], c[k]), np.maximum(c[p], c[k])]
+
+
+def _as_sums(c: np.ndarray, copies: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """One batch: class, the smallest class it is joined to here, and its links to documents of other classes."""
+    root, sums = list(range(len(c))), np.zeros(len(c), np.int64)  # classes ascend, so the smaller index is the smaller class
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, p in links:
+        sums[k] += copies[p].sum()
+        sums[p] += copies[k]
+        own = {find(x) for x in p.tolist()} | {find(k)}
+        least = min(own)
+        for x in own:
+            root[x] = least
+    some = np.flatnonzero(sums)
+    if len(some):
+        yield [c[some], c[[find(x) for x in some.tolist()]], sums[some]]
+
+
+def _links(ordered: DataFrame, pairs: bool) -> DataFrame:
+    """a, b: every pair of similar classes, once, a < b.  Or c, root, links: partial sums of the links of each class, and a class it is joined to."""
     held = ordered.select("c", F.explode("prefix").alias("t"))
     least = held.groupBy("t").agg(F.min("c").alias("m"), F.count("*").alias("k")).where("k > 1")
     stars = held.join(least, "t").where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
     family = components(stars)
-    rows = ordered.join(family.select(F.col("node").alias("c"), F.col("label").alias("family")), "c").select("c", "n", "hashes", "counts", "family")
-    sizes = rows.groupBy("family").agg(F.ceil(F.sum(F.length("hashes")) / (8 * FAMILY_KEYS)).cast("int").alias("q"))
-    rows = rows.join(sizes, "family")
+    rows = ordered.join(family.select(F.col("node").alias("c"), F.col("label").alias("family")), "c").select("c", "n", "copies", "hashes", "counts", "family")
+    parts = F.ceil(F.greatest(F.sum(F.length("hashes")) / (8 * FAMILY_KEYS), F.count("*") / FAMILY_SETS))
+    rows = rows.join(rows.groupBy("family").agg(parts.cast("int").alias("q")), "family")
     spread = max(8, 4 * int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chunk = F.pmod(F.hash("c"), F.col("q"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct(F.least(j, F.col("chunk")).alias("i"), F.greatest(j, F.col("chunk")).alias("j")))
-    rows = rows.withColumn("chunk", chunk).select("c", "n", "hashes", "counts", "family", "q", "chunk", F.explode(pairs).alias("p"))
+    both = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct(F.least(j, F.col("chunk")).alias("i"), F.greatest(j, F.col("chunk")).alias("j")))
+    rows = rows.withColumn("chunk", chunk).select("c", "n", "copies", "hashes", "counts", "family", "q", "chunk", F.explode(both).alias("p"))
     # a small family shares a task's group with others; each pair of chunks of a large one is a group
     group = F.when(F.col("q") == 1, F.pmod(F.xxhash64("family"), F.lit(spread))).otherwise(F.col("family"))
-    rows = rows.select(group.alias("g"), (F.col("q") > 1).alias("large"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), "family", "chunk", "c", "n", "hashes", "counts")
+    rows = rows.select(group.alias("g"), (F.col("q") > 1).alias("large"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), "family", "chunk", "c", "n", "copies", "hashes", "counts")
+    names = ["a", "b"] if pairs else ["c", "root", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest()
         t = pa.Table.from_batches(batches).sort_by([("family", "ascending"), ("c", "ascending")])
-        f, c, n, chunk, at = (t.column(x).to_numpy() for x in ("family", "c", "n", "chunk", "i"))
+        f, c, n, copies, chunk, at = (t.column(x).to_numpy() for x in ("family", "c", "n", "copies", "chunk", "i"))
         across = chunk != at if t.column("j")[0] != t.column("i")[0] else None
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
         counts = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("counts")]
         first = np.append(np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])), len(f)).tolist()
         held, size = [], 0
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*held, strict=True)], names=["a", "b"])
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*held, strict=True)], names=names)
         for i, j in zip(first[:-1], first[1:], strict=True):
-            for pair in link_family(c[i:j], n[i:j].tolist(), sets[i:j], counts[i:j], across):
-                held.append(pair)
-                size += len(pair[0])
+            links = link_family(n[i:j].tolist(), sets[i:j], counts[i:j], across)
+            for got in _as_pairs(c[i:j], links) if pairs else _as_sums(c[i:j], copies[i:j], links):
+                held.append(got)
+                size += len(got[0])
                 if size >= LINK_ROWS:
                     yield batch()
                     held, size = [], 0
         if held:
             yield batch()
 
-    out = stage(rows.groupBy("g", "large", "i", "j").applyInArrow(run, "a bigint, b bigint"), "links")
+    out = stage(rows.groupBy("g", "large", "i", "j").applyInArrow(run, ", ".join(f"{x} bigint" for x in names)), "links")
     discard(ordered, family)
     return out
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Staged: signatures of all documents, classes of those that may have a partner, all pairs of similar classes."""
+def _joined(docs: DataFrame, id_col: str, text_col: str, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged: signatures of all documents, classes of those that may have a partner, and _links() between classes."""
     full = _sets(pack_blocks(docs, id_col, text_col))
     every = stage(full.drop("shared"), "signatures")
-    classes = full.where("s1 is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("first"), F.first("shared", ignorenulls=True).alias("shared"))
+    classes = full.where("s1 is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("shared", ignorenulls=True).alias("shared"))
     classes = stage(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     discard(full)
-    return every, classes, _links(_prefixed(_pack_sets(classes)))
+    return every, classes, _links(_prefixed(_pack_sets(classes)).join(classes.select("c", "copies"), "c"), pairs)
 
 
 def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
@@ -308,39 +348,68 @@ def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text") -> tuple[Da
 
     A class holds the documents of one set of shingles; class_id is null where no other document can be similar.
     """
-    every, classes, links = _joined(docs, id_col, text_col)
+    every, classes, links = _joined(docs, id_col, text_col, True)
     of = classes.select("s1", "s2", "n", F.col("c").alias("class_id"))
     members = every.join(of, ["s1", "s2", "n"], "left").select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), "class_id")
     return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), members
 
 
-def join_similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
-    every, classes, links = _joined(docs, id_col, text_col)
-    some = every.where("s1 is not null")
-    labels = components(links)
-    named = classes.select("c", "s1", "s2", "n", "first").join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Staged: id, n, s1, s2 of every document; s1, s2, n, first, component_id, n_links of every class."""
+    every, classes, links = _joined(docs, id_col, text_col, False)
+    labels = components(links.where("c <> root"), "c", "root")
+    sums = links.groupBy("c").agg(F.sum("links").alias("links"))
+    named = classes.select("c", "s1", "s2", "n", "first", "copies").join(labels.select(F.col("node").alias("c"), "label"), "c", "left").join(sums, "c", "left")
+    named = named.withColumn("label", F.coalesce("label", "c")).withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = stage(named.join(least, "label").select("s1", "s2", "n", "component_id"), "class-components")
+    named = stage(named.join(least, "label").select("label", "s1", "s2", "n", "first", "component_id", "n_links"), "class-components")
     discard(classes, links, labels)
-    alone = every.where("s1 is null").select("id", "n", F.col("id").alias("component_id"))
-    out = some.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"]).select("id", "n", "component_id").unionByName(alone)
+    return every, named
+
+
+def join_similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other documents that it is similar to) for every document."""
+    every, named = _components(docs, id_col, text_col)
+    alone = every.where("s1 is null").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
+    out = every.where("s1 is not null").join(named, ["s1", "s2", "n"]).select("id", "n", "component_id", "n_links").unionByName(alone)
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    return out.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"))
+    return out.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"), "n_links")
+
+
+def _signatures(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with n, s1, s2 as in _sets()."""
+    return append(docs, text_col, "n bigint, s1 bigint, s2 bigint", lambda: lambda buf, starts, _: list(_signed(*shingle_sets(starts, buf), len(starts) - 1)))
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """Of each component the document of smallest id, with the columns of docs.
+    """Of each component one row, of the smallest id, with the columns of docs.
 
-    Rows that repeat a kept doc_id stay if their texts differ; of equal ones a single row stays.
+    Rows are told apart by their id and set of shingles, so a repeated doc_id saves no copy; rows of equal id and set are one (those without
+    words: of equal id and text).
     """
     cols = docs.columns
-    found = join_similar(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_kept")).distinct()
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(cols)])
+    every, named = _components(docs, id_col, text_col)
+    key = F.struct("first", "s1", "s2", "n")
+    best = stage(named.groupBy("label").agg(F.min(key).alias("k")).select("k.*"), "kept")
+    rows = plain(docs)
     i, t = f"c{cols.index(id_col)}", f"c{cols.index(text_col)}"
-    rows = rows.withColumn("_id", F.coalesce(F.col(i).cast("bigint"), F.lit(NO_ID))).join(found, F.col("_id") == F.col("_kept"), "left_semi")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", t).orderBy(F.lit(0)))).where("_n = 1")
-    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(cols)])
+    rows = rows.withColumn("_id", F.coalesce(F.col(i).cast("bigint"), F.lit(NO_ID)))
+    twice = stage(every.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"), "repeated-ids")
+    kept = every.where("s1 is null").select("id").unionAll(best.select(F.col("first").alias("id")))
+    own = F.col("_id") == F.col("id")
+    out = rows.join(kept, own, "left_semi")
+    if not twice.isEmpty():
+        out = out.join(twice, own, "left_anti")
+        more = _signatures(rows.join(twice, own, "left_semi"), t)
+        member = named.select(*[F.col(c).alias(f"m_{c}") for c in ("s1", "s2", "n")]).distinct()
+        best = best.select(*[F.col(c).alias(f"b_{c}") for c in ("first", "s1", "s2", "n")])
+        same = lambda p: (F.col("s1") == F.col(f"{p}_s1")) & (F.col("s2") == F.col(f"{p}_s2")) & (F.col("n") == F.col(f"{p}_n"))
+        more = more.join(member, same("m"), "left").join(best, same("b") & (F.col("_id") == F.col("b_first")), "left")
+        more = more.where(F.col("m_n").isNull() | F.col("b_n").isNotNull())  # in no class, or its class's kept id
+        w = Window.partitionBy("_id", "n", "s1", "s2", F.when(F.col("n") == 0, F.col(t))).orderBy(t)
+        more = more.withColumn("_place", F.row_number().over(w)).where("_place = 1")
+        out = out.select(*rows.columns).unionByName(more.select(*rows.columns))
+    return out.select(*[f"c{k}" for k in range(len(cols))]).toDF(*cols)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,6 +423,8 @@ n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
 p AS (SELECT a.r AS a, b.r AS b, count(*) AS inter FROM g a JOIN g b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
 e AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * inter >= 80 * (na.n + nb.n - inter)),
 s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, s.b FROM t JOIN s ON t.b = s.a)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id FROM d JOIN t ON t.a = d.r JOIN d o ON o.r = t.b LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id, n
+t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, s.b FROM t JOIN s ON t.b = s.a),
+l AS (SELECT a, count(*) AS n_links FROM s GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d JOIN t ON t.a = d.r JOIN d o ON o.r = t.b LEFT JOIN n ON n.r = d.r LEFT JOIN l ON l.a = d.r GROUP BY d.r, d.doc_id, n, n_links
 """

@@ -34,9 +34,17 @@ def brute(docs):
     return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(docs))
 
 
+def link_counts(docs):
+    sets = [shingles(t) for _, t in docs]
+    near = lambda a, b: bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    return sorted((d, sum(near(s, t) for j, t in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(docs, sets)))
+
+
 def run(spark, docs, parts=4):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(parts)
-    return sorted(tuple(r) for r in ngram_join.join_similar(df).collect())
+    rows = ngram_join.join_similar(df).collect()
+    assert sorted((r.doc_id, r.n_links) for r in rows) == link_counts(docs)
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows)
 
 
 def near_copies(seed, n=70, size=100):
@@ -60,6 +68,9 @@ def near_copies(seed, n=70, size=100):
 def test_near_copies_against_brute_force(spark, monkeypatch, seed):
     if seed == 2:
         monkeypatch.setattr(ngram_join, "FAMILY_KEYS", 700)  # chunk pairs
+    if seed == 3:
+        monkeypatch.setattr(ngram_join, "FAMILY_SETS", 9)
+    if seed == 2:
         monkeypatch.setattr(_exchange, "BLOCK_BYTES", 4000)
         monkeypatch.setattr(_exchange, "RANGE_KEYS", 300)
     docs = near_copies(seed)
@@ -81,7 +92,9 @@ def test_empty_and_null_id(spark):
 
 def test_real_table(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
-    assert sorted(tuple(r) for r in ngram_join.op5_ngram_join(spark, "/root/testdata/sf0.001").collect()) == brute(docs)
+    rows = ngram_join.op5_ngram_join(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute(docs)
+    assert sorted((r.doc_id, r.n_links) for r in rows) == link_counts(docs)
 
 
 def test_keep_one(spark):
@@ -119,3 +132,20 @@ def test_every_pair_is_found_once(spark, monkeypatch, family_keys):
         found += [(min(a, b), max(a, b)) for a in held[p.class_a] for b in held[p.class_b]]
     assert len(near) > 3 * len(docs)
     assert sorted(found) == sorted(near)
+
+
+def test_repeated_ids_save_no_copy(spark):
+    w = [f"w{k}" for k in range(100)]
+    a, near, nearer = " ".join(w), " ".join(w[:-1] + ["x"]), " ".join(w[:-1])
+    docs = [(1, a), (3, near), (5, nearer), (5, "something else altogether in here"), (5, "  something else altogether in here "), (1, a), (7, None), (7, None), (7, ""), (8, "short"), (None, a + " z")]
+    got = sorted((r.doc_id or 0, (r.text or "").strip()) for r in ngram_join.keep_one(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect())
+    assert got == [(0, a + " z"), (5, "something else altogether in here"), (7, ""), (7, ""), (8, "short")]
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame([(2, a), (2, near), (2, nearer)], "doc_id bigint, text string")).collect()]
+    assert len(got) == 1
+
+
+def test_structured_words(spark):
+    from tests.llm.test_shared import thue_morse
+
+    docs = [(1, " ".join([thue_morse(2048)] * 4 + ["u"])), (2, " ".join([thue_morse(2048, "b", "a")] * 4 + ["u"]))]
+    assert run(spark, docs) == brute(docs)
