@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 from tempora.llm import url_filter as uf
 
 URLS = [
@@ -19,54 +22,87 @@ def judged(url):
     return host, path, *(max(fit)[1:] if fit else (None, None))
 
 
+def brute_ranks(edges, seed, hosts):
+    """Personalised PageRank by power iteration; mass without a way out restarts at the seeds."""
+    total = sum(seed.values())
+    s = {h: seed.get(h, 0) / total if total else 0.0 for h in hosts}
+    out, r = {}, dict(s)
+    for (a, _), n in edges.items():
+        out[a] = out.get(a, 0) + n
+    for _ in range(400):
+        lost = sum(r[h] for h in hosts if h not in out)
+        new = {h: (0.15 + 0.85 * lost) * s[h] for h in hosts}
+        for (a, b), n in edges.items():
+            new[b] += 0.85 * r[a] * n / out[a]
+        r = new
+    return r
+
+
+def brute(pages):
+    """{page_id: (host, path, rule, verdict)} of rows (page_id, url, html), and the ranks."""
+    own, edges, good, bad = {}, {}, {}, {}
+    for i, url, html in pages:
+        own[i] = judged(url)
+        host = own[i][0]
+        if host:
+            good[host], bad[host] = good.get(host, 0) + (own[i][3] == "allow"), bad.get(host, 0) + (own[i][3] == "block")
+        for link in re.findall(r"""href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]*)""", html or "", re.I):
+            to = judged(("x:" if link.startswith("//") else "") + link)[0]
+            if host and to and to != host:
+                edges[host, to] = edges.get((host, to), 0) + 1
+    hosts = {*good, *(h for e in edges for h in e)}
+    trust, distrust = brute_ranks(edges, good, hosts), brute_ranks({(b, a): n for (a, b), n in edges.items()}, bad, hosts)
+    blocked = {h for h in hosts if distrust[h] > trust[h] and distrust[h] >= 1 / len(hosts)}
+    return {i: (h, p, rule, v or ("block" if h in blocked else "allow")) for i, (h, p, rule, v) in own.items()}, trust, distrust
+
+
+def check(spark, pages):
+    df = spark.createDataFrame([(*p, "r") for p in pages], "page_id bigint, url string, html string, rule string").repartition(3)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.judge(df).collect()}
+    assert got == brute(pages)[0]
+    return got
+
+
 def test_rules_against_brute_force(spark):
-    df = spark.createDataFrame([(k, u, None, "r") for k, u in enumerate(URLS)], "page_id bigint, url string, html string, rule string")
-    got = {r.page_id: r for r in uf.judge(df).collect()}
-    for k, u in enumerate(URLS):
-        host, path, rule, verdict = judged(u)
-        assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, verdict or "allow"), u
+    check(spark, [(k, u, None) for k, u in enumerate(URLS)])
 
 
 def test_real_table(spark):
     d = "/root/testdata/sf0.01"
-    urls = {r.page_id: r.url for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
-    out = uf.op4_url_filter(spark, d).collect()
-    assert len(out) == len(urls)
-    for r in out:
-        assert (r.host, r.path, r.rule) == judged(urls[r.page_id])[:3] and r.verdict == (judged(urls[r.page_id])[3] or "allow")
-
-
-def rank(edges, seed, damping, rounds):
-    nodes = {x for a, b, _ in edges for x in (a, b)}
-    seed = {k: v for k, v in seed.items() if k in nodes}
-    total = sum(seed.values()) or 1
-    out = {}
-    for a, _, n in edges:
-        out[a] = out.get(a, 0) + n
-    r, got = {x: seed.get(x, 0) / total for x in nodes}, {}
-    for _ in range(rounds):
-        got = {x: damping * sum(r[a] * n / out[a] for a, b, n in edges if b == x) for x in nodes}
-        r = {x: (1 - damping) * seed.get(x, 0) / total + got[x] for x in nodes}
-    return got
+    pages = [tuple(r) for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.op4_url_filter(spark, d).collect()}
+    assert got == brute(pages)[0]
+    assert {v for _, _, rule, v in got.values() if rule is None} == {"allow", "block"}  # both by propagation
 
 
-def test_propagation_against_power_iteration(spark):
-    edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "d", 1.0), ("c", "a", 1.0), ("d", "x", 1.0), ("y", "x", 3.0), ("y", "a", 1.0), ("x", "y", 1.0)]
-    good, bad = {"a": 3.0, "z": 1.0}, {"x": 2.0}
-    seeds = spark.createDataFrame([(h, good.get(h, 0.0), bad.get(h, 0.0)) for h in {*good, *bad}], "host string, good double, bad double")
-    got = {r.host: r for r in uf.propagate(spark.createDataFrame(edges, "src string, dst string, n double"), seeds, rounds=8).collect()}
-    trust, distrust = rank(edges, good, 0.85, 8), rank([(b, a, n) for a, b, n in edges], bad, 0.85, 8)
-    for h in trust:
-        assert abs(got[h].trust - trust[h]) < 1e-9 and abs(got[h].distrust - distrust[h]) < 1e-9
+def linked_pages(seed, hosts=25, n=300):
+    r = random.Random(seed)
+    names = [f"h{k}.{r.choice(['com', 'net', 'org', 'info'])}" for k in range(hosts)] + ["example.com", "x.example.net"]
+    out = []
+    for k in range(n):
+        links = "".join(r.choice([f'<a href="http://{h}/x">', f"<A HREF='//{h}'>", f"<a href=https://{h}?q>", "<a href='/own'>"]) for h in r.choices(names, k=r.choice([0, 0, 1, 3])))
+        out.append((k, f"http://{r.choice(names)}{r.choice(['/', '/en/1', '/en/7', '/de/2', '/de/80', '/es/', '/fr'])}", r.choice([links, links + "text", None])))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_between_hosts_against_brute_force(spark, seed):
+    got = check(spark, linked_pages(seed))
+    assert {v for _, _, rule, v in got.values() if rule is None} == {"allow", "block"}
 
 
 def test_ranks_converge(spark):
-    edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "d", 1.0), ("c", "a", 1.0), ("d", "x", 1.0), ("y", "x", 3.0), ("y", "a", 1.0), ("x", "y", 1.0)]
-    seeds = spark.createDataFrame([("a", 3.0, 0.0), ("x", 0.0, 2.0)], "host string, good double, bad double")
-    got = {r.host: r for r in uf.propagate(spark.createDataFrame(edges, "src string, dst string, n double"), seeds, damping=0.5).collect()}
-    trust, distrust = rank(edges, {"a": 3.0}, 0.5, 100), rank([(b, a, n) for a, b, n in edges], {"x": 2.0}, 0.5, 100)
-    for h in trust:
-        assert abs(got[h].trust - trust[h]) < uf.TOLERANCE / len(trust) and abs(got[h].distrust - distrust[h]) < uf.TOLERANCE / len(trust)
+    edges = {("a", "b"): 2.0, ("a", "c"): 1.0, ("b", "d"): 1.0, ("c", "a"): 1.0, ("d", "x"): 1.0, ("y", "x"): 3.0, ("y", "a"): 1.0, ("q", "end"): 1.0}
+    good, bad = {"a": 3.0, "z": 1.0, "q": 2.0}, {"x": 2.0, "end": 1.0}
+    seeds = spark.createDataFrame([(h, good.get(h, 0.0), bad.get(h, 0.0)) for h in {*good, *bad}], "host string, good double, bad double")
+    got = {r.host: r for r in uf.propagate(spark.createDataFrame([(*e, n) for e, n in edges.items()], "src string, dst string, n double"), seeds).collect()}
+    hosts = {*(h for e in edges for h in e), *good, *bad}
+    trust, distrust = brute_ranks(edges, good, hosts), brute_ranks({(b, a): n for (a, b), n in edges.items()}, bad, hosts)
+    assert got.keys() == hosts and abs(sum(r.trust for r in got.values()) - 1) < 1e-9 and abs(sum(r.distrust for r in got.values()) - 1) < 1e-9
+    for h in hosts:
+        assert abs(got[h].trust - trust[h]) < uf.TOLERANCE / len(hosts) * 7 and abs(got[h].distrust - distrust[h]) < uf.TOLERANCE / len(hosts) * 7
+    with pytest.raises(ValueError, match="damping"):
+        uf.propagate(spark.createDataFrame([], "src string, dst string, n double"), seeds, damping=1.0)
 
 
 def test_distrust_reaches_hosts_far_away(spark):
@@ -74,36 +110,12 @@ def test_distrust_reaches_hosts_far_away(spark):
     pages = [(0, "http://bad.com/en/1", "")] + [(k, f"http://h{k}.info/", f'<a href="//{f"h{k - 1}.info" if k > 1 else "bad.com"}/">') for k in range(1, far + 1)]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
     assert {r.verdict for r in uf.judge(df, lift=0.0).collect()} == {"block"}
-    seeds = spark.createDataFrame([("bad.com", 0.0, 1.0)], "host string, good double, bad double")
-    got = {r.host: r.distrust for r in uf.propagate(uf.host_edges(df), seeds).collect()}
-    for k in range(1, far + 1):
-        assert abs(got[f"h{k}.info"] - 0.15 * 0.85**k) < 1e-9
 
 
 def test_linking_to_blocked_hosts_blocks(spark):
     link = lambda h: f'<a href="http://{h}/">x</a><A HREF=\'//{h}/y?z\'>y</a><a href="/own">o</a>'
-    pages = [(1, "http://bad.com/en/1", ""), (2, "http://spam.info/1", link("bad.com")), (3, "http://good.example.com/en/7", link("nice.info")), (4, "http://nice.info/", ""), (5, "http://alone.info/", None)]
-    got = {r.page_id: r.verdict for r in uf.judge(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
-
-
-def test_own_mass_judges_hosts_without_links(spark):
-    pages = [(k, f"http://bad.com/en/{k}", None) for k in range(3)] + [(3, "http://bad.com/x", None), (4, "http://a.example.com/en/7", None), (5, "http://a.example.com/x", None), (6, "http://alone.info/", "")]
-    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
-    verdicts = lambda own: {r.page_id: r.verdict for r in uf.judge(df, own=own).collect()}
-    assert verdicts(True) == {0: "block", 1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
-    assert verdicts(False) == verdicts(True) | {3: "allow"}
-
-
-def test_own_mass_on_real_table(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    rows = {r.page_id: judged(r.url) for r in pages.collect()}
-    good, bad = ({h: sum(j[0] == h and j[3] == v for j in rows.values()) for h in {j[0] for j in rows.values()} - {""}} for v in ("allow", "block"))
-    share = lambda x, h: x[h] / (sum(x.values()) or 1)
-    blocked = {h for h in bad if share(bad, h) > share(good, h) and share(bad, h) >= 1 / len(bad)}
-    got = {r.page_id: r.verdict for r in uf.judge(pages, own=True).collect()}
-    assert got == {i: v or ("block" if h in blocked else "allow") for i, (h, _, _, v) in rows.items()}
-    assert sum(j[3] is None and j[0] in blocked for j in rows.values()) > 0
+    pages = [(1, "http://bad.com/en/1", ""), (2, "http://spam.info/1", link("bad.com")), (3, "http://good.example.com/en/7", link("nice.info")), (4, "http://nice.info/", ""), (5, "http://alone.info/", None), (6, "http://bad.com/other", None)]
+    assert {i: x[3] for i, x in check(spark, pages).items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block"}
 
 
 def test_empty_table(spark):
