@@ -4,26 +4,35 @@ A block is some megabytes of documents in one row, zstd-compressed, written once
 every later pass sees the same blocks even if an executor is lost in between.  In a pass, a block sorts its distinct keys, cuts them by
 hash range and sends one packed row per range (about six bytes a key, a key at most once per block however many rows hold it);
 a range compares what it got from all blocks and answers each with one bit per key.  Ranges are sized by
-the corpus, hold equal shares of the hash space, and a key that is everywhere adds one entry per block to one of them.
+the corpus and hold equal shares of the hash space.
+
+Rows between blocks and ranges are blocks times ranges, which must not grow with the square of the corpus.  Beyond FAN ranges
+the exchange therefore takes two hops: blocks send to the square root of the ranges; there, the packs of each BATCH of blocks are merged, so a
+key counts once per batch, and go on to the ranges; the answers return the same way.  So packs stay above a kilobyte up to FAN ** 2
+ranges (200 TB of text), and a key that every block has adds one entry per batch to its range.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm._packs import packs, rest, views
-from tempora.llm._shared import NO_ID, ship, stage
+from tempora.llm._shared import NO_ID, discard, ship, stage
 
 BLOCK_BYTES = 4 << 20
 #: Keys per hash range, about.
 RANGE_KEYS = 2_000_000
+#: Ranges that blocks send to directly, and blocks whose packs are merged on the way beyond.
+FAN, BATCH = 4096, 4096
 BLOCK = "block bigint, size bigint, ids binary, starts binary, data binary"
 
 
@@ -62,10 +71,18 @@ def count_ranges(blocks: DataFrame, bytes_per_key: float) -> int:
     return max(1, round(size / bytes_per_key / RANGE_KEYS))
 
 
-def _cut(u: np.ndarray, ranges: int) -> np.ndarray:
-    """First key of each range in sorted u, and the end."""
+def _hops(ranges: int) -> tuple[int, int]:
+    """Ranges that blocks send to, and into how many each is divided by a second hop."""
+    if ranges <= FAN:
+        return ranges, 1
+    first = math.isqrt(ranges - 1) + 1
+    return first, -(-ranges // first)
+
+
+def _cut(u: np.ndarray, ranges: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """First key of each range from first to last in sorted u, and the end."""
     r = ((u >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    return np.searchsorted(r, np.arange(ranges + 1, dtype=np.uint64))
+    return np.searchsorted(r, np.arange(first, (ranges if last is None else last) + 1, dtype=np.uint64))
 
 
 def _encode(u: np.ndarray, ids: np.ndarray | None) -> bytes:
@@ -105,6 +122,21 @@ def _decode(raw: bytes, with_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
     return u, table[np.frombuffer(raw, kind, n, at + 4 + 8 * m)]
 
 
+def _merged(packs: list[tuple[np.ndarray, np.ndarray | None]], earlier: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of sorted packs; of each the smallest id, or the sum of the counts (without any: the packs that have it); and the
+    place of every pack's keys among them."""
+    u, at = np.unique(np.concatenate([x for x, _ in packs]), return_inverse=True)
+    if packs[0][1] is None:
+        value = np.bincount(at, minlength=len(u))
+    elif earlier:
+        value = np.full(len(u), np.iinfo(np.int64).max)
+        np.minimum.at(value, at, np.concatenate([x for _, x in packs]))
+    else:
+        value = np.zeros(len(u), np.int64)
+        np.add.at(value, at, np.concatenate([x for _, x in packs]).astype(np.int64))
+    return u, value, np.split(at, np.cumsum([len(x) for x, _ in packs])[:-1])
+
+
 def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = False, counts: bool = False) -> DataFrame:
     """block, part, bits: for each block and range one bit per distinct key, in order; rows without a set bit are left out.
 
@@ -113,12 +145,13 @@ def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = Fals
     of the counts as 32-bit numbers; else a bit says that some other block has the key.
     """
     values = earlier or counts
+    first, second = _hops(ranges)
 
     def send(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 u, ids = keys(*unpack(*(batch.column(c)[k].as_py() for c in (1, 2, 3))))
-                cut = _cut(u, ranges)
+                cut = _cut(u, first)
                 some = np.flatnonzero(np.diff(cut))
                 block = batch.column(0)[k].as_py()
                 for part in some.tolist():
@@ -127,33 +160,76 @@ def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = Fals
                 del u, ids
                 rest()
 
+    def answered(table: pa.Table, out: list[np.ndarray], names: tuple[str, ...]) -> pa.Table:
+        """The rows' answers, bits or counts, beside the named columns; without a set bit none."""
+        if counts:
+            return pa.table({c: table.column(c) for c in names} | {"bits": pa.array([x.astype(np.uint32).tobytes() for x in out], pa.binary())})
+        some = [k for k, x in enumerate(out) if x.any()]
+        return pa.table({c: table.column(c).take(pa.array(some, pa.int64())) for c in names} | {"bits": pa.array([np.packbits(out[k]).tobytes() for k in some], pa.binary())})
+
     def compare(table: pa.Table) -> pa.Table:
         rest()
         got = [_decode(x.as_py(), values) for x in table.column("raw")]
-        sizes = np.array([len(u) for u, _ in got])
         u = np.concatenate([x for x, _ in got])
         order = np.argsort(u, kind="stable")
         s = u[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        many = np.diff(np.append(first, len(s)))
-        ends = np.cumsum(sizes)
+        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        many = np.diff(np.append(start, len(s)))
+        flags = np.zeros(len(u), np.uint32 if counts else bool)
         if counts:
-            total = np.empty(len(u), np.uint32)
-            total[order] = np.repeat(np.add.reduceat(np.concatenate([x for _, x in got])[order], first), many)
-            out = [total[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
-            return pa.table({"block": table.column("block"), "part": table.column("part"), "bits": pa.array(out, pa.binary())})
-        flags = np.zeros(len(u), bool)
-        if earlier:
+            flags[order] = np.repeat(np.add.reduceat(np.concatenate([x for _, x in got])[order], start), many)
+        elif earlier:
             ids = np.concatenate([x for _, x in got])[order]
-            flags[order] = ids > np.repeat(np.minimum.reduceat(ids, first), many)
+            flags[order] = ids > np.repeat(np.minimum.reduceat(ids, start), many)
         else:
             flags[order] = np.repeat(many > 1, many)
-        bits = [flags[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-        some = pa.array([k for k, x in enumerate(bits) if x.any()], pa.int64())
-        return pa.table({"block": table.column("block").take(some), "part": table.column("part").take(some), "bits": pa.array([np.packbits(bits[k]).tobytes() for k in some.to_pylist()], pa.binary())})
+        return answered(table, np.split(flags, np.cumsum([len(x) for x, _ in got])[:-1]), ("block", "part"))
 
     sent = blocks.select("block", "ids", "starts", "data").mapInArrow(send, "block bigint, part bigint, raw binary")
-    return sent.groupBy("part").applyInArrow(compare, "block bigint, part bigint, bits binary")
+    if second == 1:
+        return sent.groupBy("part").applyInArrow(compare, "block bigint, part bigint, bits binary")
+
+    def merge(table: pa.Table) -> pa.Table:
+        """One pack per range for a batch of blocks."""
+        rest()
+        u, value, _ = _merged([_decode(x.as_py(), values) for x in table.column("raw")], earlier)
+        part, batch = table.column("part")[0].as_py(), table.column("batch")[0].as_py()
+        cut = _cut(u, first * second, part * second, (part + 1) * second)
+        some = np.flatnonzero(np.diff(cut)).tolist()
+        return pa.table({"part": pa.array([part] * len(some), pa.int64()), "batch": pa.array([batch] * len(some), pa.int64()), "sub": pa.array(some, pa.int64()), "raw": pa.array([_encode(u[cut[k] : cut[k + 1]], value[cut[k] : cut[k + 1]]) for k in some], pa.binary())})
+
+    def settle(table: pa.Table) -> pa.Table:
+        """For each batch, whether others have a smaller id or have the key at all; or the sums."""
+        rest()
+        got = [_decode(x.as_py(), True) for x in table.column("raw")]
+        _, value, places = _merged(got, earlier)
+        out = [value[at] if counts else value[at] < own if earlier else value[at] > own for at, (_, own) in zip(places, got, strict=True)]
+        return answered(table, out, ("part", "batch", "sub"))
+
+    def spread(table: pa.Table) -> pa.Table:
+        """The answers to a batch become those to its blocks."""
+        rest()
+        own, back = table.filter(pc.is_null(table.column("sub"))), table.filter(pc.is_valid(table.column("sub")))
+        got = [_decode(x.as_py(), values) for x in own.column("raw")]
+        u, value, places = _merged(got, earlier)
+        part = own.column("part")[0].as_py()
+        cut = _cut(u, first * second, part * second, (part + 1) * second)
+        total = np.zeros(len(u), np.int64 if counts else bool)
+        for sub, raw in zip(back.column("sub").to_pylist(), back.column("raw").to_pylist(), strict=True):
+            n = int(cut[sub + 1] - cut[sub])
+            total[cut[sub] : cut[sub + 1]] = np.frombuffer(raw, np.uint32) if counts else np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
+        out = [total[at] if counts else total[at] | (ids > value[at] if earlier else value[at] > 1) for at, (_, ids) in zip(places, got, strict=True)]
+        return answered(own, out, ("block", "part"))
+
+    batches = max(1, -(-blocks.count() // BATCH))
+    sent = stage(sent.withColumn("batch", F.pmod(F.xxhash64("block"), F.lit(batches))), "packs")
+    merged = sent.groupBy("part", "batch").applyInArrow(merge, "part bigint, batch bigint, sub bigint, raw binary")
+    settled = merged.groupBy("part", "sub").applyInArrow(settle, "part bigint, batch bigint, sub bigint, bits binary")
+    none = F.lit(None).cast("bigint")
+    both = sent.select("block", "part", "batch", none.alias("sub"), "raw").unionByName(settled.select(none.alias("block"), "part", "batch", "sub", F.col("bits").alias("raw")))
+    out = stage(both.groupBy("part", "batch").applyInArrow(spread, "block bigint, part bigint, bits binary"), "spread")
+    discard(sent)
+    return out
 
 
 def deliver(blocks: DataFrame, given: DataFrame, f: Callable, schema: str) -> DataFrame:
@@ -174,9 +250,11 @@ def deliver(blocks: DataFrame, given: DataFrame, f: Callable, schema: str) -> Da
 def with_answers(blocks: DataFrame, given: DataFrame, ranges: int, f: Callable, schema: str, counts: bool = False) -> DataFrame:
     """f(block, ids, starts, buffer, answer_to) -> pa.Table for every block; answer_to(sorted keys) -> a flag or count per key."""
 
+    first = _hops(ranges)[0]
+
     def run(block, ids, starts, buf, bits):
         def answer_to(u: np.ndarray) -> np.ndarray:
-            cut, out = _cut(u, ranges), np.zeros(len(u), np.uint32 if counts else bool)
+            cut, out = _cut(u, first), np.zeros(len(u), np.uint32 if counts else bool)
             for p, raw in bits.items():
                 n = int(cut[p + 1] - cut[p])
                 out[cut[p] : cut[p + 1]] = np.frombuffer(raw, np.uint32) if counts else np.unpackbits(np.frombuffer(raw, np.uint8), count=n)

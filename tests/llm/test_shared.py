@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tempora.llm import _exchange, _text
@@ -87,3 +88,31 @@ def test_equal_runs(monkeypatch):
         monkeypatch.setattr(_text, "LONG", long)
         assert _text.equal_runs(buf, at[i], buf, at[j], (ends - at)[i]).tolist() == exp
     assert 0 < sum(exp) < len(exp)
+
+
+@pytest.mark.parametrize("kind", ["presence", "earlier", "counts"])
+def test_two_hops_answer_like_one(spark, monkeypatch, kind):
+    r = random.Random(11)
+    docs = [(r.randrange(300) if r.random() < 0.9 else None, " ".join(r.choices([f"w{k}" for k in range(4000)] + ["the"] * 300, k=40))) for _ in range(400)]
+    blocks = _exchange.pack_blocks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6), "doc_id", "text", 900)
+    assert blocks.count() > 80
+
+    def keys(ids, starts, buf):
+        a, b = _text.runs(buf, _text.SPACED)
+        h, doc = _text.run_hashes(buf, a, b), np.searchsorted(starts, a, "right") - 1
+        order = np.lexsort((ids[doc], h))
+        u, first, n = np.unique(h[order], return_index=True, return_counts=True)
+        return u, (n if kind == "counts" else ids[doc][order][first])
+
+    def told(block, ids, starts, buf, answer_to):
+        u, _ = keys(ids, starts, buf)
+        return pa.table({"block": [block] * len(u), "key": u.view(np.int64), "answer": answer_to(u).astype(np.int64)})
+
+    options = {"earlier": kind == "earlier", "counts": kind == "counts"}
+    got = []
+    for fan, batch in ((4096, 4096), (5, 7), (5, 10**6)):
+        monkeypatch.setattr(_exchange, "FAN", fan)
+        monkeypatch.setattr(_exchange, "BATCH", batch)
+        given = _exchange.answers(blocks, keys, 60, **options)
+        got.append(sorted(map(tuple, _exchange.with_answers(blocks, stage(given, "a"), 60, told, "block bigint, key bigint, answer bigint", counts=kind == "counts").collect())))
+    assert got[0] == got[1] == got[2] and len({x[2] for x in got[0]}) > 1
