@@ -5,13 +5,19 @@ depends on the window's bytes alone: equal windows have anchors at equal places.
 one byte in 35, and an anchor stands for a run of neighbouring windows (at most WIDTH - GRAM + 1) with the bytes before and after it.
 
 1. By one packed exchange every block learns which of its anchor grams occur elsewhere; the rest cannot start a match.
-2. For those, sampled splitters range-partition the suffixes by their leading bytes (a whole gram, so equal anchors are never parted and
-   neighbours across a boundary differ within the gram: nothing else has to be compared there).  Equal stretches of one block travel once.
-3. Each range sorts its suffixes by multikey quicksort on 8-byte digits, vectorised: a pass refines only the rows that still tie.
-   Neighbours that agree in the gram form groups; in them equal windows are found at every offset, and the earliest (doc_id, start) stays.
-4. The answers, one bit per window, go back to the blocks, which merge covered bytes into maximal runs.
-
-Windows in a group are compared by a 64-bit hash besides the gram and the offset.
+2. For those, sampled splitters range-partition the suffixes by their leading bytes.  A splitter is a gram, so that the suffixes of a gram stay
+   together; where a gram fills more than one range, its splitters go on for all WIDTH bytes, and where one such string does, its suffixes
+   are dealt over those ranges by block.  Equal stretches of one block travel once.
+3. Each range sorts its suffixes by multikey quicksort and takes the common prefix of neighbours; it sorts the bytes before the anchors,
+   read backwards, likewise.  Windows that reach l bytes before their anchors are equal if and only if their suffixes agree in WIDTH - l
+   bytes and what is before them in l: both are runs of neighbours in the sorted orders.  So equal windows are found without
+   hashing, and the earliest (doc_id, start) of each stays.
+4. Across a boundary, only suffixes that agree with the splitter in WIDTH - l bytes can have equal windows on the other side.  Of these windows
+   each range hands on its earliest one, one row per distinct window, and one aggregate over the 100 bytes settles them.
+5. The answers, one bit per window, go back to the blocks, which merge covered bytes into maximal runs.
+
+Equality rests on bytes; only inside a block are equal stretches recognised by a 64-bit hash (a wrong pair in about 1e9 blocks of 4 MB).
+At most MAX_RANGES splitters are kept on the driver; beyond, a range is divided by a hash of the gram as well.
 
 Defined cases: null text is empty; texts below WIDTH bytes are kept; rows of equal doc_id count as one document (windows at
 the same start in both are not earlier than each other); a null doc_id is smaller than any other; an empty table gives no rows; further
@@ -34,10 +40,14 @@ from tempora.llm._shared import NO_ID, discard, stage
 WIDTH, GRAM = 100, 32
 REACH = WIDTH - GRAM  # bytes of a window before its anchor, at most
 ROW = REACH + WIDTH  # bytes kept around an anchor
-#: Blocks sampled for splitters, and suffixes of each.
-SAMPLE_BLOCKS, SAMPLE_KEYS = 64, 2048
-#: Bytes of text for each suffix range, about.
-RANGE_BYTES = 4 << 20
+#: Keys sampled for each range, and from one block at most.
+OVERSAMPLE, SAMPLE_KEYS = 32, 2048
+#: Bytes of text for each suffix range, about, and ranges at most.
+RANGE_BYTES, MAX_RANGES = 4 << 20, 1 << 14
+#: Suffixes that are sorted by all digits at once.
+SMALL = 256
+#: The number under which answers from across the boundaries come to a block.
+_ACROSS = 1 << 40
 _SEGMENT = 1 << 19
 
 
@@ -89,37 +99,73 @@ def _twins(ids, starts, buf, lo, hi, p) -> tuple[np.ndarray, np.ndarray]:
 
 
 def multikey_sort(digits: np.ndarray) -> np.ndarray:
-    """Order of rows by their columns; each pass sorts the rows that tie in all columns before."""
-    n = len(digits)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    todo = np.arange(n)  # places in order that still tie
-    for c in range(digits.shape[1]):
-        if not len(todo):
-            break
-        rows = order[todo]
-        o = np.lexsort((digits[rows, c], group[todo]))
-        rows = rows[o]
-        order[todo] = rows
-        v, g = digits[rows, c], group[todo]  # groups are contiguous and keep their places
-        new = np.ones(len(todo), bool)
-        new[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])
-        group[todo] = todo[np.flatnonzero(new)][np.cumsum(new) - 1]
-        size = np.diff(np.append(np.flatnonzero(new), len(todo)))
-        todo = todo[np.repeat(size, size) > 1]
+    """Order of rows by their columns, by multikey quicksort: a part is split in three by one column at a pivot, and what equals the pivot
+    goes on with the next column."""
+    order, todo = np.arange(len(digits)), [(0, len(digits), 0)]
+    while todo:
+        a, b, c = todo.pop()
+        if b - a < 2 or c == digits.shape[1]:
+            continue
+        rows = order[a:b]
+        if b - a <= SMALL:
+            order[a:b] = rows[np.lexsort(digits[rows, c:].T[::-1])]
+            continue
+        v = digits[rows, c]
+        some = np.sort(v[:: max(1, (b - a) // 63)])
+        pivot = some[len(some) // 2]
+        low, same = v < pivot, v == pivot
+        i = a + int(np.count_nonzero(low))
+        j = i + int(np.count_nonzero(same))
+        order[a:b] = np.concatenate([rows[low], rows[same], rows[~(low | same)]])
+        todo += [(a, i, c), (i, j, c + 1), (j, b, c)]
     return order
 
 
-def _records(block, ids, starts, buf, lo, hi, p, pick, splitters: np.ndarray) -> pa.Table:
+def suffix_order(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of a byte table, and the common prefix of each with the one before it (the first: -1)."""
+    n, size = texts.shape
+    wide = np.zeros((n, -(-size // 8) * 8), np.uint8)
+    wide[:, :size] = texts
+    order = multikey_sort(wide.view(">u8").astype(np.uint64))
+    common = np.full(n, -1, np.int64)
+    for a in range(1, n, 1 << 16):
+        own = texts[order[a - 1 : a + (1 << 16)]]
+        common[a : a + (1 << 16)] = _common(own[1:], own[:-1])
+    return order, common
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the rows."""
+    differ = a != b
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
+def _suffixes(buf: np.ndarray, p: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The WIDTH bytes from each anchor, as far as its windows reach; zeros beyond."""
+    at = np.arange(WIDTH)
+    out = buf[np.minimum(p[:, None] + at, len(buf) - 1)] if len(p) else np.zeros((0, WIDTH), np.uint8)
+    out[at >= (hi - p + WIDTH)[:, None]] = 0
+    return np.ascontiguousarray(out)
+
+
+def _parts(keys: np.ndarray, grams: np.ndarray, block: int, splitters: np.ndarray, slices: int) -> np.ndarray:
+    """Number of the range of each suffix; what equals several splitters is dealt over their ranges by block."""
+    k = keys.view(f"S{WIDTH}").ravel()
+    low, high = np.searchsorted(splitters, k, "left"), np.searchsorted(splitters, k, "right")
+    turn = int(_text.mix(np.array([block], np.uint64))[0] >> np.uint64(1))
+    to = np.where(high > low, low + 1 + turn % np.maximum(1, high - low), high)
+    return to * slices + (_text.mix(grams) % np.uint64(slices)).astype(np.int64)
+
+
+def _records(block, ids, starts, buf, lo, hi, p, h, pick, splitters: np.ndarray, slices: int) -> pa.Table:
     """One packed row per suffix range with the picked runs of a block."""
-    gram = buf[p[pick][:, None] + np.arange(GRAM)] if len(pick) else np.zeros((0, GRAM), np.uint8)
-    keys = np.ascontiguousarray(gram).view(f"S{GRAM}").ravel()
-    order = np.argsort(keys, kind="stable")
-    pick, keys = pick[order], keys[order]
-    to = np.searchsorted(splitters, keys, "right")
+    to = _parts(_suffixes(buf, p[pick], hi[pick]), h[pick], block, splitters, slices)
+    order = np.argsort(to, kind="stable")
+    pick, to = pick[order], to[order]
     cut = np.flatnonzero(np.diff(to, prepend=-1))
     press = zstandard.ZstdCompressor(level=3)
     rows = {"block": [], "part": [], "raw": []}
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pick)], strict=True):
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pick)][: len(cut)], strict=True):
         own = pick[a:b]
         doc = np.searchsorted(starts, lo[own], "right") - 1
         body = np.concatenate([buf[i:j] for i, j in zip(lo[own].tolist(), (hi[own] + WIDTH).tolist(), strict=True)])
@@ -145,72 +191,76 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
     return left, more, index, ids, start, rows
 
 
-def _repeats(left, more, ids, start, rows) -> np.ndarray:
-    """For each record one flag per window: an equal window with smaller (doc_id, start) is among the records."""
-    n = len(left)
-    flags = np.zeros((n, 72), bool)
-    wide = np.zeros((n, 104), np.uint8)
-    wide[:, :WIDTH] = rows[:, REACH:]
-    digits = wide.view(">u8").astype(np.uint64)
-    order = multikey_sort(digits)
-    d = digits[order][:, : GRAM // 8]
-    new = np.ones(n, bool)
-    new[1:] = (d[1:] != d[:-1]).any(axis=1)  # the common prefix of neighbours is shorter than the gram
-    group = np.cumsum(new) - 1
-    many = np.bincount(group)
-    keep = many[group] > 1
-    order, group = order[keep], group[keep]
+def _repeats(left, more, ids, start, rows, below: bytes | None = None, above: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each record one flag per window: an equal window with smaller (doc_id, start) is among the records.
+
+    Further the records and offsets of the windows that are the earliest here but may have equals across the boundaries; below and above
+    are the splitters there (below only if suffixes that agree with it in a gram may lie before it).
+    """
+    n, flags = len(left), np.zeros((len(left), 72), bool)
+    order, common = suffix_order(rows[:, REACH:])
+    cross = np.zeros(n, np.int64)
+    for key in (below, above):
+        if key is not None:
+            cross = np.maximum(cross, _common(rows[:, REACH:], np.frombuffer(key.ljust(WIDTH, b"\0"), np.uint8)[None, :]))
+    near = common >= GRAM
+    some = near | (cross[order] >= GRAM)
+    some[:-1] |= near[1:]  # the rest share their gram with nobody; leaving them out joins no run, as the least common prefix is kept
+    kept = np.flatnonzero(some)
+    own = order[kept]
+    common = np.minimum.reduceat(common[: kept[-1] + 1], np.append(0, kept[:-1] + 1)) if len(kept) else common[:0]
+    back, before = suffix_order(rows[own, REACH - 1 :: -1])
     _, rank = np.unique(ids, return_inverse=True)
-    up, down = _text.powers(ROW)
-    keys, whens, who, offs = [], [], [], []
-    for a in range(0, len(order), 8192):
-        own = order[a : a + 8192]
-        sums = np.zeros((len(own), ROW + 1), np.uint64)
-        np.cumsum(_text._BYTE[rows[own]] * up[:ROW], axis=1, out=sums[:, 1:])
-        m = more[own] + 1
-        k = np.repeat(np.arange(len(own)), m)
-        off = np.arange(len(k)) - np.repeat(np.cumsum(m) - m, m)
-        col = REACH - left[own][k] + off
-        h = (sums[k, col + WIDTH] - sums[k, col]) * down[col]
-        g = group[a : a + 8192][k].astype(np.uint64) * np.uint64(128) + col.astype(np.uint64)
-        keys.append(_text.mix(_text.mix(h) + _text.mix(g)))
-        whens.append((rank[own][k].astype(np.int64) << 40) + start[own][k] + off)
-        who.append(own[k])
-        offs.append(off)
-    if not keys:
-        return flags
-    key, when, who, off = (np.concatenate(x) for x in (keys, whens, who, offs))
-    o = np.argsort(key)
-    s = key[o]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    least = np.minimum.reduceat(when[o], first)
-    again = np.empty(len(o), bool)
-    again[o] = when[o] > np.repeat(least, np.diff(np.append(first, len(o))))
-    flags[who[again], off[again]] = True
-    return flags
-
-
-def _splitters(blocks: DataFrame, ranges: int) -> np.ndarray:
-    """Quantiles of the leading bytes of suffixes in a bounded sample of blocks."""
-    if ranges < 2:
-        return np.zeros(0, f"S{GRAM}")
-    n = blocks.count()
-
-    def run(batches):
-        from tempora.llm._exchange import unpack
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                _, starts, buf = unpack(*(batch.column(c)[k].as_py() for c in range(3)))
-                _, _, p, _ = anchors(starts, buf)
-                p = p[np.linspace(0, len(p) - 1, min(len(p), SAMPLE_KEYS)).astype(np.int64)] if len(p) else p
-                yield pa.RecordBatch.from_arrays([pa.array([buf[i : i + GRAM].tobytes() for i in p.tolist()], pa.binary())], names=["k"])
-
-    some = blocks.select("ids", "starts", "data").sample(min(1.0, SAMPLE_BLOCKS / max(1, n)), seed=1)
-    keys = np.sort(np.array([bytes(r.k) for r in some.mapInArrow(run, "k binary").collect()], f"S{GRAM}"))
-    if not len(keys):
-        return np.zeros(0, f"S{GRAM}")
-    return np.unique(keys[np.arange(1, ranges) * len(keys) // ranges])
+    left, more, cross = left[own], more[own], cross[own]
+    when = (rank[own].astype(np.int64) << 40) + start[own] + left
+    place, m = np.arange(len(own)), len(own)
+    behind = np.empty(m, np.int64)
+    across_r, across_o = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for reach in range(REACH + 1):
+        some = np.flatnonzero((left >= reach) & (left - more <= reach))  # those that have this window
+        if not len(some):
+            continue
+        ahead = np.maximum.accumulate(np.where(common < WIDTH - reach, place, 0))  # first of the run that agrees in so many bytes
+        behind[back] = np.maximum.accumulate(np.where(before < reach, place, 0))
+        key = ahead[some] * m + behind[some]
+        o = np.argsort(key)
+        s = key[o]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        at = when[some] - reach
+        least = np.empty(len(some), np.int64)
+        least[o] = np.repeat(np.minimum.reduceat(at[o], first), np.diff(np.append(first, len(o))))
+        again = some[at > least]
+        flags[own[again], left[again] - reach] = True
+        open_ = some[(at == least) & (cross[some] >= WIDTH - reach)]
+        across_r.append(own[open_])
+        across_o.append(left[open_] - reach)
+    return flags, np.concatenate(across_r), np.concatenate(across_o)
+
+
+def _some_blocks(blocks: DataFrame, keys: int) -> DataFrame:
+    """Blocks that have about so many sampled keys, from files spread over the table; only these are read."""
+    spark, want = blocks.sparkSession, max(64, -(-keys // SAMPLE_KEYS))
+    files = sorted(blocks.inputFiles())
+    files = [files[k] for k in sorted({i * len(files) // want for i in range(want)})] if files else []
+    if not files:
+        return blocks
+    some = spark.read.schema(blocks.schema).parquet(*files)
+    n = some.count()
+    return some if n <= want else some.where(F.pmod(F.xxhash64("block"), F.lit(n)) < want)
+
+
+def _splitters(keys: list[bytes], ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of sampled suffixes: whole grams, and all bytes from the second quantile of a gram on, which may repeat; and whether each is
+    of the second kind."""
+    keys = sorted(keys)
+    out: list[bytes] = []
+    deep: list[bool] = []
+    for k in range(1, ranges):
+        if keys:
+            key = keys[k * len(keys) // ranges]
+            deep.append(bool(out) and out[-1][:GRAM] == key[:GRAM])
+            out.append(key if deep[-1] else key[:GRAM])
+    return np.array(out, f"S{WIDTH}"), np.array(deep, bool)
 
 
 def remove_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -218,32 +268,67 @@ def remove_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     blocks = pack_blocks(docs, id_col, text_col)
     ranges = count_ranges(blocks, 35)
     size = blocks.agg(F.sum("size")).first()[0] or 0
-    splitters = _splitters(blocks, max(1, round(size / RANGE_BYTES)))
+    wanted = max(1, round(size / RANGE_BYTES))
+    parts = min(wanted, MAX_RANGES)
+    slices = -(-wanted // parts)
 
     def keys(ids, starts, buf):
         return np.unique(anchors(starts, buf)[3]), None
 
-    def send(block, ids, starts, buf, answer_to):
+    def picked(ids, starts, buf, answer_to):
         lo, hi, p, h = anchors(starts, buf)
         u, rank, count = np.unique(h, return_inverse=True, return_counts=True)
         rep, _ = _twins(ids, starts, buf, lo, hi, p)
-        pick = np.flatnonzero((answer_to(u) | (count > 1))[rank] & (rep == np.arange(len(rep))))
-        return _records(block, ids, starts, buf, lo, hi, p, pick, splitters)
+        return lo, hi, p, h, np.flatnonzero((answer_to(u) | (count > 1))[rank] & (rep == np.arange(len(rep))))
+
+    def sampled(block, ids, starts, buf, answer_to):
+        _, hi, p, _, pick = picked(ids, starts, buf, answer_to)
+        pick = pick[np.linspace(0, len(pick) - 1, min(len(pick), SAMPLE_KEYS)).astype(np.int64)] if len(pick) else pick
+        return pa.table({"k": pa.array([x.tobytes() for x in _suffixes(buf, p[pick], hi[pick])], pa.binary())})
+
+    given = stage(answers(blocks, keys, ranges), "answers")
+    splitters, deep = np.zeros(0, f"S{WIDTH}"), np.zeros(0, bool)
+    if parts > 1:
+        some = _some_blocks(blocks, OVERSAMPLE * parts)
+        own = given.join(some.select("block"), "block", "left_semi")
+        got = with_answers(some, own, ranges, sampled, "k binary")
+        splitters, deep = _splitters([bytes(k) for k in got.toArrow().column("k").to_pylist()], parts)
+
+    def send(block, ids, starts, buf, answer_to):
+        lo, hi, p, h, pick = picked(ids, starts, buf, answer_to)
+        return _records(block, ids, starts, buf, lo, hi, p, h, pick, splitters, slices)
 
     def compare(table: pa.Table) -> pa.Table:
         rest()
         got = [_unpack(x.as_py()) for x in table.column("raw")]
-        flags = _repeats(*(np.concatenate([g[c] for g in got]) for c in (0, 1, 3, 4, 5)))
-        out = {"block": [], "part": [], "bits": []}
+        left, more, index, ids, start, rows = (np.concatenate([g[c] for g in got]) for c in range(6))
+        part = table.column("part")[0].as_py() // slices
+        below = splitters[part - 1] if part and deep[part - 1] else None
+        flags, at, off = _repeats(left, more, ids, start, rows, below, splitters[part] if part < len(splitters) else None)
+        out = {c: [] for c in ("block", "part", "bits", "window", "id", "start", "index", "off")}
         ends = np.cumsum([len(g[0]) for g in got])
         for k, (g, e) in enumerate(zip(got, ends.tolist(), strict=True)):
             own = flags[e - len(g[0]) : e]
             some = np.flatnonzero(own.any(axis=1))
             if len(some):
-                out["block"].append(table.column("block")[k].as_py())
-                out["part"].append(table.column("part")[k].as_py())
-                out["bits"].append(g[2][some].tobytes() + np.packbits(own[some], axis=1).tobytes())
-        return pa.table(out, pa.schema([("block", pa.int64()), ("part", pa.int64()), ("bits", pa.binary())]))
+                for c, x in (("block", table.column("block")[k].as_py()), ("part", table.column("part")[k].as_py()), ("bits", g[2][some].tobytes() + np.packbits(own[some], axis=1).tobytes())):
+                    out[c].append(x)
+        none = [None] * len(out["block"])
+        block = table.column("block").to_numpy()[np.searchsorted(ends, at, "right")] if len(at) else at
+        col = REACH - left[at] + off
+        windows = [rows[r, c : c + WIDTH].tobytes() for r, c in zip(at.tolist(), col.tolist(), strict=True)]
+        for c, x in (("window", windows), ("id", ids[at]), ("start", start[at] + off), ("index", index[at].astype(np.int64)), ("off", off)):
+            out[c] = none + list(x)
+        for c, x in (("block", list(block)), ("part", [_ACROSS] * len(at)), ("bits", [None] * len(at))):
+            out[c] += x
+        return pa.table(out, pa.schema([("block", pa.int64()), ("part", pa.int64()), ("bits", pa.binary()), ("window", pa.binary()), ("id", pa.int64()), ("start", pa.int64()), ("index", pa.int64()), ("off", pa.int64())]))
+
+    def bits_of(table: pa.Table) -> pa.Table:
+        index, off = table.column("index").to_numpy(), table.column("off").to_numpy()
+        u, at = np.unique(index, return_inverse=True)
+        own = np.zeros((len(u), 72), bool)
+        own[at, off] = True
+        return pa.table({"block": [table.column("block")[0].as_py()], "part": [_ACROSS], "bits": [u.astype(np.uint32).tobytes() + np.packbits(own, axis=1).tobytes()]})
 
     def cut_out(block, ids, starts, buf, bits):
         lo, hi, p, _ = anchors(starts, buf)
@@ -251,7 +336,7 @@ def remove_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
         flags = np.zeros((len(lo), 72), bool)
         for raw in bits.values():
             n = len(raw) // 13
-            flags[np.frombuffer(raw, np.uint32, n)] = np.unpackbits(np.frombuffer(raw, np.uint8, -1, 4 * n).reshape(n, 9), axis=1)
+            flags[np.frombuffer(raw, np.uint32, n)] |= np.unpackbits(np.frombuffer(raw, np.uint8, -1, 4 * n).reshape(n, 9), axis=1).astype(bool)
         flags = flags[rep]
         m = hi - lo + 1
         k = np.repeat(np.arange(len(lo)), m)
@@ -275,10 +360,14 @@ def remove_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
             "starts": pa.ListArray.from_arrays(lists, pa.array(a - starts[owner], pa.int64())), "ends": pa.ListArray.from_arrays(lists, pa.array(b - starts[owner], pa.int64())),
         })
 
-    given = stage(answers(blocks, keys, ranges), "answers")
     sent = with_answers(blocks, given, ranges, send, "block bigint, part bigint, raw binary")
-    found = stage(sent.groupBy("part").applyInArrow(compare, "block bigint, part bigint, bits binary"), "repeats")
+    found = stage(sent.groupBy("part").applyInArrow(compare, "block bigint, part bigint, bits binary, window binary, id bigint, start bigint, index bigint, off bigint"), "repeats")
     discard(given)
+    inside = found.where("window is null").select("block", "part", "bits")
+    open_ = found.where("window is not null").select("window", F.struct("id", "start").alias("at"), "block", "index", "off")
+    least = open_.groupBy("window").agg(F.min("at").alias("least"))
+    later = open_.join(least, "window").where("at > least").select("block", "index", "off")
+    found = inside.unionByName(later.groupBy("block").applyInArrow(bits_of, "block bigint, part bigint, bits binary"))
     out = deliver(blocks, found, cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, kept binary, starts array<bigint>, ends array<bigint>")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 

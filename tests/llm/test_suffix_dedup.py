@@ -55,12 +55,57 @@ def test_against_brute_force(spark, tmp_path, monkeypatch, seed, size):
     assert run(spark, docs, tmp_path) == brute(docs)
 
 
+def passages(seed):
+    """One passage in most documents among different neighbours, lines that start alike, one line repeated everywhere, zero bytes."""
+    r = random.Random(seed)
+    text = lambda n: "".join(r.choice("abc d") for _ in range(n))
+    hot, head, zeros = text(260), text(60), "\0" * 130
+    docs = []
+    for i in range(120):
+        parts = [text(r.randrange(90)), hot[: r.choice([120, 200, 260])], text(r.randrange(5)), head + text(60), hot[r.randrange(60) :], r.choice(["", zeros, zeros + "a" * 101])]
+        docs.append((i, "".join(r.sample(parts, r.randint(2, 6)))))
+    docs += [(k, head + text(30) + hot) for k in range(200, 230)] + [(300, hot), (300, hot)]
+    r.shuffle(docs)
+    return docs
+
+
+@pytest.mark.parametrize("range_bytes,max_ranges,block", [(1 << 22, 1 << 14, 1 << 22), (400, 1 << 14, 700), (700, 6, 1500), (150, 1 << 14, 300)])
+def test_hot_passages_across_ranges(spark, tmp_path, monkeypatch, range_bytes, max_ranges, block):
+    monkeypatch.setattr(_exchange, "BLOCK_BYTES", block)
+    monkeypatch.setattr(_exchange, "RANGE_KEYS", 500)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(suffix_dedup, "MAX_RANGES", max_ranges)
+    monkeypatch.setattr(suffix_dedup, "SMALL", 4)
+    seen = []
+    was = suffix_dedup._splitters
+    monkeypatch.setattr(suffix_dedup, "_splitters", lambda *a: seen.append(was(*a)) or seen[-1])
+    docs = passages(3)
+    assert run(spark, docs, tmp_path) == brute(docs)
+    if block == 700:  # a gram and a whole string fill several ranges
+        keys, deep = seen[0]
+        assert deep.sum() > 5 and len(set(keys.tolist())) < len(keys)
+
+
+def test_suffix_order():
+    r = np.random.default_rng(5)
+    texts = r.integers(0, 2, (700, 21)).astype(np.uint8)
+    texts[::3] = texts[0]
+    order, common = suffix_dedup.suffix_order(texts)
+    rows = [bytes(texts[k]) for k in order]
+    assert rows == sorted(bytes(x) for x in texts) and common[0] == -1
+    for k in range(1, len(rows)):
+        n = next((i for i in range(21) if rows[k][i] != rows[k - 1][i]), 21)
+        assert common[k] == n
+
+
 def test_repeated_ids_and_awkward_documents(spark, tmp_path, monkeypatch):
     docs = [r[:2] for r in corpus.rows()]
     text = docs[10][1] or "z" * 300
     docs += [(300, text), (300, text), (301, "q" + text), (301, "qq" + text)]
     assert run(spark, docs, tmp_path / "a") == brute(docs)
     assert run(spark, [], tmp_path / "b") == []
+    alone = [(k, f"{k} " * 100 + "x" * k) for k in range(5)]  # nothing is shared
+    assert run(spark, alone, tmp_path / "c") == brute(alone)
 
 
 def test_segments(monkeypatch):
