@@ -44,8 +44,25 @@ def test_against_brute_force(spark):
 
 
 def test_blocks_of_the_benchmark(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(decontaminate, "COUNTED", 4)
     check(spark, corpus.rows(8), corpus.items(8))
+    same = [(k, "one two three four") for k in range(20)]  # one window of many items is in several blocks
+    check(spark, corpus.rows(8), corpus.items(8) + same)
+
+
+def test_a_crowded_bit_table(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 6)
+    monkeypatch.setattr(decontaminate, "FILTER_SHARE", 0)
+    check(spark, corpus.rows(9), corpus.items(9))
+
+
+def test_windows_that_cannot_occur_are_left_out(spark):
+    d = spark.createDataFrame(corpus.rows(), corpus.DOC)
+    text = next(t for _, t, *_ in corpus.rows() if t and len(t.split()) > 40)
+    b = spark.createDataFrame([(1, " ".join(text.split()[:30])), (2, " ".join(f"never{k}" for k in range(5000)))], "item_id bigint, text string")
+    filed, members, _ = decontaminate._filed(d, "text", b, "item_id", "text", 10)
+    assert 0 < filed.count() <= 21 and {r.item for r in members.select("item").distinct().collect()} == {"1"}
 
 
 def test_empty_tables(spark):
