@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tempora.functions import exprs as E
 from tempora.staging import stage
 
-_AT, _CHUNK, _OWN = "_tempora_at", "_tempora_chunk", "_tempora_own"
+#: The column of places.
+PLACE = "_tempora_at"
+_CHUNK, _OWN = "_tempora_chunk", "_tempora_own"
 
 
 def _keys(df: DataFrame, time_col: str, ties: tuple[str, ...], ascending: bool = True) -> list[Column]:
@@ -27,10 +29,10 @@ def _parts(df: DataFrame) -> int:
 
 
 def in_order(df: DataFrame, keys: list[Column]) -> tuple[DataFrame, int]:
-    """df with the place of each row, from 0, in the order of the keys, in a column named by _AT; and the number of rows."""
-    rows = df.repartitionByRange(_parts(df), *keys).sortWithinPartitions(*keys).withColumn(_AT, F.monotonically_increasing_id())
+    """df with the place of each row, from 0, in the order of the keys, in the column PLACE; and the number of rows."""
+    rows = df.repartitionByRange(_parts(df), *keys).sortWithinPartitions(*keys).withColumn(PLACE, F.monotonically_increasing_id())
     rows = stage(rows, "order")
-    part = F.shiftright(_AT, 33)  # the upper bits are the partition, the lower 33 the row in it
+    part = F.shiftright(PLACE, 33)  # the upper bits are the partition, the lower 33 the row in it
     counts = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # one row per partition
     offsets, total = [], 0
     for r in counts:
@@ -38,7 +40,7 @@ def in_order(df: DataFrame, keys: list[Column]) -> tuple[DataFrame, int]:
         total += r.n
     shift = df.sparkSession.createDataFrame(offsets, "_tempora_p bigint, _tempora_shift bigint")
     rows = rows.join(F.broadcast(shift), part == F.col("_tempora_p"))
-    return rows.withColumn(_AT, F.col(_AT) + F.col("_tempora_shift")).drop("_tempora_p", "_tempora_shift"), total
+    return rows.withColumn(PLACE, F.col(PLACE) + F.col("_tempora_shift")).drop("_tempora_p", "_tempora_shift"), total
 
 
 def global_index(df: DataFrame, time_col: str, ties: tuple[str, ...] = (), name: str = "idx", by: tuple[str, ...] = ()) -> DataFrame:
@@ -49,11 +51,11 @@ def global_index(df: DataFrame, time_col: str, ties: tuple[str, ...] = (), name:
 def index_and_count(df: DataFrame, time_col: str, ties: tuple[str, ...] = (), name: str = "idx", by: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """global_index() and the number of rows, which is known then."""
     rows, total = in_order(df, [*[F.col(f"`{c}`").asc_nulls_first() for c in by], *_keys(df, time_col, ties)])
-    place = F.col(_AT)
+    place = F.col(PLACE)
     if by:
-        first = rows.groupBy(*[F.col(f"`{c}`").alias(f"_tempora_{k}") for k, c in enumerate(by)]).agg(F.min(_AT).alias("_tempora_first"))
+        first = rows.groupBy(*[F.col(f"`{c}`").alias(f"_tempora_{k}") for k, c in enumerate(by)]).agg(F.min(PLACE).alias("_tempora_first"))
         same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_tempora_{k}")) for k, c in enumerate(by)]
-        rows, place = rows.join(first, same), F.col(_AT) - F.col("_tempora_first")
+        rows, place = rows.join(first, same), F.col(PLACE) - F.col("_tempora_first")
     return rows.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name)), total
 
 
@@ -62,7 +64,7 @@ def neighbourhoods(df: DataFrame, keys: list[Column], before: int = 0, after: in
     behind it; the window orders a chunk, and own holds for the rows that are no copies."""
     rows, total = in_order(df, keys)
     size = max(before, after, -(-total // (4 * _parts(df))), 1)
-    place, chunk = F.col(_AT), F.floor(F.col(_AT) / size)
+    place, chunk = F.col(PLACE), F.floor(F.col(PLACE) / size)
     copies = [F.struct(chunk.alias("c"), F.lit(True).alias("o"))]
     none = F.lit(None).cast("struct<c:bigint,o:boolean>")
     if after:
@@ -71,7 +73,7 @@ def neighbourhoods(df: DataFrame, keys: list[Column], before: int = 0, after: in
         copies.append(F.when(place % size >= size - before, F.struct((chunk + 1).alias("c"), F.lit(False).alias("o"))).otherwise(none))
     rows = rows.withColumn(_CHUNK, F.explode(F.array_compact(F.array(*copies))))
     rows = rows.withColumn(_OWN, F.col(_CHUNK)["o"]).withColumn(_CHUNK, F.col(_CHUNK)["c"])
-    return rows, Window.partitionBy(_CHUNK).orderBy(_AT), F.col(_OWN)
+    return rows, Window.partitionBy(_CHUNK).orderBy(PLACE), F.col(_OWN)
 
 
 def lead_in_order(df: DataFrame, value: str, n: int, time_col: str, name: str, ties: tuple[str, ...] = (), ascending: bool = True) -> DataFrame:
