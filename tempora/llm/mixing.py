@@ -2,8 +2,9 @@
 
 Sizes are words ([^\\x20\\x09-\\x0D]+; null text: 0).  Sources in code point order (null last) take the cyclic
 weights; together they share `share` of all sizes.  A target stops at `most` times its source's size and the excess
-goes to the others by weight: sources sorted by cap / weight are filled in one running sum, no iteration.  The
-copy count of a document is floor(rate) or that plus one, so it never exceeds ceil(most).
+goes to the others by weight, until none is above: a few rounds, each one aggregate over the sources, which may be as many as hosts
+(their place in the order is found without a sort in one task).  The copy count of a document is floor(rate) or that plus one, so it
+never exceeds ceil(most).
 
 Defined cases: a null text or one without words has size 0 and is never repeated beyond floor(rate); a source of
 size 0 has target and rate 0; a null doc_id is hashed as the word "null"; equal rows get equal decisions; an empty
@@ -12,10 +13,11 @@ table gives no rows.  Other columns, whatever their names, are untouched in mix(
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm._shared import plain, stage
+from tempora.operators.order import PLACE, in_order
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -33,28 +35,22 @@ def uniform(key: Column, seed: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """sizes(source, size) -> one row per source: source, source_size, target, rate.
-
-    The windows below run over one row per source, after the documents were summed.
-    """
+    """sizes(source, size) -> one row per source: source, source_size, target, rate."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    named = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.pmod(F.row_number().over(named) - 1, F.lit(len(weights))) + 1).cast("int"))
-    per = per.withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(most))
-    by_cap = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    per = per.select(
-        "*",
-        (F.lit(share) * F.sum("source_size").over(every)).alias("budget"),
-        (F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap")).alias("cap_before"),
-        F.sum("w").over(by_cap.rowsBetween(0, Window.unboundedFollowing)).alias("w_left"),
-    ).withColumn("full", F.col("cap") * F.col("w_left") <= F.col("w") * (F.col("budget") - F.col("cap_before")))
-    free = F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0)).over(every)
-    rest = F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(every)
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * (rest / free))
-    per = per.withColumn("target", target)
+    per, _ = in_order(per, [F.col("source").asc_nulls_last()])
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.pmod(F.col(PLACE), F.lit(len(weights))) + 1).cast("int"))
+    per = per.select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap"))
+    total = per.agg(F.sum("source_size")).first()[0] or 0
+    budget, full, was = float(share) * total, F.lit(False), -1
+    while True:  # the sources above their caps only grow in number
+        n, rest, free = per.agg(F.count_if(full), F.lit(budget) - F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)), F.sum(F.when(~full, F.col("w")))).first()
+        if n == was or not free:
+            break
+        was = n
+        full = full | (F.col("cap") * F.lit(free) <= F.col("w") * F.lit(rest))
+    target = F.when(full, F.col("cap").cast("double")).otherwise(F.col("w") * F.lit(rest / free if free else 0.0))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return per.select("source", "source_size", "target", rate.alias("rate"))
+    return per.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
 
 
 def rated(docs: DataFrame, keep: list[str], id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) -> DataFrame:

@@ -36,3 +36,25 @@ def test_targets_are_met(spark):
     d = "/root/testdata/sf0.1"
     rows = mixing.op6_mixing(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
     assert sum(abs(r["sum(taken)"] - r["max(target)"]) for r in rows) < 0.1 * sum(r["max(target)"] for r in rows)
+
+
+def test_many_sources(spark):
+    """As many sources as hosts: places by code point, caps reshared until none is above."""
+    import random
+
+    r = random.Random(4)
+    rows = [(f"h{r.randrange(10**6)}.example" if k else None, r.choice([0, 1, 5, 50, 5000])) for k in range(700)]
+    rows += [("Ä", 10), ("\U0001f600", 10), ("\uffff", 10)]
+    got = {t.source: t.target for t in mixing.targets(spark.createDataFrame(rows, "source string, size bigint").repartition(7)).collect()}
+    per = {}
+    for s, n in rows:
+        per[s] = per.get(s, 0) + n
+    names = sorted(per, key=lambda s: (s is None, (s or "").encode()))
+    weight, free, rest, exp = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, set(per), 1.5 * sum(per.values()), {}
+    while over := [s for s in free if 2 * per[s] <= weight[s] * rest / sum(weight[x] for x in free)]:
+        exp |= {s: 2 * per[s] for s in over}
+        free -= set(over)
+        rest -= sum(2 * per[s] for s in over)
+    w = sum(weight[s] for s in free)
+    exp |= {s: weight[s] * rest / w for s in free}
+    assert got.keys() == exp.keys() and all(got[s] == pytest.approx(exp[s]) for s in exp) and 3 < len(free) < len(per)
