@@ -5,9 +5,10 @@ at the start):
 
     data/*.ids     raw little-endian ids, document after document (uint16 if the vocabulary fits, else uint32)
     index/*.mph    one file per key shard: a minimal perfect hash and, in slot order, fingerprint, file, offset, length, start
-    files          Parquet: one row per id file: number, path, first key, documents, ids, start
+    files          Parquet: one row per id file: number, path, first key, documents, ids, start, rows of the first key in files before
 
-Documents are range-partitioned and sorted by key, so files ascend in doc_id and each starts where the one before ends.
+Documents are range-partitioned and sorted by key and text (ranges by key and the text's beginning, so a repeated key is split), so files ascend
+in doc_id and each starts where the one before ends.
 Every task writes files under names of its own; only files that the written manifest names belong to the data set, so
 retried tasks and lost executors leave no trace in it.
 
@@ -36,7 +37,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.llm import _text
@@ -51,6 +53,8 @@ FILE_IDS = 16 << 20
 #: Documents encoded at a time, and keys per index shard, about.
 BATCH_BYTES = 2 << 20
 SHARD_KEYS = 50_000
+#: Occurrences of one key that are listed at once.
+STEP = 1 << 16
 _ODD = re.compile(r"\s")
 _ENCODERS: dict[str, object] = {}
 #: 1 ASCII letters and digits, 2 ASCII punctuation, 3 the apostrophe, 8 space and newline, 0 anything else.
@@ -265,7 +269,7 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
         fs, at = _open(f"{root}/data")
         fs.create_dir(at, recursive=True)
         encoder, out, name = encoder_for(tokenizer), None, ""
-        wrote, last, times = 0, None, 0
+        wrote, last, times, part, seq = 0, None, 0, TaskContext.get().partitionId(), -1
         for batch in batches:
             keys = batch.column(0).to_numpy()
             data, offsets = views(batch.column(1))
@@ -278,7 +282,7 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
                     if out:
                         out.close()
                     name = f"{uuid.uuid4().hex}.ids"
-                    out, wrote = fs.open_output_stream(f"{at}/{name}"), 0
+                    out, wrote, last, seq = fs.open_output_stream(f"{at}/{name}"), 0, None, seq + 1
                 out.write(ids.tobytes())
                 own = keys[i:j]
                 again = np.zeros(len(own), np.int64)
@@ -290,7 +294,7 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
                     last, times = int(own[-1]), 0
                 offsets_in = wrote + np.cumsum(n) - n
                 wrote += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(own), pa.array(again), pa.array(offsets_in), pa.array(n)], names=["name", "key", "again", "offset", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array([part << 32 | seq] * len(own)), pa.array(own), pa.array(again), pa.array(offsets_in), pa.array(n)], names=["name", "place", "key", "again", "offset", "n"])
                 i = j
             del batch, data, offsets, keys
             rest()
@@ -298,18 +302,23 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
             out.close()
 
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    ordered = df.repartitionByRange(int(parts), "key").sortWithinPartitions("key", "text")
-    entries = stage(ordered.mapInArrow(encode, "name string, key bigint, again bigint, offset bigint, n bigint"), "token-entries")
-    files = entries.groupBy("name").agg(F.min(F.struct("key", "again", "offset")).alias("first"), F.count("*").alias("docs"), F.sum("n").alias("ids"))
-    from pyspark.sql import Window
-
-    by = Window.orderBy("first")  # one row per payload file
-    files = files.select("name", (F.row_number().over(by) - 1).cast("int").alias("file"), F.col("first.key").alias("key"), "docs", "ids", (F.sum("ids").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("ids")).alias("start"))
+    ordered = df.repartitionByRange(int(parts), "key", F.substring("text", 1, 16)).sortWithinPartitions("key", "text")
+    entries = stage(ordered.mapInArrow(encode, "name string, place bigint, key bigint, again bigint, offset bigint, n bigint"), "token-entries")
+    # one row per payload file, in the order of ranges; `again` counts inside a file, and what its first key has in files before is carried
+    up_to = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    files = entries.groupBy("name", "place").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.max_by("again", F.struct(F.bitwise_not("key"), "again")).alias("k0"), F.max_by("again", F.struct("key", "again")).alias("k1"), F.count("*").alias("docs"), F.sum("n").alias("ids"))
+    files = stage(files.select("*", (F.row_number().over(Window.orderBy("place")) - 1).cast("int").alias("file"), (F.sum("ids").over(up_to) - F.col("ids")).alias("start")), "token-files")
+    ends = files.select("file", "key", (F.col("k0") + 1).alias("n")).unionAll(files.where("last <> key").select("file", "last", F.col("k1") + 1))
+    before = Window.partitionBy("key").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried"))
+    files = files.join(carried, ["file", "key"]).select("name", "file", "key", "docs", "ids", "start", "carried")
     files.write.parquet(f"{root}/files")
     files = spark.read.parquet(f"{root}/files")
     total = files.agg(F.sum("docs")).first()[0] or 0
     shards = max(1, -(-total // SHARD_KEYS))
-    keyed = entries.join(files.select("name", "file", "start"), "name").select("key", "again", "file", "offset", "n", (F.col("start") + F.col("offset")).alias("start"))
+    own = files.select("name", "file", "start", F.col("key").alias("_first"), "carried")
+    again = F.col("again") + F.when(F.col("key") == F.col("_first"), F.col("carried")).otherwise(0)
+    keyed = entries.join(own, "name").select("key", again.alias("again"), "file", "offset", "n", (F.col("start") + F.col("offset")).alias("start"))
     keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("key", "again"), F.lit(shards)))
 
     def index(table: pa.Table) -> pa.Table:
@@ -409,9 +418,11 @@ def default_tokenizer() -> str:
 
 
 def occurrences(docs: DataFrame, id_col="doc_id") -> DataFrame:
-    """key, again of every row: equal ids get 0, 1, ..."""
-    n = docs.groupBy(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("key")).agg(F.count("*").alias("n"))
-    return n.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("again"))
+    """key, again of every row: equal ids get 0, 1, ..., made STEP at a time."""
+    n = docs.groupBy(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias("key")).agg(F.count("*").alias("n"))
+    some = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), c))
+    n = n.select("key", "n", some(F.floor((F.col("n") - 1) / STEP)).alias("k"))
+    return n.select("key", "k", some(F.least(F.col("n") - F.col("k") * STEP, F.lit(STEP)) - 1).alias("again")).select("key", (F.col("k") * STEP + F.col("again")).alias("again"))
 
 
 def write_and_verify(docs: DataFrame, tokenizer: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:

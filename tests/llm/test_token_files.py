@@ -73,3 +73,17 @@ def test_stores(spark):
     assert tf._open("dbfs:/a/b")[1] == "/dbfs/a/b" and tf._open("file:///x/y")[1] == "/x/y"
     with pytest.raises(ValueError, match="need a folder that pyarrow.fs can write"):
         tf.write(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), tf.default_tokenizer(), root="nowhere://store/x")
+
+
+def test_a_key_of_many_rows_is_split(spark, monkeypatch):
+    monkeypatch.setattr(tf, "FILE_IDS", 200)
+    monkeypatch.setattr(tf, "BATCH_BYTES", 300)
+    monkeypatch.setattr(tf, "STEP", 7)
+    docs = [(9, f"{k} nine nine") for k in range(150)] + [(9, "equal rows " * 3)] * 60 + [(None, f"{k % 5} null") for k in range(90)] + [(k, f"own {k}") for k in range(100, 180)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6)
+    rows = tf.write_and_verify(df).collect()
+    assert sorted([(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows], key=lambda r: r[1]) == brute(docs)
+    assert sorted(r.occurrence for r in rows if r.doc_id == 9) == list(range(210))
+    root = tf.write(df, tf.default_tokenizer())
+    files = spark.read.parquet(f"{root}/files").collect()
+    assert sum(f.key == 9 for f in files) > 3 and max(f.carried for f in files) > 100 and sum(f.docs for f in files) == len(docs)
