@@ -40,7 +40,7 @@ from tempora.llm._shared import NO_ID, discard, stage
 WIDTH, GRAM = 100, 32
 REACH = WIDTH - GRAM  # bytes of a window before its anchor, at most
 ROW = REACH + WIDTH  # bytes kept around an anchor
-#: Keys sampled for each range, and from one block at most.
+#: Keys sampled for each range, and from one block at most (about).
 OVERSAMPLE, SAMPLE_KEYS = 32, 2048
 #: Bytes of text for each suffix range, about, and ranges at most.
 RANGE_BYTES, MAX_RANGES = 4 << 20, 1 << 14
@@ -85,6 +85,11 @@ def anchors(starts: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Hashes of anchors, which are the least of many and so small, over the whole range of 64 bits."""
+    return _text.mix(h + np.uint64(1))
+
+
 def _twins(ids, starts, buf, lo, hi, p) -> tuple[np.ndarray, np.ndarray]:
     """The representative of every run (an equal run of least (doc_id, start) in the block), and whether the run comes after it."""
     doc = np.searchsorted(starts, lo, "right") - 1
@@ -237,16 +242,16 @@ def _repeats(left, more, ids, start, rows, below: bytes | None = None, above: by
     return flags, np.concatenate(across_r), np.concatenate(across_o)
 
 
-def _some_blocks(blocks: DataFrame, keys: int) -> DataFrame:
-    """Blocks that have about so many sampled keys, from files spread over the table; only these are read."""
+def _some_blocks(blocks: DataFrame, keys: int) -> tuple[DataFrame, int]:
+    """Blocks for so many sampled keys, from files spread over the table (only these are read), and the keys to take of each."""
     spark, want = blocks.sparkSession, max(64, -(-keys // SAMPLE_KEYS))
     files = sorted(blocks.inputFiles())
     files = [files[k] for k in sorted({i * len(files) // want for i in range(want)})] if files else []
     if not files:
-        return blocks
+        return blocks, 1
     some = spark.read.schema(blocks.schema).parquet(*files)
     n = some.count()
-    return some if n <= want else some.where(F.pmod(F.xxhash64("block"), F.lit(n)) < want)
+    return some if n <= want else some.where(F.pmod(F.xxhash64("block"), F.lit(n)) < want), -(-keys // max(1, min(n, want)))
 
 
 def _splitters(keys: list[bytes], ranges: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,23 +278,23 @@ def remove_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     slices = -(-wanted // parts)
 
     def keys(ids, starts, buf):
-        return np.unique(anchors(starts, buf)[3]), None
+        return np.unique(_spread(anchors(starts, buf)[3])), None
 
     def picked(ids, starts, buf, answer_to):
         lo, hi, p, h = anchors(starts, buf)
-        u, rank, count = np.unique(h, return_inverse=True, return_counts=True)
+        u, rank, count = np.unique(_spread(h), return_inverse=True, return_counts=True)
         rep, _ = _twins(ids, starts, buf, lo, hi, p)
         return lo, hi, p, h, np.flatnonzero((answer_to(u) | (count > 1))[rank] & (rep == np.arange(len(rep))))
 
     def sampled(block, ids, starts, buf, answer_to):
         _, hi, p, _, pick = picked(ids, starts, buf, answer_to)
-        pick = pick[np.linspace(0, len(pick) - 1, min(len(pick), SAMPLE_KEYS)).astype(np.int64)] if len(pick) else pick
+        pick = pick[np.linspace(0, len(pick) - 1, min(len(pick), per)).astype(np.int64)] if len(pick) else pick
         return pa.table({"k": pa.array([x.tobytes() for x in _suffixes(buf, p[pick], hi[pick])], pa.binary())})
 
     given = stage(answers(blocks, keys, ranges), "answers")
     splitters, deep = np.zeros(0, f"S{WIDTH}"), np.zeros(0, bool)
     if parts > 1:
-        some = _some_blocks(blocks, OVERSAMPLE * parts)
+        some, per = _some_blocks(blocks, OVERSAMPLE * parts)
         own = given.join(some.select("block"), "block", "left_semi")
         got = with_answers(some, own, ranges, sampled, "k binary")
         splitters, deep = _splitters([bytes(k) for k in got.toArrow().column("k").to_pylist()], parts)
