@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PLACES: dict[str, SparkSession] = {}
+#: Staged tables by the identity of their DataFrame, which is kept alive with them.
+_PLACES: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.  Where it is unset, a temporary one of a local session; on a cluster that is an error."""
+    """The folder named by spark.checkpoint.dir.  Where it is unset, a new one of a local session (tests); on a cluster that is an error."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
@@ -32,16 +34,31 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _PLACES[path] = df.sparkSession
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = (out, path)
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, directly or through a lazy result."""
+    for df in staged:
+        held = _PLACES.pop(id(df), None)
+        if held:
+            drop_path(df.sparkSession, held[1])
+
+
+def settled(make: Callable[[], DataFrame], name: str, codec: str = "snappy") -> DataFrame:
+    """What make() gives, staged; the tables that it staged on the way are deleted."""
+    before = set(_PLACES)
+    out = stage(make(), name, codec)
+    discard(*[df for k, (df, _) in list(_PLACES.items()) if k not in before and df is not out])
+    return out
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables staged in this session; to be called when no lazy result reads them any more."""
-    for path in [p for p, s in _PLACES.items() if s is spark]:
-        drop_path(spark, path)
-        del _PLACES[path]
+    discard(*[df for df, _ in list(_PLACES.values()) if df.sparkSession is spark])
