@@ -10,6 +10,8 @@ Rows between blocks and ranges are blocks times ranges, which must not grow with
 the exchange therefore takes two hops: blocks send to the square root of the ranges; there, the packs of each BATCH of blocks are merged, so a
 key counts once per batch, and go on to the ranges; the answers return the same way.  So packs stay above a kilobyte up to FAN ** 2
 ranges (200 TB of text), and a key that every block has adds one entry per batch to its range.
+
+Where 64 bits are not enough to know a key, keys() gives 24 more bits of another hash, the tag; keys are equal if both are.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ BLOCK_BYTES = 4 << 20
 RANGE_KEYS = 2_000_000
 #: Ranges that blocks send to directly, and blocks whose packs are merged on the way beyond.
 FAN, BATCH = 4096, 4096
+#: Sorted keys, the value of each, and its tag.
+Pack = tuple[np.ndarray, np.ndarray | None, np.ndarray | None]
 BLOCK = "block bigint, size bigint, ids binary, starts binary, data binary"
 
 
@@ -85,21 +89,18 @@ def _cut(u: np.ndarray, ranges: int, first: int = 0, last: int | None = None) ->
     return np.searchsorted(r, np.arange(first, (ranges if last is None else last) + 1, dtype=np.uint64))
 
 
-def _encode(u: np.ndarray, ids: np.ndarray | None) -> bytes:
+def _encode(u: np.ndarray, ids: np.ndarray | None, tag: np.ndarray | None = None) -> bytes:
+    """Sorted keys as byte planes of their differences, then the tags' planes, then the values as places in a table."""
     d = u.copy()
     d[1:] -= u[:-1]
+    d[0] = 0  # the first key goes to the head
     planes = d.view(np.uint8).reshape(-1, 8).T
     used = 8
     while used > 1 and not planes[used - 1].any():
         used -= 1
-    first = int(u[0])
-    if used < 8 or first:  # the first delta is the key itself; it goes to the head
-        d[0] = 0
-        planes = d.view(np.uint8).reshape(-1, 8).T
-        used = 8
-        while used > 1 and not planes[used - 1].any():
-            used -= 1
-    out = [np.array([len(u), used], np.uint32).tobytes(), np.uint64(first).tobytes(), np.ascontiguousarray(planes[:used]).tobytes()]
+    out = [np.array([len(u), used], np.uint32).tobytes(), u[:1].tobytes(), np.ascontiguousarray(planes[:used]).tobytes()]
+    if tag is not None:
+        out.append(np.ascontiguousarray(tag.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes())
     if ids is not None:
         table, at = np.unique(ids, return_inverse=True)
         kind = np.uint8 if len(table) <= 256 else np.uint16 if len(table) <= 65536 else np.uint32
@@ -107,42 +108,69 @@ def _encode(u: np.ndarray, ids: np.ndarray | None) -> bytes:
     return b"".join(out)
 
 
-def _decode(raw: bytes, with_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
+def _decode(raw: bytes, with_ids: bool, with_tag: bool = False) -> Pack:
     n, used = np.frombuffer(raw, np.uint32, 2).tolist()
     d = np.zeros((n, 8), np.uint8)
     d[:, :used] = np.frombuffer(raw, np.uint8, n * used, 16).reshape(used, n).T
     d = d.reshape(-1).view(np.uint64)
     d[0] = np.frombuffer(raw, np.uint64, 1, 8)[0]
-    u, at = np.cumsum(d, dtype=np.uint64), 16 + n * used
-    if not with_ids:
-        return u, None
-    m = int(np.frombuffer(raw, np.uint32, 1, at)[0])
-    table = np.frombuffer(raw, np.int64, m, at + 4)
-    kind = np.uint8 if m <= 256 else np.uint16 if m <= 65536 else np.uint32
-    return u, table[np.frombuffer(raw, kind, n, at + 4 + 8 * m)]
-
-
-def _merged(packs: list[tuple[np.ndarray, np.ndarray | None]], earlier: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    u, at, tag, ids = np.cumsum(d, dtype=np.uint64), 16 + n * used, None, None
+    if with_tag:
+        wide = np.zeros((n, 4), np.uint8)
+        wide[:, :3] = np.frombuffer(raw, np.uint8, 3 * n, at).reshape(3, n).T
+        tag, at = wide.reshape(-1).view("<u4"), at + 3 * n
+    if with_ids:
+        m = int(np.frombuffer(raw, np.uint32, 1, at)[0])
+        table = np.frombuffer(raw, np.int64, m, at + 4)
+        kind = np.uint8 if m <= 256 else np.uint16 if m <= 65536 else np.uint32
+        ids = table[np.frombuffer(raw, kind, n, at + 4 + 8 * m)]
+    return u, ids, tag
+
+
+def in_groups(u: np.ndarray, tag: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the entries by key and tag, and whether each in that order is the first of its kind."""
+    order = np.argsort(u, kind="stable")
+    s = u[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    if tag is not None:
+        t = tag[order]
+        if (~new[1:] & (t[1:] != t[:-1])).any():  # very rare
+            order = np.lexsort((tag, u))
+            s, t = u[order], tag[order]
+            new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
+    return order, new
+
+
+def _laid_out(packs: list[Pack]) -> Pack:
+    return tuple(None if packs[0][c] is None else np.concatenate([p[c] for p in packs]) for c in range(3))
+
+
+def _merged(packs: list[Pack], earlier: bool) -> tuple[Pack, list[np.ndarray]]:
     """The distinct keys of sorted packs; of each the smallest id, or the sum of the counts (without any: the packs that have it); and the
     place of every pack's keys among them."""
-    u, at = np.unique(np.concatenate([x for x, _ in packs]), return_inverse=True)
-    if packs[0][1] is None:
-        value = np.bincount(at, minlength=len(u))
+    u, values, tag = _laid_out(packs)
+    order, new = in_groups(u, tag)
+    at = np.empty(len(u), np.int64)
+    at[order] = np.cumsum(new) - 1
+    kept, n = order[new], int(new.sum())
+    if values is None:
+        value = np.bincount(at, minlength=n)
     elif earlier:
-        value = np.full(len(u), np.iinfo(np.int64).max)
-        np.minimum.at(value, at, np.concatenate([x for _, x in packs]))
+        value = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(value, at, values)
     else:
-        value = np.zeros(len(u), np.int64)
-        np.add.at(value, at, np.concatenate([x for _, x in packs]).astype(np.int64))
-    return u, value, np.split(at, np.cumsum([len(x) for x, _ in packs])[:-1])
+        value = np.zeros(n, np.int64)
+        np.add.at(value, at, values.astype(np.int64))
+    return (u[kept], value, None if tag is None else tag[kept]), np.split(at, np.cumsum([len(p[0]) for p in packs])[:-1])
 
 
-def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = False, counts: bool = False) -> DataFrame:
+def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = False, counts: bool = False, tagged: bool = False) -> DataFrame:
     """block, part, bits: for each block and range one bit per distinct key, in order; rows without a set bit are left out.
 
     keys(ids, starts, buffer) -> sorted distinct keys, and the smallest document id of each or its count in the block.  With
     `earlier` a bit says that some block has the key in a document of smaller id; with `counts` the answer is not bits but the sum
-    of the counts as 32-bit numbers; else a bit says that some other block has the key.
+    of the counts as 32-bit numbers; else a bit says that some other block has the key.  If `tagged`, keys() gives the tags as well.
     """
     values = earlier or counts
     first, second = _hops(ranges)
@@ -150,14 +178,14 @@ def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = Fals
     def send(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                u, ids = keys(*unpack(*(batch.column(c)[k].as_py() for c in (1, 2, 3))))
+                u, ids, *tag = keys(*unpack(*(batch.column(c)[k].as_py() for c in (1, 2, 3))))
                 cut = _cut(u, first)
                 some = np.flatnonzero(np.diff(cut))
                 block = batch.column(0)[k].as_py()
                 for part in some.tolist():
                     a, b = cut[part], cut[part + 1]
-                    yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "raw": _encode(u[a:b], ids[a:b] if values else None)}])
-                del u, ids
+                    yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "raw": _encode(u[a:b], ids[a:b] if values else None, tag[0][a:b] if tagged else None)}])
+                del u, ids, tag
                 rest()
 
     def answered(table: pa.Table, out: list[np.ndarray], names: tuple[str, ...]) -> pa.Table:
@@ -169,21 +197,20 @@ def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = Fals
 
     def compare(table: pa.Table) -> pa.Table:
         rest()
-        got = [_decode(x.as_py(), values) for x in table.column("raw")]
-        u = np.concatenate([x for x, _ in got])
-        order = np.argsort(u, kind="stable")
-        s = u[order]
-        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        many = np.diff(np.append(start, len(s)))
+        got = [_decode(x.as_py(), values, tagged) for x in table.column("raw")]
+        u, value, tag = _laid_out(got)
+        order, new = in_groups(u, tag)
+        start = np.flatnonzero(new)
+        many = np.diff(np.append(start, len(u)))
         flags = np.zeros(len(u), np.uint32 if counts else bool)
         if counts:
-            flags[order] = np.repeat(np.add.reduceat(np.concatenate([x for _, x in got])[order], start), many)
+            flags[order] = np.repeat(np.add.reduceat(value[order], start), many)
         elif earlier:
-            ids = np.concatenate([x for _, x in got])[order]
+            ids = value[order]
             flags[order] = ids > np.repeat(np.minimum.reduceat(ids, start), many)
         else:
             flags[order] = np.repeat(many > 1, many)
-        return answered(table, np.split(flags, np.cumsum([len(x) for x, _ in got])[:-1]), ("block", "part"))
+        return answered(table, np.split(flags, np.cumsum([len(p[0]) for p in got])[:-1]), ("block", "part"))
 
     sent = blocks.select("block", "ids", "starts", "data").mapInArrow(send, "block bigint, part bigint, raw binary")
     if second == 1:
@@ -192,33 +219,33 @@ def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = Fals
     def merge(table: pa.Table) -> pa.Table:
         """One pack per range for a batch of blocks."""
         rest()
-        u, value, _ = _merged([_decode(x.as_py(), values) for x in table.column("raw")], earlier)
+        (u, value, tag), _ = _merged([_decode(x.as_py(), values, tagged) for x in table.column("raw")], earlier)
         part, batch = table.column("part")[0].as_py(), table.column("batch")[0].as_py()
         cut = _cut(u, first * second, part * second, (part + 1) * second)
         some = np.flatnonzero(np.diff(cut)).tolist()
-        return pa.table({"part": pa.array([part] * len(some), pa.int64()), "batch": pa.array([batch] * len(some), pa.int64()), "sub": pa.array(some, pa.int64()), "raw": pa.array([_encode(u[cut[k] : cut[k + 1]], value[cut[k] : cut[k + 1]]) for k in some], pa.binary())})
+        return pa.table({"part": pa.array([part] * len(some), pa.int64()), "batch": pa.array([batch] * len(some), pa.int64()), "sub": pa.array(some, pa.int64()), "raw": pa.array([_encode(u[cut[k] : cut[k + 1]], value[cut[k] : cut[k + 1]], None if tag is None else tag[cut[k] : cut[k + 1]]) for k in some], pa.binary())})
 
     def settle(table: pa.Table) -> pa.Table:
         """For each batch, whether others have a smaller id or have the key at all; or the sums."""
         rest()
-        got = [_decode(x.as_py(), True) for x in table.column("raw")]
-        _, value, places = _merged(got, earlier)
-        out = [value[at] if counts else value[at] < own if earlier else value[at] > own for at, (_, own) in zip(places, got, strict=True)]
+        got = [_decode(x.as_py(), True, tagged) for x in table.column("raw")]
+        (_, value, _), places = _merged(got, earlier)
+        out = [value[at] if counts else value[at] < own if earlier else value[at] > own for at, (_, own, _) in zip(places, got, strict=True)]
         return answered(table, out, ("part", "batch", "sub"))
 
     def spread(table: pa.Table) -> pa.Table:
         """The answers to a batch become those to its blocks."""
         rest()
         own, back = table.filter(pc.is_null(table.column("sub"))), table.filter(pc.is_valid(table.column("sub")))
-        got = [_decode(x.as_py(), values) for x in own.column("raw")]
-        u, value, places = _merged(got, earlier)
+        got = [_decode(x.as_py(), values, tagged) for x in own.column("raw")]
+        (u, value, _), places = _merged(got, earlier)
         part = own.column("part")[0].as_py()
         cut = _cut(u, first * second, part * second, (part + 1) * second)
         total = np.zeros(len(u), np.int64 if counts else bool)
         for sub, raw in zip(back.column("sub").to_pylist(), back.column("raw").to_pylist(), strict=True):
             n = int(cut[sub + 1] - cut[sub])
             total[cut[sub] : cut[sub + 1]] = np.frombuffer(raw, np.uint32) if counts else np.unpackbits(np.frombuffer(raw, np.uint8), count=n)
-        out = [total[at] if counts else total[at] | (ids > value[at] if earlier else value[at] > 1) for at, (_, ids) in zip(places, got, strict=True)]
+        out = [total[at] if counts else total[at] | (ids > value[at] if earlier else value[at] > 1) for at, (_, ids, _) in zip(places, got, strict=True)]
         return answered(own, out, ("block", "part"))
 
     batches = max(1, -(-blocks.count() // BATCH))

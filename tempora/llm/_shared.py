@@ -4,31 +4,19 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 import tempora
+from tempora import staging
+from tempora.staging import discard, drop_path, new_path, settled, shared_dir
+
+__all__ = ["NO_ID", "beside", "discard", "drop_path", "new_path", "plain", "settled", "shared_dir", "ship", "stage"]
 
 #: Stands for a null document id inside the operators and sorts before all others.  It is reserved: a real id of this value counts as null.
 NO_ID = -(2**63)
-#: Staged tables by the identity of their DataFrame, which is kept alive with them.
-_PLACES: dict[int, tuple[DataFrame, str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.  Where it is unset, a new one of a local session (tests); on a cluster that is an error."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tempora-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -64,29 +52,6 @@ def ship(spark: SparkSession) -> None:
     sc._tempora_shipped = True
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PLACES[id(out)] = (out, path)
-    return out
-
-
-def discard(*staged: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more, directly or through a lazy result."""
-    for df in staged:
-        held = _PLACES.pop(id(df), None)
-        if held:
-            drop_path(df.sparkSession, held[1])
+    return staging.stage(df, name, codec)

@@ -17,6 +17,8 @@ _RNG = np.random.default_rng(20240601)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: The base of a second hash of the same grams.
+STEP_TAG = np.uint64(0xC2B2AE3D27D4EB4F)
 _CHUNK = 1 << 20
 _SEED = 0x243F6A8885A308D3
 #: Bytes of a run that are mixed piece by piece.
@@ -110,12 +112,12 @@ def equal_runs(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray,
     return out
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, k: int, step: np.uint64 = _STEP) -> np.ndarray:
     """Rabin-Karp hash of every k consecutive word hashes (by position, across document borders as well)."""
     n = max(0, len(words) - k + 1)
     h = np.zeros(n, np.uint64)
     for j in range(k):
-        h *= _STEP
+        h *= step
         h += words[j : n + j]
     return mix(h)
 

@@ -4,7 +4,8 @@ Words are [^\\x20\\x09-\\x0D]+, unchanged.  Every window gets a Rabin-Karp hash;
 exchange of _exchange.py, which tells each block of documents the windows that a document of smaller id has as well.  Repeated windows merge
 into maximal intervals by a running sum over their borders.
 
-Two different windows are taken for equal with probability 2**-64 a pair (about one wrong pair in 6e9 windows).
+A window is known by its Rabin-Karp hash of 64 bits and 24 bits of another one.  Among the 1.5e13 windows of 100 TB less than one pair
+of different windows is to be expected that agrees in both (N^2 / 2^89); with 64 bits it would be some ten million.
 
 Defined cases: null text has no words; a text of fewer than `width` words has no window and is kept; repeats inside one document are
 kept, and so are those between rows of equal doc_id; a null doc_id is smaller than any other; an empty table gives no rows; further
@@ -19,31 +20,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import _text
-from tempora.llm._exchange import answers, count_ranges, pack_blocks, with_answers
+from tempora.llm._exchange import answers, count_ranges, in_groups, pack_blocks, with_answers
 from tempora.llm._shared import NO_ID, stage
 
 WIDTH = 13
 
 
 def _windows(starts, buf, width):
-    """Word borders, documents' first words, and document and hash of every window, by first word."""
+    """Word borders, documents' first words, and document, hash and tag of every window, by first word."""
     a, b = _text.runs(buf, _text.SPACED)
     cut = _text.spans(starts, a)
-    h = _text.gram_hashes(_text.run_hashes(buf, a, b), width)
+    words = _text.run_hashes(buf, a, b)
+    h = _text.gram_hashes(words, width)
+    tag = (_text.gram_hashes(_text.mix(words + np.uint64(1)), width, _text.STEP_TAG) >> np.uint64(40)).astype(np.uint32)
     doc = np.repeat(np.arange(len(starts) - 1), np.diff(cut))
     at = np.flatnonzero(doc[: len(h)] == doc[width - 1 :]) if len(h) else np.zeros(0, np.int64)
-    return a, b, cut, doc[at], at, h[at]
+    return a, b, cut, doc[at], at, h[at], tag[at]
 
 
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _distinct(h: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes, where each occurs first, and the rank of every entry."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    rank = np.empty(len(s), np.int64)
+    order, new = in_groups(h, tag)
+    rank = np.empty(len(h), np.int64)
     rank[order] = np.cumsum(new) - 1
-    return s[new], order[new], rank
+    return h[order[new]], order[new], rank
 
 
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDTH) -> DataFrame:
@@ -52,13 +52,13 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDT
     ranges = count_ranges(blocks, 6)
 
     def keys(ids, starts, buf):
-        *_, doc, _, h = _windows(starts, buf, width)
-        u, first, _ = _distinct(h)
-        return u, ids[doc[first]]
+        *_, doc, _, h, tag = _windows(starts, buf, width)
+        u, first, _ = _distinct(h, tag)
+        return u, ids[doc[first]], tag[first]
 
     def cut_out(block, ids, starts, buf, flags_of):
-        a, b, cut, doc, at, h = _windows(starts, buf, width)
-        u, first, rank = _distinct(h)
+        a, b, cut, doc, at, h, tag = _windows(starts, buf, width)
+        u, first, rank = _distinct(h, tag)
         again = flags_of(u)[rank] | (ids[doc[first]][rank] < ids[doc])
         depth = np.zeros(len(a) + 1, np.int64)
         np.add.at(depth, at[again], 1)
@@ -90,7 +90,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDT
             "ends": pa.ListArray.from_arrays(lists, pa.array(last_in - cut[owner[first_in]], pa.int64())),
         })
 
-    given = stage(answers(blocks, keys, ranges, True), "answers")
+    given = stage(answers(blocks, keys, ranges, earlier=True, tagged=True), "answers")
     out = with_answers(blocks, given, ranges, cut_out, "doc_id bigint, n_words bigint, n_removed bigint, kept string, starts array<bigint>, ends array<bigint>")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 

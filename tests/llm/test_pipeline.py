@@ -3,6 +3,7 @@ import math
 import re
 
 import corpus_pipeline
+from tempora import staging
 from tempora.llm import quality
 from tests.llm import test_decontaminate, test_ngram_join, test_token_files
 
@@ -45,8 +46,10 @@ def test_whole_pipeline_against_brute_force(spark):
     leaks = test_decontaminate.brute(rows, items)
     rows = [r for r in rows if not leaks[r[0]][1]]
     exp = test_token_files.brute(mixed(rows))
+    before = set(staging._PLACES)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, D).collect()), key=lambda r: r[1])
     assert got == exp
+    assert len(set(staging._PLACES) - before) == 1  # only the result is still there
 
 
 def test_stages_keep_the_columns(spark):

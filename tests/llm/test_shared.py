@@ -46,9 +46,12 @@ def test_packed_keys_round_trip():
     for n in (1, 2, 1000):
         u = np.unique(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
         ids = r.integers(-5, 5, len(u)) * 10**15
-        a, b = _exchange._decode(_exchange._encode(u, ids), True)
+        a, b, _ = _exchange._decode(_exchange._encode(u, ids), True)
         assert (a == u).all() and (b == ids).all()
         assert (_exchange._decode(_exchange._encode(u, None), False)[0] == u).all()
+        tag = r.integers(0, 2**24, len(u)).astype(np.uint32)
+        a, b, c = _exchange._decode(_exchange._encode(u, ids, tag), True, True)
+        assert (a == u).all() and (b == ids).all() and (c == tag).all()
 
 
 def thue_morse(n, x="a", y="b"):
@@ -90,8 +93,10 @@ def test_equal_runs(monkeypatch):
     assert 0 < sum(exp) < len(exp)
 
 
+@pytest.mark.parametrize("crowded", [False, True])
 @pytest.mark.parametrize("kind", ["presence", "earlier", "counts"])
-def test_two_hops_answer_like_one(spark, monkeypatch, kind):
+def test_two_hops_answer_like_one(spark, monkeypatch, kind, crowded):
+    """Answers equal plain counting; crowded: keys of few values, told apart by their tags."""
     r = random.Random(11)
     docs = [(r.randrange(300) if r.random() < 0.9 else None, " ".join(r.choices([f"w{k}" for k in range(4000)] + ["the"] * 300, k=40))) for _ in range(400)]
     blocks = _exchange.pack_blocks(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(6), "doc_id", "text", 900)
@@ -100,19 +105,28 @@ def test_two_hops_answer_like_one(spark, monkeypatch, kind):
     def keys(ids, starts, buf):
         a, b = _text.runs(buf, _text.SPACED)
         h, doc = _text.run_hashes(buf, a, b), np.searchsorted(starts, a, "right") - 1
-        order = np.lexsort((ids[doc], h))
-        u, first, n = np.unique(h[order], return_index=True, return_counts=True)
-        return u, (n if kind == "counts" else ids[doc][order][first])
+        tag = (h >> np.uint64(40)).astype(np.uint32) if crowded else np.zeros(len(h), np.uint32)
+        h = _text.mix(h % np.uint64(40)) if crowded else h
+        order = np.lexsort((ids[doc], tag, h))
+        h, tag, doc = h[order], tag[order], doc[order]
+        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])]))
+        n = np.diff(np.append(new, len(h)))
+        return h[new], (n if kind == "counts" else ids[doc[new]]), tag[new]
 
     def told(block, ids, starts, buf, answer_to):
-        u, _ = keys(ids, starts, buf)
-        return pa.table({"block": [block] * len(u), "key": u.view(np.int64), "answer": answer_to(u).astype(np.int64)})
+        u, value, tag = keys(ids, starts, buf)
+        return pa.table({"block": [block] * len(u), "key": u.view(np.int64), "tag": tag.astype(np.int64), "value": value.astype(np.int64), "answer": answer_to(u).astype(np.int64)})
 
-    options = {"earlier": kind == "earlier", "counts": kind == "counts"}
-    got = []
+    options, got = {"earlier": kind == "earlier", "counts": kind == "counts"}, []
     for fan, batch in ((4096, 4096), (5, 7), (5, 10**6)):
         monkeypatch.setattr(_exchange, "FAN", fan)
         monkeypatch.setattr(_exchange, "BATCH", batch)
-        given = _exchange.answers(blocks, keys, 60, **options)
-        got.append(sorted(map(tuple, _exchange.with_answers(blocks, stage(given, "a"), 60, told, "block bigint, key bigint, answer bigint", counts=kind == "counts").collect())))
-    assert got[0] == got[1] == got[2] and len({x[2] for x in got[0]}) > 1
+        given = _exchange.answers(blocks, keys, 60, tagged=crowded, **options)
+        got.append(sorted(map(tuple, _exchange.with_answers(blocks, stage(given, "a"), 60, told, "block bigint, key bigint, tag bigint, value bigint, answer bigint", counts=kind == "counts").collect())))
+    assert got[0] == got[1] == got[2] and len({x[-1] for x in got[0]}) > 1
+    per = {}
+    for _, k, t, v, _ in got[0]:
+        per.setdefault((k, t), []).append(v)
+    for _, k, t, v, answer in got[0]:
+        own = per[k, t]
+        assert answer == (sum(own) if kind == "counts" else v > min(own) if kind == "earlier" else len(own) > 1)
