@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns the columns of documents; the last returns
 one row per written document copy.  run() writes every stage's result as Parquet to the shared folder and reads it again, so an
-executor that is lost costs only its tasks of the current stage.
+executor that is lost costs only its tasks of the current stage; what a stage wrote on the way is deleted with the stage before it.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tempora.llm import decontaminate, mixing, ngram_join, quality, token_files
-from tempora.llm._shared import stage
+from tempora.llm._shared import discard, settled
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, f) in enumerate(STAGES):
-        docs = stage(f(spark, docs, sf_dir), f"stage-{k}")
+        last, docs = docs, settled(lambda f=f, docs=docs: f(spark, docs, sf_dir), f"stage-{k}", "zstd")
+        discard(last)
     return docs
