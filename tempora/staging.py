@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -59,6 +61,15 @@ def settled(make: Callable[[], DataFrame], name: str, codec: str = "snappy") ->
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over: Spark deletes them once the driver has collected its garbage, which may take half an
+    hour by itself.  The first round frees the plans, the second what only they held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables staged in this session; to be called when no lazy result reads them any more."""
     discard(*[df for df, _ in list(_PLACES.values()) if df.sparkSession is spark])
