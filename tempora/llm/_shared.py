@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import tempora
 from tempora import staging
-from tempora.staging import discard, drop_path, new_path, settled, shared_dir
+from tempora.staging import discard, drop_path, new_path, release, settled, shared_dir
 
-__all__ = ["NO_ID", "beside", "discard", "drop_path", "new_path", "plain", "settled", "shared_dir", "ship", "stage"]
+__all__ = ["NO_ID", "beside", "discard", "drop_path", "new_path", "plain", "release", "settled", "shared_dir", "ship", "stage"]
 
 #: Stands for a null document id inside the operators and sorts before all others.  It is reserved: a real id of this value counts as null.
 NO_ID = -(2**63)

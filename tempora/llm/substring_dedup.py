@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm import _text
 from tempora.llm._exchange import answers, count_ranges, in_groups, pack_blocks, with_answers
-from tempora.llm._shared import NO_ID, stage
+from tempora.llm._shared import NO_ID, release, stage
 
 WIDTH = 13
 
@@ -91,6 +91,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", width=WIDT
         })
 
     given = stage(answers(blocks, keys, ranges, earlier=True, tagged=True), "answers")
+    release(docs.sparkSession)
     out = with_answers(blocks, given, ranges, cut_out, "doc_id bigint, n_words bigint, n_removed bigint, kept string, starts array<bigint>, ends array<bigint>")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
