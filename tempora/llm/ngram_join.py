@@ -39,7 +39,7 @@ from tempora.llm import _text
 from tempora.llm._components import components
 from tempora.llm._exchange import RANGE_KEYS, answers, count_ranges, pack_blocks, with_answers
 from tempora.llm._packs import append, rest
-from tempora.llm._shared import NO_ID, discard, plain, stage
+from tempora.llm._shared import NO_ID, discard, plain, release, stage
 
 WIDTH = 5
 #: Similarity in percent.
@@ -116,13 +116,15 @@ def _sets(blocks: DataFrame) -> DataFrame:
         return pa.table({"id": ids, "n": n.astype(np.int64), "s1": pa.array(sig[0], mask=~may), "s2": pa.array(sig[1], mask=~may), "shared": pa.array(raw, pa.binary())})
 
     given = stage(answers(blocks, keys, ranges), "answers")
+    release(blocks.sparkSession)
     out = stage(with_answers(blocks, given, ranges, judge, "id bigint, n bigint, s1 bigint, s2 bigint, shared binary"), "sets")
     discard(blocks, given)
+    release(blocks.sparkSession)
     return out
 
 
 def _pack_sets(classes: DataFrame) -> DataFrame:
-    """Classes(c, n, shared) as blocks: ids are classes, starts the borders of sets in units of 8 bytes (n in front), data the shingles."""
+    """Classes(c, n, copies, shared) as blocks: ids are classes, starts n and copies of each and then the borders of sets in units of 8 bytes, data the shingles."""
     import zstandard
 
     from pyspark import TaskContext
@@ -133,22 +135,22 @@ def _pack_sets(classes: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            c, n, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            c, n, copies, raw = *(batch.column(k).to_numpy() for k in range(3)), batch.column(3).to_pylist()
             ends = np.cumsum([len(x) for x in raw])
             i = 0
             while i < len(c):
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK_BYTES, "right")))
                 data = b"".join(raw[i:j])
-                starts = np.concatenate([n[i:j], [0], np.cumsum([len(x) // 8 for x in raw[i:j]])]).astype(np.int64)
+                starts = np.concatenate([n[i:j], copies[i:j], [0], np.cumsum([len(x) // 8 for x in raw[i:j]])]).astype(np.int64)
                 yield pa.RecordBatch.from_pylist([{"block": number, "size": len(data), "ids": c[i:j].astype(np.int64).tobytes(), "starts": starts.tobytes(), "data": press.compress(data)}])
                 number += 1
                 i = j
 
-    return stage(classes.select("c", "n", "shared").mapInArrow(run, BLOCK), "set-blocks")
+    return stage(classes.select("c", "n", "copies", "shared").mapInArrow(run, BLOCK), "set-blocks")
 
 
 def _prefixed(sets: DataFrame) -> DataFrame:
-    """c, n, prefix, hashes, counts: each class's shingles that other classes have, rarest first, and the necessary prefix of them."""
+    """c, n, copies, prefix, hashes, counts: each class's shingles that other classes have, rarest first, and the necessary prefix of them."""
     size = sets.agg(F.sum("size")).first()[0] or 0
     ranges = max(1, round(size / 8 / RANGE_KEYS))
 
@@ -157,10 +159,10 @@ def _prefixed(sets: DataFrame) -> DataFrame:
 
     def order(block, ids, starts, buf, answer_to):
         k = len(ids)
-        n, edge, h = starts[:k], starts[k:], buf.view(np.uint64)
+        n, copies, edge, h = starts[:k], starts[k : 2 * k], starts[2 * k :], buf.view(np.uint64)
         u, _, rank = _ranked(h)
         count = answer_to(u)[rank]
-        rows = {x: [] for x in ("c", "n", "prefix", "hashes", "counts")}
+        rows = {x: [] for x in ("c", "n", "copies", "prefix", "hashes", "counts")}
         for i in range(k):
             own = slice(edge[i], edge[i + 1])
             x, m = h[own], count[own]
@@ -170,14 +172,17 @@ def _prefixed(sets: DataFrame) -> DataFrame:
                 o = np.lexsort((x, m))
                 rows["c"].append(int(ids[i]))
                 rows["n"].append(int(n[i]))
+                rows["copies"].append(int(copies[i]))
                 rows["prefix"].append(x[o][:room].view(np.int64).tolist())
                 rows["hashes"].append(x[o].tobytes())
                 rows["counts"].append(m[o].astype(np.uint32).tobytes())
-        return pa.table(rows, pa.schema([("c", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("hashes", pa.binary()), ("counts", pa.binary())]))
+        return pa.table(rows, pa.schema([("c", pa.int64()), ("n", pa.int64()), ("copies", pa.int64()), ("prefix", pa.list_(pa.int64())), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     given = stage(answers(sets, keys, ranges, counts=True), "counts")
-    out = stage(with_answers(sets, given, ranges, order, "c bigint, n bigint, prefix array<bigint>, hashes binary, counts binary", counts=True), "ordered")
+    release(sets.sparkSession)
+    out = stage(with_answers(sets, given, ranges, order, "c bigint, n bigint, copies bigint, prefix array<bigint>, hashes binary, counts binary", counts=True), "ordered")
     discard(sets, given)
+    release(sets.sparkSession)
     return out
 
 
@@ -340,7 +345,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, pairs: bool) -> tuple[D
     classes = full.where("s1 is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("shared", ignorenulls=True).alias("shared"))
     classes = stage(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     discard(full)
-    return every, classes, _links(_prefixed(_pack_sets(classes)).join(classes.select("c", "copies"), "c"), pairs)
+    return every, classes, _links(_prefixed(_pack_sets(classes)), pairs)
 
 
 def similar_pairs(docs: DataFrame, id_col="doc_id", text_col="text") -> tuple[DataFrame, DataFrame]:
