@@ -210,7 +210,10 @@ def answers(blocks: DataFrame, keys: Callable, ranges: int, earlier: bool = Fals
             flags[order] = ids > np.repeat(np.minimum.reduceat(ids, start), many)
         else:
             flags[order] = np.repeat(many > 1, many)
-        return answered(table, np.split(flags, np.cumsum([len(p[0]) for p in got])[:-1]), ("block", "part"))
+        out = answered(table, np.split(flags, np.cumsum([len(p[0]) for p in got])[:-1]), ("block", "part"))
+        del got, u, value, tag, order, new, start, many, flags
+        rest()
+        return out
 
     sent = blocks.select("block", "ids", "starts", "data").mapInArrow(send, "block bigint, part bigint, raw binary")
     if second == 1:
@@ -269,7 +272,10 @@ def deliver(blocks: DataFrame, given: DataFrame, f: Callable, schema: str) -> Da
         parts = table.column("part").to_pylist()
         own = parts.index(-1)
         ids, starts, buf = unpack(*(table.column(c)[own].as_py() for c in ("ids", "starts", "data")))
-        return f(table.column("block")[own].as_py(), ids, starts, buf, {p: table.column("data")[k].as_py() for k, p in enumerate(parts) if p >= 0})
+        out = f(table.column("block")[own].as_py(), ids, starts, buf, {p: table.column("data")[k].as_py() for k, p in enumerate(parts) if p >= 0})
+        del ids, starts, buf
+        rest()  # a worker that waits for its next task holds nothing
+        return out
 
     return rows.groupBy("block").applyInArrow(run, schema)
 

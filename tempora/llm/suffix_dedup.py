@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tempora.llm import _text
 from tempora.llm._exchange import answers, count_ranges, deliver, pack_blocks, with_answers
 from tempora.llm._packs import rest
-from tempora.llm._shared import NO_ID, discard, stage
+from tempora.llm._shared import NO_ID, discard, release, stage
 
 WIDTH, GRAM = 100, 32
 REACH = WIDTH - GRAM  # bytes of a window before its anchor, at most
@@ -292,6 +292,7 @@ def remove_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
         return pa.table({"k": pa.array([x.tobytes() for x in _suffixes(buf, p[pick], hi[pick])], pa.binary())})
 
     given = stage(answers(blocks, keys, ranges), "answers")
+    release(docs.sparkSession)
     splitters, deep = np.zeros(0, f"S{WIDTH}"), np.zeros(0, bool)
     if parts > 1:
         some, per = _some_blocks(blocks, OVERSAMPLE * parts)
@@ -365,9 +366,10 @@ def remove_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
             "starts": pa.ListArray.from_arrays(lists, pa.array(a - starts[owner], pa.int64())), "ends": pa.ListArray.from_arrays(lists, pa.array(b - starts[owner], pa.int64())),
         })
 
-    sent = with_answers(blocks, given, ranges, send, "block bigint, part bigint, raw binary")
-    found = stage(sent.groupBy("part").applyInArrow(compare, "block bigint, part bigint, bits binary, window binary, id bigint, start bigint, index bigint, off bigint"), "repeats")
+    found = with_answers(blocks, given, ranges, send, "block bigint, part bigint, raw binary")
+    found = stage(found.groupBy("part").applyInArrow(compare, "block bigint, part bigint, bits binary, window binary, id bigint, start bigint, index bigint, off bigint"), "repeats")
     discard(given)
+    release(docs.sparkSession)
     inside = found.where("window is null").select("block", "part", "bits")
     open_ = found.where("window is not null").select("window", F.struct("id", "start").alias("at"), "block", "index", "off")
     least = open_.groupBy("window").agg(F.min("at").alias("least"))
