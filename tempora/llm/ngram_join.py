@@ -341,7 +341,8 @@ def _links(ordered: DataFrame, pairs: bool) -> DataFrame:
 def _joined(docs: DataFrame, id_col: str, text_col: str, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Staged: signatures of all documents, classes of those that may have a partner, and _links() between classes."""
     full = _sets(pack_blocks(docs, id_col, text_col))
-    every = stage(full.drop("shared"), "signatures")
+    few = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    every = stage(full.drop("shared").coalesce(few), "signatures")  # four numbers a document: few files
     classes = full.where("s1 is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("shared", ignorenulls=True).alias("shared"))
     classes = stage(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     discard(full)
