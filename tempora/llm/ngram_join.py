@@ -9,8 +9,8 @@ one).  The join is exact on 64-bit shingle hashes:
    the prefix of n - ceil(0.8 n) + 1 shingles.  Classes that share a prefix shingle form families (components of the star edges
    to each shingle's smallest class; no pairs are listed).
 3. Within a family the ordered sets go into tries whose nodes keep the shortest and longest set below them.  A set runs down the tries, sharing the
-   overlap of common beginnings, and leaves a subtree as soon as what is left cannot reach the overlap that its lengths require.  All
-   partners are found, so every pair of similar classes is met, once.  Large families are cut into chunks, and every pair of chunks
+   overlap of common beginnings, and leaves a subtree as soon as what is left cannot reach the overlap that its lengths require; up to QUERIES
+   sets run down together, one array operation a node.  All partners are found, so every pair of similar classes is met, once.  Large families are cut into chunks, and every pair of chunks
    is a task of its own, which looks only for the pairs across it, so no pair of sets is lost or repeated and no task is too big.
 4. A task adds up the links of each class, copies of the partners included, and joins the classes in a union-find forest; it hands on one row per
    class (links, root), so what is exchanged grows with the classes and not with the pairs.  The sums of the links are exact; components
@@ -48,10 +48,12 @@ LEAST = 80
 FAMILY_KEYS, FAMILY_SETS = 4_000_000, 512
 #: Pairs that a task holds before it hands them on.
 LINK_ROWS = 1 << 18
+#: Sets that run down a trie together, at most, and cells of their table of items (five bytes each).
+QUERIES, QUERY_CELLS = 128, 1 << 23
 
 
-def shingle_sets(starts: np.ndarray, buf: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Document and hash of every distinct shingle, by document and hash."""
+def _shingles(starts: np.ndarray, buf: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of every shingle, repeated ones too."""
     low = _text.lower(buf)
     a, b = _text.runs(low, _text.SPACED)
     words, cut = _text.run_hashes(low, a, b), _text.spans(starts, a)
@@ -68,12 +70,35 @@ def shingle_sets(starts: np.ndarray, buf: np.ndarray, width: int = WIDTH) -> tup
                 whole = _text.mix(whole + words[cut[few] + j] + np.uint64(k))
             docs.append(few)
             hashes.append(whole)
-    doc, h = np.concatenate(docs), np.concatenate(hashes)
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], h[new]
+    return np.concatenate(docs), np.concatenate(hashes)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers: by sorting, since np.unique goes through a hash table, which takes a hundred times as long here."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
+def _ranked_sets(starts: np.ndarray, buf: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and document and rank among them of every distinct shingle, by document and hash."""
+    doc, h = _shingles(starts, buf, width)
+    order = np.argsort(h)
+    s = h[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    rank = np.empty(len(s), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    bits = len(s).bit_length()
+    both = _distinct(doc << bits | rank)
+    return s[new], both >> bits, both & ((1 << bits) - 1)
+
+
+def shingle_sets(starts: np.ndarray, buf: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of every distinct shingle, by document and hash."""
+    u, doc, rank = _ranked_sets(starts, buf, width)
+    return doc, u[rank]
 
 
 def _ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +106,11 @@ def _ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (lambda u, r, c: (u, c, r))(*np.unique(h, return_inverse=True, return_counts=True))
 
 
+def block_keys(ids: np.ndarray, starts: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, None]:
+    """Sorted distinct shingles of a block, for the exchange."""
+    return _distinct(_shingles(starts, buf, WIDTH)[1]), None
+
+
 def _signed(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Size and two sums of mixed hashes of each document's set; equal sets have equal ones."""
     edge = np.searchsorted(doc, np.arange(rows + 1))
@@ -93,13 +123,9 @@ def _sets(blocks: DataFrame) -> DataFrame:
     signature in its block has its shared shingles as well."""
     ranges = count_ranges(blocks, 6.5)
 
-    def keys(ids, starts, buf):
-        return np.unique(shingle_sets(starts, buf)[1]), None
-
     def judge(block, ids, starts, buf, answer_to):
-        doc, h = shingle_sets(starts, buf)
-        u, count, rank = _ranked(h)
-        shared = (answer_to(u) | (count > 1))[rank]
+        u, doc, rank = _ranked_sets(starts, buf)
+        h, shared = u[rank], (answer_to(u) | (np.bincount(rank, minlength=len(u)) > 1))[rank]
         n = np.bincount(doc, minlength=len(ids))
         may = (100 * np.bincount(doc, weights=shared, minlength=len(ids)).astype(np.int64) >= LEAST * n) & (n > 0)
         edge = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -115,7 +141,7 @@ def _sets(blocks: DataFrame) -> DataFrame:
                 raw.append(None)
         return pa.table({"id": ids, "n": n.astype(np.int64), "s1": pa.array(sig[0], mask=~may), "s2": pa.array(sig[1], mask=~may), "shared": pa.array(raw, pa.binary())})
 
-    given = stage(answers(blocks, keys, ranges), "answers")
+    given = stage(answers(blocks, block_keys, ranges), "answers")
     release(blocks.sparkSession)
     out = stage(with_answers(blocks, given, ranges, judge, "id bigint, n bigint, s1 bigint, s2 bigint, shared binary"), "sets")
     discard(blocks, given)
@@ -225,23 +251,43 @@ class Trie:
                 nxt = top
             node, i = nxt, i + m
 
-    def partners(self, inside: np.ndarray, upto: np.ndarray, size: int, n: int) -> list[int]:
-        """All members whose sets reach the similarity.  inside marks the query's items, upto counts them up to each item."""
-        out, stack = [], [(self.root, 0, 0)]
+    def partners(self, sets: list[np.ndarray], n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, member) of every pair that reaches the similarity.  The queries run down together: a node is met once, for all of them that
+        may still find a partner below it.  place has -1 for every item, before and after."""
+        size = np.array([len(x) for x in sets])
+        every = np.concatenate(sets)
+        items = _distinct(every)
+        place[items] = np.arange(len(items), dtype=place.dtype)
+        inside = np.zeros((len(items), len(sets)), np.uint8)
+        inside[place[every], np.repeat(np.arange(len(sets)), size)] = 1
+        upto = np.zeros((len(items) + 1, len(sets)), np.int32)
+        np.cumsum(inside, axis=0, dtype=np.int32, out=upto[1:])
+        least, most = -(-LEAST * n // 100), 100 * n // LEAST
+        zero = np.zeros(len(sets), np.int64)
+        found, stack = [(zero[:0], zero[:0])], [(self.root, np.arange(len(sets)), zero, zero)]
         while stack:
-            node, overlap, behind = stack.pop()
+            node, who, overlap, behind = stack.pop()
             if len(node.seg):
-                overlap += int(np.count_nonzero(inside[node.seg]))
-                behind = int(upto[node.seg[-1]])
+                at = place[node.seg]
+                at = at[at >= 0]
+                few = 4 * len(who) < len(sets)
+                here = inside[at[:, None], who] if few else inside[at]
+                here = np.add.reduce(here, axis=0, dtype=np.int32)
+                overlap = overlap + (here if few else here[who])
+                behind = upto[np.searchsorted(items, node.seg[-1], "right"), who]
             for member, m in node.ends:
-                if 100 * overlap >= LEAST * (n + m - overlap):
-                    out.append(member)
-            for nxt in node.below.values():
-                best = overlap + min(size - behind, nxt.depth + len(nxt.seg))
-                short = max(nxt.least, -(-LEAST * n // 100))
-                if short <= min(nxt.most, 100 * n // LEAST) and 100 * best >= LEAST * (n + short - best):
-                    stack.append((nxt, overlap, behind))
-        return out
+                hit = who[100 * overlap >= LEAST * (n[who] + m - overlap)]
+                found.append((hit, np.full(len(hit), member)))
+            if node.below:
+                below = list(node.below.values())
+                depth, shortest, longest = (np.array(x)[:, None] for x in zip(*[(x.depth + len(x.seg), x.least, x.most) for x in below], strict=True))
+                best = overlap + np.minimum(size[who] - behind, depth)
+                short = np.maximum(shortest, least[who])
+                go = (short <= np.minimum(longest, most[who])) & (100 * best >= LEAST * (n[who] + short - best))
+                stack += [(below[k], who[go[k]], overlap[go[k]], behind[go[k]]) for k in np.flatnonzero(go.any(1)).tolist()]
+        place[items] = -1
+        query, member = (np.concatenate(x) for x in zip(*found, strict=True))
+        return query, member
 
 
 def link_family(n: list[int], sets: list[np.ndarray], counts: list[np.ndarray], across: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -253,18 +299,30 @@ def link_family(n: list[int], sets: list[np.ndarray], counts: list[np.ndarray],
     new[1:] = h[order][1:] != h[order][:-1]
     rank = np.empty(len(h), np.int64)
     rank[order] = np.cumsum(new) - 1
-    trie, inside = Trie(), np.zeros(int(new.sum()) + 1, bool)
-    todo = np.arange(len(n)) if across is None else np.concatenate([np.flatnonzero(~across), np.flatnonzero(across)])
-    for k in todo.tolist():
-        x = rank[edge[k] : edge[k + 1]]
-        if across is None or across[k]:
-            inside[x] = True
-            p = trie.partners(inside, np.cumsum(inside), len(x), n[k])
-            inside[x] = False
-            if p:
-                yield k, np.array(p, np.int64)
-        if across is None or not across[k]:
-            trie.add(x, n[k], k)
+    ranks = [rank[edge[k] : edge[k + 1]] for k in range(len(n))]
+    trie, place, n = Trie(), np.full(int(new.sum()), -1, np.int32), np.array(n)
+    for k in np.flatnonzero(~across).tolist() if across is not None else ():
+        trie.add(ranks[k], int(n[k]), k)
+    asking = np.arange(len(n)) if across is None else np.flatnonzero(across)
+    size, i = np.cumsum([len(ranks[k]) for k in asking.tolist()]), 0
+    while i < len(asking):
+        j = i + 1
+        while j < len(asking) and j - i < QUERIES and (j + 1 - i) * (size[j] - (size[i - 1] if i else 0)) <= QUERY_CELLS:
+            j += 1
+        own = asking[i:j]
+        if across is None:
+            for k in own.tolist():
+                trie.add(ranks[k], int(n[k]), k)
+        query, member = trie.partners([ranks[k] for k in own.tolist()], n[own], place)
+        query = own[query]
+        if across is None:  # the batch has met itself, too
+            query, member = query[member < query], member[member < query]
+        order = np.lexsort((member, query))
+        query, member = query[order], member[order]
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        for k, p in zip(query[first].tolist(), np.split(member, first[1:]), strict=False):
+            yield k, p
+        i = j
 
 
 def _as_pairs(c: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[np.ndarray]]:
@@ -274,21 +332,22 @@ def _as_pairs(c: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> Iterato
 
 def _as_sums(c: np.ndarray, copies: np.ndarray, links: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[np.ndarray]]:
     """One batch: class, the smallest class it is joined to here, and its links to documents of other classes."""
-    root, sums = list(range(len(c))), np.zeros(len(c), np.int64)  # classes ascend, so the smaller index is the smaller class
+    root, sums = np.arange(len(c)), np.zeros(len(c), np.int64)  # classes ascend, so the smaller index is the smaller class
 
     def find(x: int) -> int:
         while root[x] != x:
             root[x] = root[root[x]]
-            x = root[x]
+            x = int(root[x])
         return x
 
     for k, p in links:
         sums[k] += copies[p].sum()
         sums[p] += copies[k]
-        own = {find(x) for x in p.tolist()} | {find(k)}
+        own = {find(x) for x in set(root[p].tolist())} | {find(k)}
         least = min(own)
         for x in own:
             root[x] = least
+        root[p] = root[k] = least
     some = np.flatnonzero(sums)
     if len(some):
         yield [c[some], c[[find(x) for x in some.tolist()]], sums[some]]

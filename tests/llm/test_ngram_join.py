@@ -1,9 +1,11 @@
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
-from tempora.llm import _exchange, ngram_join
+from tempora.llm import _exchange, _text, ngram_join
 from tests.llm import corpus
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -149,3 +151,45 @@ def test_structured_words(spark):
 
     docs = [(1, " ".join([thue_morse(2048)] * 4 + ["u"])), (2, " ".join([thue_morse(2048, "b", "a")] * 4 + ["u"]))]
     assert run(spark, docs) == brute(docs)
+
+
+def test_keys_of_a_block_cost_little_beside_hashing():
+    r = random.Random(4)
+    buf = np.frombuffer(" ".join(f"w{r.randrange(10**6)}" for _ in range(400_000)).encode() + b" ", np.uint8)
+    starts = np.array([0, len(buf)])
+
+    def least(f):
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            f()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    hashing = least(lambda: _text.gram_hashes(_text.run_hashes(_text.lower(buf), *_text.runs(buf, _text.SPACED)), 5))
+    assert least(lambda: ngram_join.block_keys(np.array([1]), starts, buf)) < 3 * hashing
+    keys = ngram_join.block_keys(np.array([1]), starts, buf)[0]
+    assert keys.tolist() == sorted(set(ngram_join.shingle_sets(starts, buf)[1].tolist()))
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_sets_run_down_a_trie_together(monkeypatch, sides):
+    monkeypatch.setattr(ngram_join, "QUERIES", 50, raising=False)
+    calls, plain = [], ngram_join.Trie.partners
+    monkeypatch.setattr(ngram_join.Trie, "partners", lambda *a: calls.append(1) or plain(*a))
+    r = random.Random(5)
+    sets = [np.array(sorted({k if r.random() > p else r.randrange(100, 400) for k in range(60)}), np.uint64) for p in [r.choice([0, 0.03, 0.08, 0.2]) for _ in range(230)]]
+    whole = [set(x.tolist()) for x in sets]
+    many = {}
+    for x in whole:
+        for k in x:
+            many[k] = many.get(k, 0) + 1
+    counts = [np.array([many[k] for k in x.tolist()], np.uint32) for x in sets]
+    order = [np.lexsort((x, m)) for x, m in zip(sets, counts, strict=True)]
+    across = np.array([r.random() < 0.5 for _ in sets]) if sides else None
+    links = list(ngram_join.link_family([len(x) for x in sets], [x[o] for x, o in zip(sets, order, strict=True)], [m[o] for m, o in zip(counts, order, strict=True)], across))
+    got = [(min(k, j), max(k, j)) for k, p in links for j in p.tolist()]
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(whole[a] & whole[b]) >= 80 * len(whole[a] | whole[b]) and (not sides or across[a] != across[b])]
+    assert sorted(got) == sorted(near) and 1000 < len(near)
+    asked = int(across.sum()) if sides else len(sets)
+    assert len(calls) == -(-asked // 50)
