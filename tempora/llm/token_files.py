@@ -10,7 +10,9 @@ at the start):
 Documents are range-partitioned and sorted by key and text (ranges by key and the text's beginning, so a repeated key is split), so files ascend
 in doc_id and each starts where the one before ends.
 Every task writes files under names of its own; only files that the written manifest names belong to the data set, so
-retried tasks and lost executors leave no trace in it.
+retried tasks and lost executors leave no trace in it.  Until the index is there, entries/ has beside each id file the key, occurrence and
+length of its documents, and Spark gets one row per id file: executors write few files through Hadoop, which starts a child for each
+where it has no native library.
 
 The hash: keys go to index shards by hash; in a shard each level is a bit array of about two bits per remaining key, keys that
 fall alone on a bit stay, the rest move to the next level; the slot of a key is the rank of its bit.  A look-up is a constant number of
@@ -32,7 +34,7 @@ import os
 import re
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +45,15 @@ from pyspark.sql import functions as F
 
 from tempora.llm import _text
 from tempora.llm._packs import rest, views
-from tempora.llm._shared import NO_ID, discard, new_path, ship, stage
+from tempora.llm._shared import NO_ID, discard, drop_path, new_path, ship, stage
 
 END_ID = 0
 #: Distinct chunks and their bytes kept by a worker; it starts afresh beyond.
 CACHE, CACHE_BYTES = 1_000_000, 64 << 20
 #: Ids per payload file, about.
 FILE_IDS = 16 << 20
+#: Ids of neighbouring small files that are read back together, about.
+READ_IDS = 2 << 20
 #: Documents encoded at a time, and keys per index shard, about.
 BATCH_BYTES = 2 << 20
 SHARD_KEYS = 50_000
@@ -252,6 +256,45 @@ class MinimalPerfectHash:
         return cls(levels), at
 
 
+_ENTRY = pa.schema([("key", pa.int64()), ("again", pa.int64()), ("n", pa.int64())])
+
+
+class _Payload:
+    """An id file that is being written, and beside it the entries of its documents."""
+
+    def __init__(self, root: str, place: int):
+        self.name, self.place = f"{uuid.uuid4().hex}.ids", place
+        fs, at = _open(root)
+        self.out, self.beside = (fs.open_output_stream(f"{at}/{d}/{self.name}") for d in ("data", "entries"))
+        self.entries = pa.ipc.new_stream(self.beside, _ENTRY, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        self.docs = self.ids = self.times = 0
+        self.first = self.last = None
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Documents by ascending key, their ids and the number of each; `again` counts inside a file."""
+        self.out.write(ids.tobytes())
+        again = np.zeros(len(keys), np.int64)
+        if keys[0] == self.last or len(np.unique(keys)) < len(keys):
+            for k, x in enumerate(keys.tolist()):
+                self.times = self.times + 1 if x == self.last else 0
+                again[k], self.last = self.times, x
+        else:
+            self.last, self.times = int(keys[-1]), 0
+        if self.first is None:
+            self.first = int(keys[0])
+        if keys[0] == self.first:
+            self.firsts = int(again[keys == self.first][-1]) + 1
+        self.entries.write_batch(pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, again, n)], schema=_ENTRY))
+        self.docs, self.ids = self.docs + len(keys), self.ids + len(ids)
+
+    def close(self) -> pa.RecordBatch:
+        """The file's row: its name and place, its first and last key and the rows of each, its documents and ids."""
+        for x in (self.entries, self.beside, self.out):
+            x.close()
+        row = {"name": self.name, "place": self.place, "key": self.first, "last": self.last, "k0": self.firsts, "k1": self.times + 1, "docs": self.docs, "ids": self.ids}
+        return pa.RecordBatch.from_pylist([row])
+
+
 _SLOT = np.dtype([("print", "<u4"), ("file", "<i4"), ("offset", "<i8"), ("n", "<i8"), ("start", "<i8")])
 
 
@@ -264,12 +307,10 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
     df = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def encode(batches):
-        import pyarrow as pa
-
-        fs, at = _open(f"{root}/data")
-        fs.create_dir(at, recursive=True)
-        encoder, out, name = encoder_for(tokenizer), None, ""
-        wrote, last, times, part, seq = 0, None, 0, TaskContext.get().partitionId(), -1
+        fs, at = _open(root)
+        for d in ("data", "entries"):
+            fs.create_dir(f"{at}/{d}", recursive=True)
+        encoder, out, place = encoder_for(tokenizer), None, TaskContext.get().partitionId() << 32
         for batch in batches:
             keys = batch.column(0).to_numpy()
             data, offsets = views(batch.column(1))
@@ -278,47 +319,47 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
                 j = min(len(keys), max(i + 1, int(np.searchsorted(offsets, offsets[i] + BATCH_BYTES, "right")) - 1))
                 ids, n = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1])
                 ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
-                if out is None or wrote >= FILE_IDS:
-                    if out:
-                        out.close()
-                    name = f"{uuid.uuid4().hex}.ids"
-                    out, wrote, last, seq = fs.open_output_stream(f"{at}/{name}"), 0, None, seq + 1
-                out.write(ids.tobytes())
-                own = keys[i:j]
-                again = np.zeros(len(own), np.int64)
-                if own[0] == last or len(np.unique(own)) < len(own):
-                    for k, x in enumerate(own.tolist()):
-                        times = times + 1 if x == last else 0
-                        again[k], last = times, x
-                else:
-                    last, times = int(own[-1]), 0
-                offsets_in = wrote + np.cumsum(n) - n
-                wrote += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array([part << 32 | seq] * len(own)), pa.array(own), pa.array(again), pa.array(offsets_in), pa.array(n)], names=["name", "place", "key", "again", "offset", "n"])
+                if out and out.ids >= FILE_IDS:
+                    yield out.close()
+                    out = None
+                if not out:
+                    out, place = _Payload(root, place), place + 1
+                out.add(keys[i:j], ids, n)
                 i = j
             del batch, data, offsets, keys
             rest()
         if out:
-            out.close()
+            yield out.close()
 
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     ordered = df.repartitionByRange(int(parts), "key", F.substring("text", 1, 16)).sortWithinPartitions("key", "text")
-    entries = stage(ordered.mapInArrow(encode, "name string, place bigint, key bigint, again bigint, offset bigint, n bigint"), "token-entries")
-    # one row per payload file, in the order of ranges; `again` counts inside a file, and what its first key has in files before is carried
+    made = ordered.mapInArrow(encode, "name string, place bigint, key bigint, last bigint, k0 bigint, k1 bigint, docs bigint, ids bigint")
+    # one row per payload file, in the order of ranges, brought together before it is written; what a file's first key has in files before is carried
     up_to = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    files = entries.groupBy("name", "place").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.max_by("again", F.struct(F.bitwise_not("key"), "again")).alias("k0"), F.max_by("again", F.struct("key", "again")).alias("k1"), F.count("*").alias("docs"), F.sum("n").alias("ids"))
-    files = stage(files.select("*", (F.row_number().over(Window.orderBy("place")) - 1).cast("int").alias("file"), (F.sum("ids").over(up_to) - F.col("ids")).alias("start")), "token-files")
-    ends = files.select("file", "key", (F.col("k0") + 1).alias("n")).unionAll(files.where("last <> key").select("file", "last", F.col("k1") + 1))
+    made = stage(made.select("*", (F.row_number().over(Window.orderBy("place")) - 1).cast("int").alias("file"), (F.sum("ids").over(up_to) - F.col("ids")).alias("start")), "token-files")
+    ends = made.select("file", "key", F.col("k0").alias("n")).unionAll(made.where("last <> key").select("file", "last", "k1"))
     before = Window.partitionBy("key").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("file", "key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried"))
-    files = files.join(carried, ["file", "key"]).select("name", "file", "key", "docs", "ids", "start", "carried")
-    files.write.parquet(f"{root}/files")
+    made.join(carried, ["file", "key"]).select("name", "file", "key", "docs", "ids", "start", "carried").coalesce(1).write.parquet(f"{root}/files")
+    discard(made)
     files = spark.read.parquet(f"{root}/files")
     total = files.agg(F.sum("docs")).first()[0] or 0
     shards = max(1, -(-total // SHARD_KEYS))
-    own = files.select("name", "file", "start", F.col("key").alias("_first"), "carried")
-    again = F.col("again") + F.when(F.col("key") == F.col("_first"), F.col("carried")).otherwise(0)
-    keyed = entries.join(own, "name").select("key", again.alias("again"), "file", "offset", "n", (F.col("start") + F.col("offset")).alias("start"))
+
+    def entries(batches):
+        fs, at = _open(f"{root}/entries")
+        for f in chain.from_iterable(batch.to_pylist() for batch in batches):
+            offset = 0
+            with fs.open_input_stream(f"{at}/{f['name']}") as beside:
+                for batch in pa.ipc.open_stream(beside):
+                    key, again, n = (c.to_numpy() for c in batch.columns)
+                    places = offset + np.cumsum(n) - n
+                    offset += int(n.sum())
+                    again = again + f["carried"] * (key == f["key"])
+                    file = np.full(len(key), f["file"], np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, again, file, places, n, f["start"] + places)], names=["key", "again", "file", "offset", "n", "start"])
+
+    keyed = files.repartition(int(parts)).mapInArrow(entries, "key bigint, again bigint, file int, offset bigint, n bigint, start bigint")
     keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("key", "again"), F.lit(shards)))
 
     def index(table: pa.Table) -> pa.Table:
@@ -338,7 +379,7 @@ def write(docs: DataFrame, tokenizer: str, root: str | None = None, id_col="doc_
         return pa.table({"shard": [int(x["shard"][0])], "name": [name], "keys": [len(h)]})
 
     keyed.groupBy("shard").applyInArrow(index, "shard bigint, name string, keys bigint").write.parquet(f"{root}/shards")
-    discard(entries)
+    drop_path(spark, f"{root}/entries")
     return root
 
 
@@ -394,21 +435,24 @@ def look_up(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
 
 def read_back(spark: SparkSession, root: str, keys: DataFrame, tokenizer: str) -> DataFrame:
     """Each key's start, n_tokens and CRC-32 (over little-endian uint32 ids) from the files, by way of the index."""
-    found = look_up(spark, root, keys).join(spark.read.parquet(f"{root}/files").select("file", "name"), "file")
+    near = F.floor(F.col("start") / READ_IDS).alias("near")
+    found = look_up(spark, root, keys).join(spark.read.parquet(f"{root}/files").select("file", "name", near), "file")
 
     def crcs(table: pa.Table) -> pa.Table:
         kind = encoder_for(tokenizer).kind
-        table = table.sort_by("offset")
-        offset, n = table.column("offset").to_numpy(), table.column("n").to_numpy()
-        fs, at = _open(f"{root}/data/{table.column('name')[0].as_py()}")
+        table = table.sort_by([("file", "ascending"), ("offset", "ascending")])
+        file, offset, n = (table.column(c).to_numpy() for c in ("file", "offset", "n"))
+        fs, at = _open(f"{root}/data")
         out = np.zeros(len(n), np.int64)
-        with fs.open_input_file(at) as f:
-            for k, (o, m) in enumerate(zip(offset.tolist(), n.tolist(), strict=True)):
-                f.seek(o * kind.itemsize)
-                out[k] = zlib.crc32(np.frombuffer(f.read(m * kind.itemsize), kind).astype("<u4").tobytes())
+        edges = [*np.flatnonzero(np.diff(file, prepend=-1)).tolist(), len(n)]
+        for i, j in pairwise(edges):
+            with fs.open_input_file(f"{at}/{table.column('name')[i].as_py()}") as f:
+                for k, o, m in zip(range(i, j), offset[i:j].tolist(), n[i:j].tolist(), strict=True):
+                    f.seek(o * kind.itemsize)
+                    out[k] = zlib.crc32(np.frombuffer(f.read(m * kind.itemsize), kind).astype("<u4").tobytes())
         return pa.table({c: table.column(c) for c in ("key", "again", "start")} | {"n_tokens": n, "ids_crc32": out})
 
-    return found.groupBy("file").applyInArrow(crcs, "key bigint, again bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return found.groupBy("near").applyInArrow(crcs, "key bigint, again bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def default_tokenizer() -> str:

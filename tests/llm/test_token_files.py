@@ -87,3 +87,30 @@ def test_a_key_of_many_rows_is_split(spark, monkeypatch):
     root = tf.write(df, tf.default_tokenizer())
     files = spark.read.parquet(f"{root}/files").collect()
     assert sum(f.key == 9 for f in files) > 3 and max(f.carried for f in files) > 100 and sum(f.docs for f in files) == len(docs)
+
+
+def test_executors_write_few_files_through_hadoop(spark, monkeypatch, tmp_path):
+    """Without Hadoop's native library each such file starts children of the executor's JVM: their number may not grow with the ranges."""
+    from pathlib import Path
+
+    from tempora import staging
+
+    monkeypatch.setattr(staging, "drop_path", lambda *a: None)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    docs = [(k, f"text {k} of a few words") for k in range(4000)] + [(7, "again")] * 3
+    monkeypatch.setattr(staging, "new_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(tf, "new_path", staging.new_path)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = tf.write_and_verify(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(9))
+        out.write.parquet(f"file://{tmp_path}/out")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    got = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert sorted([(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got], key=lambda r: r[1]) == brute(docs)
+    assert len(list(Path(tmp_path).rglob("data/*.ids"))) > 30 and not list(Path(tmp_path).rglob("tokens*/entries"))
+    parts = [p.relative_to(tmp_path).parts[:-1] for p in Path(tmp_path).rglob("part-*.parquet")]
+    assert len(parts) < 10, sorted(parts)
