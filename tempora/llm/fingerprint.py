@@ -6,7 +6,8 @@ a is the sample, known by (k, t).  Two texts agree in a sample with probability
 generalised Jaccard similarity of their weights, so the share of agreeing samples estimates it.
 
 Each sample is one min() over one long: 31 bits of ln a above 32 bits of hash(k, t), so all samples are one generated
-aggregation without objects.  The fingerprint is the 32-bit halves in hexadecimal; equal texts have equal ones.
+aggregation without objects, which a term enters once for each of PARTS parts of the samples, so that the plan stays small.  The
+fingerprint is the 32-bit halves in hexadecimal; equal texts have equal ones.
 
 The quantiles are ratios of polynomials, since logarithms would triple the time: r is right to 0.4 % and cut at 1 - 2e-5, ln c right to 0.003 and
 cut at its 99th percentile, where no least value of many comes from; a term alone in its text is its own sample whatever its draws.  The
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from tempora.llm._shared import beside, plain, stage
 
 SAMPLES = 64
+PARTS = 4
 TAIL, LOG_TAIL = 2e-5, 0.99
 _ABOVE = (1.4193525879832358, -4.644080789462541, 5.457540206186922, -2.6601854055487824, 0.42737340358405224)
 _LOG_ABOVE = (-15.957462558711034, 4.9223056886492875, 83.36982781097711, -116.13143338904175, 43.804179523045185)
@@ -64,10 +66,22 @@ def _poly(c: tuple[float, ...], x: Column) -> Column:
     return reduce(lambda y, k: F.lit(k) + x * y, reversed(c[:-1]), F.lit(c[-1]))
 
 
-def sample(term: Column, log_weight: Column, j: int) -> Column:
-    """The packed value of a term in sample j: one hash gives 16 bits for r, 24 for c and 24 for b."""
-    h = F.xxhash64(term, F.lit(j))
-    r = _gamma(h.bitwiseAND(F.lit(2**16 - 1)), 16)
+def draws(spark: SparkSession, samples: int, parts: int) -> DataFrame:
+    """_part, _j0, _j1, ..., _r: for each part of the samples a row with their numbers and with r for each of the 2**16 numbers that 16 bits make.
+
+    The driver analyses, plans, compiles and describes every node of the samples anew with each stage that ends, and Catalyst writes a value out
+    wherever it is used: the plan of 64 samples with r as a formula took 1.3 million characters.  So r is looked up, and a part's formulas serve all.
+    """
+    part, size = F.col("id").cast("int"), samples // parts
+    up = F.sequence(part, part + F.lit(2**16 - 1))  # not of literals alone, else the plan would hold the table
+    numbers = [(part * size + k).alias(f"_j{k}") for k in range(size)]
+    return spark.range(0, parts, numPartitions=1).select(part.alias("_part"), *numbers, F.transform(up, lambda x: _gamma(x - part, 16)).alias("_r"))
+
+
+def sample(term: Column, log_weight: Column, j: Column) -> Column:
+    """The packed value of a term in sample j: one hash gives 16 bits for r, by its place in the column _r of draws(), 24 for c and 24 for b."""
+    h = F.xxhash64(term, j)
+    r = F.get("_r", h.bitwiseAND(F.lit(2**16 - 1)))
     ln_c = _log_gamma(F.shiftright(h, 16).bitwiseAND(F.lit(2**24 - 1)), 24)
     b = F.shiftrightunsigned(h, 40).cast("double") / F.lit(float(2**24))
     t = F.floor(log_weight / r + b)
@@ -92,9 +106,14 @@ def weighted_terms(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
 
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """keys..., term, lw -> keys..., sig array<bigint> (the 32-bit sample ids; empty without terms)."""
-    mins = terms.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("lw"), j)).alias(f"s{j}") for j in range(samples)])
-    sig = F.array(*[F.col(f"s{j}").bitwiseAND(F.lit(2**32 - 1)) for j in range(samples)])
-    return mins.select(*keys, F.when(F.col("s0").isNull(), F.array().cast("array<bigint>")).otherwise(sig).alias("sig"))
+    parts = math.gcd(samples, PARTS)
+    size = samples // parts
+    drawn = terms.crossJoin(F.broadcast(draws(terms.sparkSession, samples, parts)))
+    mins = drawn.groupBy(*keys, "_part").agg(*[F.min(sample(F.col("term"), F.col("lw"), F.col(f"_j{k}"))).alias(f"s{k}") for k in range(size)])
+    ids = F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(2**32 - 1)) for k in range(size)])
+    some = mins.select(*keys, "_part", F.when(F.col("s0").isNull(), F.array().cast("array<bigint>")).otherwise(ids).alias("ids"))
+    sig = F.concat(*[F.first(F.when(F.col("_part") == p, F.col("ids")), ignorenulls=True) for p in range(parts)])
+    return some.groupBy(*keys).agg(sig.alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -147,9 +166,10 @@ def with_next(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     base = base.withColumn("tie", F.col("tie").bitwiseXOR(F.lit(-(2**63))))
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.col("text")]
     # one row per range (a multiple of the shuffle partitions): its first key, and the range that follows
-    tops = stage(base.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("top")), "tops")
+    tops = base.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("top"))
     heads = base.join(F.broadcast(tops), "bucket").where(F.struct("doc_id", "tie").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.min("text").alias("text"))
-    links = following(tops).join(stage(heads.select(F.col("bucket").alias("next"), F.col("text").alias("after")), "heads"), "next")
+    heads = stage(heads, "heads")
+    links = following(heads).join(heads.select(F.col("bucket").alias("next"), F.col("text").alias("after")), "next")
     w = Window.partitionBy("bucket").orderBy(*order)
     rows = base.select("bucket", "doc_id", "text", F.lead("text").over(w).alias("ahead"), F.row_number().over(w).alias("pos"))
     return rows.join(links, "bucket").select("bucket", "doc_id", "pos", "text", F.coalesce("ahead", "after").alias("next_text"))

@@ -133,3 +133,29 @@ def test_single_empty_and_clashing(spark, tmp_path):
     assert fp.op3_fingerprint(spark, f"{tmp_path}/b").count() == 0
     df = spark.createDataFrame(corpus.rows(), corpus.DOC)
     assert fp.fingerprints(df).count() == df.count()
+
+
+def test_the_driver_has_little_to_plan_and_to_write(spark):
+    """The plan of 64 samples took 1.3 million characters, and most of the driver's memory; each staged table is five files and folders that the driver makes."""
+    from tempora import staging
+
+    terms = spark.range(9).select("id", F.xxhash64("id").alias("term"), F.lit(0.0).alias("lw"))
+    sig = fp.signatures(terms, ["id"])
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(sig._jdf.queryExecution(), "formatted")
+    assert "Functions [16]" in plan and len(plan) < 400_000
+    before = set(staging._PLACES)
+    fp.with_next(spark.createDataFrame(corpus.rows(), corpus.DOC))
+    assert len(set(staging._PLACES) - before) == 1
+
+
+def test_any_number_of_samples(spark):
+    terms = spark.range(40).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("term"), F.log(F.col("id") + 1.0).alias("lw"))
+    full = {r.k: r.sig for r in fp.signatures(terms, ["k"]).collect()}
+    for n in (1, 6, 7):
+        assert {r.k: r.sig for r in fp.signatures(terms, ["k"], n).collect()} == {k: x[:n] for k, x in full.items()}
+
+
+def test_a_path_that_only_spark_reads(spark, tmp_path, result):
+    spark.createDataFrame(corpus.rows(), corpus.DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.fingerprints.link./in", f"file://{tmp_path}")
+    assert {r.doc_id: r for r in fp.op3_fingerprint(spark, "viewfs://fingerprints/in").collect()} == result
