@@ -179,8 +179,7 @@ class SlidingWindows:
         train, _, validation = self.shares
         b = time_bounds(w, self.time_col, train, validation)
         t = E.time_number(indexed, self.time_col)
-        marks = b.select("window_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("at")), F.struct(F.lit(1).alias("side"), F.col("validation_end").alias("at")))).alias("m")).select("window_id", "m.side", "m.at")
-        places = rows_before(indexed.select(t.alias("at")), marks, "at")
+        places = self._places(indexed, b, ("start", "validation_end"))
         ends = places.groupBy("window_id").agg(F.min("n").alias("a"), F.max("n").alias("z")).where("a < z")
         held = ends.select("window_id", F.explode(F.sequence(F.col("a"), F.col("z") - 1)).alias("idx")).join(b, "window_id")
         rows = held.join(indexed, "idx")
@@ -192,4 +191,18 @@ class SlidingWindows:
 
     def partitions(self, df: DataFrame) -> DataFrame:
         """Rows of each part of each window."""
-        return self.transform(df).groupBy("window_id", "split").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+        if self.split == "rows" and self.kind == "sliding":
+            return self.transform(df).groupBy("window_id", "split").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+        # parts by time are ranges of the index: the rows before each of a window's four bounds tell them, and no row is joined
+        indexed = self.setup(df)
+        train, _, validation = self.shares
+        b = time_bounds(self._windows(indexed), self.time_col, train, validation)
+        places = self._places(indexed, b, ("start", "split", "end", "validation_end")).groupBy("window_id").agg(*[F.max(F.when(F.col("side") == k, F.col("n"))).alias(f"n{k}") for k in range(4)])
+        parts = F.array(*[F.struct(F.lit(part).alias("split"), F.col(f"n{k}").alias("a"), F.col(f"n{k + 1}").alias("z")) for k, part in enumerate(("train", "test", "validation"))])
+        rows = places.select("window_id", F.explode(parts).alias("p")).where("p.a < p.z")
+        return rows.select("window_id", "p.split", (F.col("p.z") - F.col("p.a")).alias("n"), F.col("p.a").alias("first"), (F.col("p.z") - 1).alias("last"))
+
+    def _places(self, indexed: DataFrame, bounds: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        """window_id, side (of the named bounds, from 0) and n, the number of rows before that bound."""
+        marks = bounds.select("window_id", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("at")) for k, c in enumerate(names)])).alias("m")).select("window_id", "m.side", "m.at")
+        return rows_before(indexed.select(E.time_number(indexed, self.time_col).alias("at")), marks, "at")

@@ -127,6 +127,25 @@ def test_time_split_reaches_past_the_window(spark):
     assert sorted(got[0, "train"]) == [0, 1, 2, 3, 4] and sorted(got[0, "test"]) == [5, 6, 7, 8] and sorted(got[0, "validation"]) == [9]
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Broadcasts of more than 8 MB fail, as larger ones do for want of driver memory."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_time_parts_send_no_rows_through_the_driver(spark, small_broadcasts):
+    s = windows.SlidingWindows("t", 2000, 100, train=0.5, test=0.25, validation=0.25, split="time")
+    got = {(r.window_id, r.split): (r.n, r.first, r.last) for r in s.partitions(numbers(spark, 20000)).collect()}
+    exp = {}
+    for k in range(181):
+        for part, a, z in (("train", 0, 999), ("test", 999, 1999), ("validation", 1999, 2498)):
+            a, z = 100 * k + a, min(100 * k + z, 20000)
+            exp[k, part] = (z - a, a, z - 1)
+    assert got == exp
+
+
 @pytest.mark.parametrize("kind", ["sliding", "expanding"])
 def test_time_split_with_uneven_density(spark, kind):
     times = [1000 * k for k in range(10)] + [9000 + k for k in range(1, 401)] + [20000, 50000] * 3
