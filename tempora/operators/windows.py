@@ -181,8 +181,9 @@ class SlidingWindows:
         t = E.time_number(indexed, self.time_col)
         places = self._places(indexed, b, ("start", "validation_end"))
         ends = places.groupBy("window_id").agg(F.min("n").alias("a"), F.max("n").alias("z")).where("a < z")
-        held = ends.select("window_id", F.explode(F.sequence(F.col("a"), F.col("z") - 1)).alias("idx")).join(b, "window_id")
-        rows = held.join(indexed, "idx")
+        held = ends.join(b, "window_id").withColumn("idx", F.explode(F.sequence(F.col("a"), F.col("z") - 1)))
+        # Spark takes what is exploded for as small as the windows, and would broadcast it
+        rows = held.join(indexed.hint("merge"), "idx")
         part = F.when(t < F.col("split"), "train").when(t < F.col("end"), "test").otherwise("validation")
         return rows.withColumn("split", part).select(*indexed.columns, "window_id", "split")
 

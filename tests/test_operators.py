@@ -146,6 +146,16 @@ def test_time_parts_send_no_rows_through_the_driver(spark, small_broadcasts):
     assert got == exp
 
 
+def test_time_windows_of_a_burst_are_not_broadcast(spark, small_broadcasts):
+    """A third of the rows in the first thousandth of the time, as in window_split_time_bursts."""
+    df = spark.range(20000).select((F.when(F.col("id") % 3 == 0, 1).otherwise(1000) * F.col("id")).alias("t"), "id").repartition(5)
+    s = windows.SlidingWindows("t", 1000, 100, train=0.5, test=0.0, validation=0.5, split="time", ties=("id",))
+    exp = {(r.window_id, r.split): (r.n, r.first, r.last) for r in s.partitions(df).collect()}
+    rows = s.transform(df).groupBy("window_id", "split").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+    assert {(r.window_id, r.split): (r.n, r.first, r.last) for r in rows.collect()} == exp
+    assert {k for k, _ in exp} == set(range(191)) and {k for _, k in exp} == {"train", "test", "validation"}
+
+
 @pytest.mark.parametrize("kind", ["sliding", "expanding"])
 def test_time_split_with_uneven_density(spark, kind):
     times = [1000 * k for k in range(10)] + [9000 + k for k in range(1, 401)] + [20000, 50000] * 3
