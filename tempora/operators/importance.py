@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +49,8 @@ def by_feature(scores: DataFrame, features: list[str]) -> DataFrame:
 
 def least_squares_per_window(windows: DataFrame, features: list[str], target: str) -> DataFrame:
     """window_id, n_train, n_test, rmse, coefficients map, from the windows' means and covariances: one pre-aggregated pass over the rows,
-    and one small linear system per window.  Rows with a null or NaN are left out."""
+    and one small linear system per window.  Rows with a null or NaN are left out.  A feature that is the same in all training rows has no
+    slope: its coefficient is NaN, and it takes no part in the predictions."""
     names = [*features, target]
     good = F.lit(True)
     for c in names:
@@ -63,24 +65,28 @@ def least_squares_per_window(windows: DataFrame, features: list[str], target: st
     moments = rows.groupBy("window_id").agg(*out)
     d = len(features)
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
-            for r in batch.itertuples(index=False):
-                if not r.n_train:
+            for r in batch.to_pylist():
+                if not r["n_train"]:
                     got.append((None, {}))
                     continue
-                c = np.array(r.cov_train, float).reshape(d + 1, d + 1)
+                c = np.array(r["cov_train"], float).reshape(d + 1, d + 1)
                 b = np.linalg.lstsq(c[:d, :d], c[:d, d], rcond=None)[0]
                 error = None
-                if r.n_test:
+                if r["n_test"]:
                     full = np.append(b, -1.0)
-                    bias = (np.array(r.mean_test, float) - np.array(r.mean_train, float)) @ full
-                    error = float(np.sqrt(max(0.0, full @ np.array(r.cov_test, float).reshape(d + 1, d + 1) @ full + bias * bias)))
+                    bias = (np.array(r["mean_test"], float) - np.array(r["mean_train"], float)) @ full
+                    error = float(np.sqrt(max(0.0, full @ np.array(r["cov_test"], float).reshape(d + 1, d + 1) @ full + bias * bias)))
+                b[np.diag(c)[:d] == 0] = np.nan
                 got.append((error, dict(zip(features, b.tolist(), strict=True))))
-            yield pd.DataFrame({"window_id": batch["window_id"], "n_train": batch["n_train"], "n_test": batch["n_test"], "rmse": [g[0] for g in got], "coefficients": [g[1] for g in got]})
+            # Arrow, since pandas would make the NaNs null
+            maps = pa.array([list(g[1].items()) for g in got], pa.map_(pa.string(), pa.float64()))
+            names = ["window_id", "n_train", "n_test", "rmse", "coefficients"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:3]], pa.array([g[0] for g in got], pa.float64()), maps], names=names)
 
-    return moments.mapInPandas(solve, "window_id bigint, n_train bigint, n_test bigint, rmse double, coefficients map<string,double>")
+    return moments.mapInArrow(solve, "window_id bigint, n_train bigint, n_test bigint, rmse double, coefficients map<string,double>")
 
 
 def boosted(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, bins: int = 32) -> tuple[Callable, dict]:

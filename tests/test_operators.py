@@ -273,6 +273,17 @@ def test_importance(spark):
     assert all(r.coefficients["x"] == pytest.approx(10) and r.rmse < 1e-6 and (r.n_train, r.n_test) == (10, 10) for r in fitted)
 
 
+def test_no_slope_of_a_constant_feature(spark):
+    """As DuckDB's regr_slope: NaN where the training rows have one value, null where there are none; the rest is as without it."""
+    w = numbers(spark, 60).withColumn("c", F.when(F.col("t") < 20, 7).otherwise(F.col("t") % 3)).withColumn("window_id", F.floor(F.col("t") / 20))
+    w = w.withColumn("split", F.when((F.col("t") % 20 < 15) & (F.col("t") < 40), "train").otherwise("test"))
+    got = {r.window_id: r for r in importance.train_per_window(w, ["c"], "y").withColumn("slope", F.col("coefficients")["c"]).collect()}
+    assert np.isnan(got[0].slope) and not np.isnan(got[1].slope) and got[2].slope is None
+    assert got[0].rmse == pytest.approx(np.sqrt(np.mean((np.arange(150, 200, 10) - 70.0) ** 2))) and got[2].rmse is None
+    both = {r.window_id: r for r in importance.train_per_window(w, ["c", "t"], "y").collect()}[0]
+    assert both.coefficients["t"] == pytest.approx(10) and np.isnan(both.coefficients["c"]) and both.rmse < 1e-6
+
+
 def test_trainer(spark):
     df = numbers(spark, 60).withColumn("x", (F.col("t") % 20).cast("double")).withColumn("y", F.when(F.col("x") > 5, 3.0).otherwise(1.0))
     trainer = importance.WindowTrainer(windows.SlidingWindows("t", 20, 20, train=0.8, test=0.2), ["x"], "y")
